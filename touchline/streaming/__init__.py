@@ -1,0 +1 @@
+"""Every step of the analysis is a batch job, so there are no streaming operators."""
