@@ -1 +1,8 @@
 """Match-tracking analytics as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with the job by value: executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

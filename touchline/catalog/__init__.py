@@ -1,7 +1,7 @@
 """Registered queries: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.catalog import frames
+from touchline.catalog import frames, geometry, joined
 
 REGISTRY = {}
-for module in (frames,):
+for module in (frames, joined, geometry):
     REGISTRY.update(module.QUERIES)

@@ -18,7 +18,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     e = e.withColumn("k", k).withColumn("provider", F.lit("sportec"))
     e = e.withColumn("match_id", F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")))
-    e = e.withColumn("period_id", F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'"), 1).otherwise(2))
+    e = e.withColumn("period_id", F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'"), 1).otherwise(2).cast("long"))
     e = number_rows(e, ["match_id", "period_id"], "event_id", "frame")
     kind, half = F.col("event_type"), F.col("k")
     original = (
@@ -48,7 +48,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES_SQL = """
 SELECT 'sportec' AS provider, concat('m', CAST(user_id % 3 AS VARCHAR)) AS match_id,
-       CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END AS period_id,
+       CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END AS BIGINT) AS period_id,
        CAST(row_number() OVER (PARTITION BY user_id % 3, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END
                                ORDER BY ts, event_id) AS BIGINT) AS frame,
        ts, event_id,
@@ -288,3 +288,59 @@ def with_views(names: str, body: str) -> str:
     body = body.strip()
     joiner = ",\n" + body[5:] if body[:5].upper() == "WITH " else "\n" + body
     return f"WITH {ctes}{joiner}"
+
+
+def role_points(spark: SparkSession, sf_dir: str, n: int = 14) -> DataFrame:
+    """One row per frame and side with ``n`` role means as ``pts`` and a role covariance, from ``embeddings``."""
+    e = table(spark, sf_dir, "embeddings")
+
+    def points(offset: int):
+        return F.transform(
+            F.sequence(F.lit(1), F.lit(n)),
+            lambda i: F.struct(
+                (F.element_at("embedding", F.lit(offset - 1) + 2 * i).cast("double") * 105).alias("x"),
+                (F.element_at("embedding", F.lit(offset) + 2 * i).cast("double") * 68).alias("y"),
+            ),
+        )
+
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), points(o).alias("pts")) for s, o in (("home", 0), ("away", 28))])
+    return e.select(F.col("vec_id").alias("frame"), F.col("label").cast("long").alias("label"), F.inline(sides))
+
+
+ROLE_POINTS_SQL = """
+SELECT vec_id AS frame, CAST(label AS BIGINT) AS label, s.side, CAST(p.i AS BIGINT) AS i,
+       CAST(embedding[s.off + 2 * p.i - 1] AS DOUBLE) * 105 AS x, CAST(embedding[s.off + 2 * p.i] AS DOUBLE) * 68 AS y
+FROM embeddings
+CROSS JOIN (SELECT unnest(range(1, 15)) AS i) AS p
+CROSS JOIN (VALUES ('home', 0), ('away', 28)) AS s(side, off)
+"""
+SQL_VIEWS["fx_roles"] = ROLE_POINTS_SQL
+
+
+def held_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Player frames with a side in possession and pass marks."""
+    f = player_frames(spark, sf_dir)
+    poss = F.when(F.col("frame") % 3 == 0, "home").when(F.col("frame") % 3 == 1, "away").otherwise("")
+    return f.withColumns({"poss": poss, "is_pass": F.col("frame") % 4 == 0})
+
+
+HELD_SQL = """
+SELECT frame, label, ball_x, ball_y, CASE frame % 3 WHEN 0 THEN 'home' WHEN 1 THEN 'away' ELSE '' END AS poss, frame % 4 = 0 AS is_pass
+FROM fx_ball
+"""
+SQL_VIEWS["fx_held"] = HELD_SQL
+NEEDS["fx_held"] = ["fx_ball"]
+
+
+def numbered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Home players by label as sequences, with the row number of the frame in its label."""
+    f = number_rows(player_frames(spark, sf_dir), ["label"], "frame")
+    return f.select("label", "frame", "rn", F.inline("players")).where("side = 'home'").drop("side")
+
+
+NUMBERED_SQL = """
+SELECT label, frame, player, x, y, CAST(row_number() OVER (PARTITION BY label, player ORDER BY frame) AS BIGINT) AS rn
+FROM fx_positions WHERE side = 'home'
+"""
+SQL_VIEWS["fx_numbered"] = NUMBERED_SQL
+NEEDS["fx_numbered"] = ["fx_positions"]

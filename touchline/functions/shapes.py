@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,34 +25,46 @@ def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
 
 
-def quantile(values: Column, p: float) -> Column:
-    """Linear-interpolation quantile of a small array without NULLs."""
-    s = F.array_sort(values)
-    at = (F.size(values) - 1) * F.lit(p)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind an expression that is used several times, so that each row evaluates it once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def sorted_quantile(ordered: Column, p: float) -> Column:
+    """Linear-interpolation quantile of a sorted array without NULLs."""
+    at = (F.size(ordered) - 1) * F.lit(p)
     low = F.floor(at).cast("int")
-    a = F.get(s, low)
-    b = F.get(s, F.least(low + 1, F.size(values) - 1))
+    a = F.get(ordered, low)
+    b = F.get(ordered, F.least(low + 1, F.size(ordered) - 1))
     return a + (b - a) * (at - low)
 
 
+def quantile(values: Column, p: float) -> Column:
+    """Linear-interpolation quantile of a small array without NULLs."""
+    return let(F.array_sort(values), lambda s: sorted_quantile(s, p))
+
+
 def spacing(players: Column, side: str | Column) -> Column:
     """Width and depth (p90 - p10 of y and x) and stretch (mean pair distance); NULL under three players."""
     pts = on_side(players, side)
 
+    def range_of(p: Column, axis: str) -> Column:
+        ordered = F.array_sort(F.transform(p, lambda q: q[axis]))
+        return let(ordered, lambda s: sorted_quantile(s, 0.9) - sorted_quantile(s, 0.1))
+
     def of(p: Column) -> Column:
         n = F.size(p)
-        xs, ys = F.transform(p, lambda q: q["x"]), F.transform(p, lambda q: q["y"])
         pairs = array_sum(F.transform(p, lambda a: array_sum(F.transform(p, lambda b: _dist(a, b)))))
         return F.when(
             n >= 3,
             F.struct(
-                (quantile(ys, 0.9) - quantile(ys, 0.1)).alias("width"),
-                (quantile(xs, 0.9) - quantile(xs, 0.1)).alias("depth"),
+                range_of(p, "y").alias("width"),
+                range_of(p, "x").alias("depth"),
                 (pairs / (n * (n - 1))).alias("stretch"),
             ),
         )
 
-    return of(pts)
+    return let(pts, of)
 
 
 def carrier(players: Column, side: str | Column, ball_x: Column, ball_y: Column) -> Column:
@@ -132,23 +145,26 @@ def chain_order(points: Column) -> Column:
     The walk starts at the point with the closest third neighbour, always steps to the nearest point not yet
     visited (lowest index on ties) and is reversed when it ends left of where it began.
     """
-    near = third_neighbour(points)
-    start = F.array_position(near, F.array_min(near)).cast("int") - 1
+    start = let(third_neighbour(points), lambda near: F.array_position(near, F.array_min(near)).cast("int") - 1)
     steps = F.when(F.size(points) > 1, F.sequence(F.lit(1), F.size(points) - 1)).otherwise(
         F.array().cast("array<int>")
     )
 
     def step(order: Column, _: Column) -> Column:
-        last = F.get(points, F.element_at(order, -1))
-        left = F.filter(
-            F.transform(points, lambda q, i: F.struct(_dist(last, q).alias("d"), i.alias("i"))),
-            lambda s: ~F.array_contains(order, s["i"]),
-        )
-        return F.concat(order, F.array(F.array_min(left)["i"]))
+        def nearest(last: Column) -> Column:
+            left = F.filter(
+                F.transform(points, lambda q, i: F.struct(_dist(last, q).alias("d"), i.alias("i"))),
+                lambda s: ~F.array_contains(order, s["i"]),
+            )
+            return F.array_min(left)["i"]
+
+        return F.concat(order, F.array(let(F.get(points, F.element_at(order, -1)), nearest)))
 
-    walk = F.aggregate(steps, F.array(start), step)
-    first, final = F.get(points, F.get(walk, F.lit(0))), F.get(points, F.element_at(walk, -1))
-    return F.when(final["x"] < first["x"], F.reverse(walk)).otherwise(walk)
+    def to_right(walk: Column) -> Column:
+        first, final = F.get(points, F.get(walk, F.lit(0))), F.get(points, F.element_at(walk, -1))
+        return F.when(final["x"] < first["x"], F.reverse(walk)).otherwise(walk)
+
+    return let(F.aggregate(steps, F.array(start), step), to_right)
 
 
 def _without(points: Column, index: Column) -> Column:
@@ -164,11 +180,13 @@ def squash(points: Column, target: int = OUTFIELD) -> Column:
             F.slice(pts, 1, F.greatest(F.size(pts) - 1, F.lit(1))),
             lambda p, i: F.struct(_dist(p, F.get(pts, i + 1)).alias("d"), i.alias("i")),
         )
-        at = F.array_min(gaps)["i"]
-        a, b = F.get(pts, at), F.get(pts, at + 1)
-        middle = F.struct(((a["x"] + b["x"]) / 2.0).alias("x"), ((a["y"] + b["y"]) / 2.0).alias("y"))
-        merged = F.concat(F.slice(pts, 1, at), F.array(middle), F.slice(pts, at + 3, F.size(pts)))
-        return merged
+
+        def merge(at: Column) -> Column:
+            a, b = F.get(pts, at), F.get(pts, at + 1)
+            middle = F.struct(((a["x"] + b["x"]) / 2.0).alias("x"), ((a["y"] + b["y"]) / 2.0).alias("y"))
+            return F.concat(F.slice(pts, 1, at), F.array(middle), F.slice(pts, at + 3, F.size(pts)))
+
+        return let(F.array_min(gaps)["i"], merge)
 
     surplus = F.slice(points, 1, F.greatest(F.size(points) - target, F.lit(0)))
     return F.aggregate(surplus, points, step)
@@ -177,10 +195,10 @@ def squash(points: Column, target: int = OUTFIELD) -> Column:
 def canonical_outfield(points: Column, target: int = OUTFIELD, axis: str = "y") -> Column:
     """Exactly ``target`` outfield points: the deepest point is the keeper, surplus ones are squashed, fewer give NULL."""
     depth = F.transform(points, lambda p: p[axis])
-    keeper = F.array_position(depth, F.array_min(depth)).cast("int") - 1
+    keeper = let(depth, lambda d: F.array_position(d, F.array_min(d)).cast("int") - 1)
     plain = F.transform(points, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
-    out = _without(plain, keeper)
-    return F.when(F.size(out) >= target, squash(out, target))
+    out = let(keeper, lambda k: _without(plain, k))
+    return let(out, lambda o: F.when(F.size(o) >= target, squash(o, target)))
 
 
 def bures(ax: Column, ay: Column, bx: Column, by: Column, xx: Column, xy: Column, yy: Column) -> Column:
@@ -190,31 +208,47 @@ def bures(ax: Column, ay: Column, bx: Column, by: Column, xx: Column, xy: Column
     return F.pow(ax - bx, 2) + F.pow(ay - by, 2) + 1.0 + trace - math.sqrt(2.0) * F.sqrt(trace + 2.0 * F.sqrt(det))
 
 
+def _count_equal(values: Column, wanted: int) -> Column:
+    return F.size(F.filter(values, lambda v: v == wanted))
+
+
 def line_counts(points: Column, lines: int) -> Column:
     """Players per line: right-closed bins between the quantiles of y."""
-    ys = F.transform(points, lambda p: p["y"])
-    cuts = [quantile(ys, i / lines) for i in range(1, lines)]
-    line_of = F.transform(
-        ys, lambda y: sum([F.when(y > c, F.lit(1)).otherwise(F.lit(0)) for c in cuts], F.lit(0))
-    )
-    return F.array(*[F.size(F.filter(line_of, lambda v, k=i: v == k)) for i in range(lines)])
+
+    def of(ordered: Column) -> Column:
+        cuts = F.array(*[sorted_quantile(ordered, i / lines) for i in range(1, lines)])
+        line = let(cuts, lambda c: F.transform(ordered, lambda y: F.size(F.filter(c, lambda q: y > q))))
+        return let(line, lambda l: F.array(*[_count_equal(l, i) for i in range(lines)]))
+
+    return let(F.array_sort(F.transform(points, lambda p: p["y"])), of)
 
 
 def gap_counts(points: Column, lines: int) -> Column:
     """Players per line when the lines are split at the largest gaps of y."""
-    ys = F.array_sort(F.transform(points, lambda p: p["y"]))
-    gaps = F.transform(
-        F.sequence(F.lit(1), F.size(ys) - 1),
-        lambda i: F.struct((-(F.get(ys, i) - F.get(ys, i - 1))).alias("g"), i.alias("i")),
-    )
-    cut = F.array_sort(F.transform(F.slice(F.array_sort(gaps), 1, lines - 1), lambda s: s["i"]))
-    bounds = F.concat(F.array(F.lit(0)), cut, F.array(F.size(ys)))
-    return F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: F.get(bounds, i) - F.get(bounds, i - 1))
+
+    def of(ys: Column) -> Column:
+        gaps = F.transform(
+            F.sequence(F.lit(1), F.size(ys) - 1),
+            lambda i: F.struct((-(F.get(ys, i) - F.get(ys, i - 1))).alias("g"), i.alias("i")),
+        )
+        cut = F.array_sort(F.transform(F.slice(F.array_sort(gaps), 1, lines - 1), lambda s: s["i"]))
+        bounds = F.concat(F.array(F.lit(0)), cut, F.array(F.size(ys)))
+        return let(
+            bounds, lambda b: F.transform(F.sequence(F.lit(1), F.lit(lines)), lambda i: F.get(b, i) - F.get(b, i - 1))
+        )
+
+    return let(F.array_sort(F.transform(points, lambda p: p["y"])), of)
 
 
 def count_variance(counts: Column) -> Column:
-    mean = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c) / F.size(counts)
-    return F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.pow(c - mean, 2)) / F.size(counts)
+    def of(mean: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda a, c: a + F.pow(c - mean, 2)) / F.size(counts)
+
+    return let(F.aggregate(counts, F.lit(0.0), lambda a, c: a + c) / F.size(counts), of)
+
+
+def _option(k: int) -> Callable[[Column], Column]:
+    return lambda c: F.struct(count_variance(c).alias("variance"), F.lit(k).alias("k"), c.alias("counts"))
 
 
 def best_counts(points: Column, lines: str = "quantile") -> Column:
@@ -222,7 +256,10 @@ def best_counts(points: Column, lines: str = "quantile") -> Column:
     split = line_counts if lines == "quantile" else gap_counts
     options = F.array(
         *[
-            F.struct(count_variance(split(points, k)).alias("variance"), F.lit(k).alias("k"), split(points, k).alias("counts"))
+            let(
+                split(points, k),
+                _option(k),
+            )
             for k in (3, 4, 5)
         ]
     )
