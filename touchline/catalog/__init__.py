@@ -1,7 +1,7 @@
 """Registered queries: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.catalog import frames, geometry, joined
+from touchline.catalog import frames, geometry, joined, naming, teams
 
 REGISTRY = {}
-for module in (frames, joined, geometry):
+for module in (frames, joined, geometry, naming, teams):
     REGISTRY.update(module.QUERIES)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.config import ALLOWED_FORMATIONS, COST_CAP, K_MAX, K_MIN, MARGIN_FLOOR, OUTFIELD
+from touchline.config import ALLOWED_FORMATIONS, COST_CAP, K_MAX, K_MIN, MARGIN_FLOOR
+from touchline.functions.batches import append_batchwise
 from touchline.functions.shapes import best_counts, bures
+from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sequences import number_rows
 
 
@@ -64,32 +68,32 @@ def best_assignments(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best[-1], columns
 
 
-ASSIGNMENT = T.StructType().add("cost", T.DoubleType()).add("columns", T.ArrayType(T.IntegerType()))
 BATCH = 1024
 
 
-@F.pandas_udf(ASSIGNMENT)
-def _solve(matrices: pd.Series) -> pd.DataFrame:
+def _solve(matrices: pa.Array) -> list[pa.Array]:
+    """Costs and chosen columns of a batch of flat square matrices; NULL stays NULL."""
+    sizes = np.sqrt(pc.fill_null(pc.list_value_length(matrices), 0).to_numpy(zero_copy_only=False)).round().astype(int)
     costs = np.full(len(matrices), np.nan)
-    columns: list = [None] * len(matrices)
-    sizes = matrices.map(lambda m: 0 if m is None else int(round(len(m) ** 0.5)))
+    chosen: list = [None] * len(matrices)
     for n in sorted(set(sizes) - {0}):
-        at = np.flatnonzero(sizes.to_numpy() == n)
-        for part in np.array_split(at, max(1, -(-len(at) // BATCH))):
-            stack = np.stack([np.asarray(matrices.iloc[i], dtype=float) for i in part]).reshape(len(part), n, n)
-            total, chosen = best_assignments(stack)
+        at = np.flatnonzero(sizes == n)
+        for part in np.array_split(at, -(-len(at) // BATCH)):
+            flat = pc.list_flatten(matrices.take(pa.array(part))).to_numpy(zero_copy_only=False)
+            total, columns = best_assignments(flat.reshape(len(part), n, n))
             costs[part] = total
-            for i, c in zip(part, chosen):
-                columns[i] = c
-    return pd.DataFrame({"cost": costs, "columns": columns})
+            for i, c in zip(part, columns):
+                chosen[i] = c
+    return [pa.array(costs, from_pandas=True), pa.array(chosen, pa.list_(pa.int32()))]
 
 
-def assignment(matrix: Column) -> Column:
-    """Struct of the minimum total cost and the 0-based column of each row, from a flat row-major square matrix.
+def with_assignment(df: DataFrame, matrix: Column, cost: str = "cost", columns: str = "columns") -> DataFrame:
+    """Add the minimum total cost and the 0-based column of each row, from a flat row-major square matrix.
 
     The matrix is built by column expressions; the exact solver runs on Arrow batches inside the tasks.
     """
-    return _solve(matrix)
+    made = T.StructType().add(cost, T.DoubleType()).add(columns, T.ArrayType(T.IntegerType()))
+    return append_batchwise(df, matrix, made, _solve)
 
 
 def role_costs(a: Column, b: Column, cov: Column | None = None) -> Column:
@@ -111,3 +115,293 @@ def square_costs(a: Column, b: Column) -> Column:
     return F.flatten(
         F.transform(a, lambda p: F.transform(b, lambda q: F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2)))
     )
+
+
+# Largest number of blocks clustered together. Real matches stay far below it: a block lasts at least 45 seconds.
+SEGMENT_BLOCKS = 256
+
+
+def with_segment(blocks: DataFrame, keys: list[str], order: str, limit: int = SEGMENT_BLOCKS) -> DataFrame:
+    """Add ``segment``: runs of at most ``limit`` consecutive blocks of the same keys.
+
+    Clustering compares every block with every other one of its segment, so its cost per block is bounded however
+    many blocks one match, side and phase may have.
+    """
+    numbered = number_rows(blocks, keys, order, "_nth")
+    return numbered.withColumn("segment", F.floor((F.col("_nth") - 1) / limit).cast("long")).drop("_nth")
+
+
+def _pair_costs(points: np.ndarray) -> np.ndarray:
+    """Symmetric matrix of assignment costs between the (n, roles, 2) point sets."""
+    n = len(points)
+    out = np.zeros((n, n))
+    left, right = np.triu_indices(n, 1)
+    for at in range(0, len(left), BATCH):
+        i, j = left[at : at + BATCH], right[at : at + BATCH]
+        delta = points[i][:, :, None, :] - points[j][:, None, :, :]
+        out[i, j] = out[j, i] = best_assignments((delta**2).sum(axis=-1))[0]
+    return out
+
+
+def _average_linkage(costs: np.ndarray, counts: list[int]) -> dict[int, np.ndarray]:
+    """Labels of average-linkage clustering for each wanted number of clusters."""
+    n = len(costs)
+    labels = np.arange(n)
+    between = costs.astype(float).copy()
+    np.fill_diagonal(between, np.inf)
+    sizes = np.ones(n)
+    found = {}
+    for clusters in range(n, 0, -1):
+        if clusters in counts:
+            found[clusters] = labels.copy()
+        if clusters == 1:
+            break
+        a, b = sorted(np.unravel_index(int(np.argmin(between)), between.shape))
+        merged = (between[a] * sizes[a] + between[b] * sizes[b]) / (sizes[a] + sizes[b])
+        between[a], between[:, a] = merged, merged
+        between[a, a] = np.inf
+        between[b], between[:, b] = np.inf, np.inf
+        sizes[a] += sizes[b]
+        labels[labels == b] = a
+    return found
+
+
+def _silhouettes(costs: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Silhouette of every member; alone in its cluster counts 0."""
+    names = np.unique(labels)
+    totals = np.stack([costs[:, labels == c].sum(axis=1) for c in names], axis=1)
+    sizes = np.array([(labels == c).sum() for c in names])
+    own = np.searchsorted(names, labels)
+    rows = np.arange(len(labels))
+    inside = totals[rows, own] / np.maximum(sizes[own] - 1, 1)
+    means = totals / sizes
+    means[rows, own] = np.inf
+    outside = means.min(axis=1)
+    widest = np.maximum(inside, outside)
+    score = np.where(widest > 0, (outside - inside) / np.where(widest > 0, widest, 1.0), 0.0)
+    return np.where(sizes[own] > 1, score, 0.0)
+
+
+def _choose_labels(costs: np.ndarray, k_min: int, k_max: int) -> np.ndarray:
+    """Clustering whose number of clusters has the best mean silhouette, the smallest on ties."""
+    n = len(costs)
+    if n <= 2:
+        return np.arange(n)
+    options = list(range(max(2, k_min), min(k_max, n) + 1))
+    found = _average_linkage(costs, [*options, min(2, n)])
+    scored = [(k, _silhouettes(costs, found[k]).mean()) for k in options if k < n]
+    best = None
+    for k, score in scored:
+        if score > (best[1] if best else -1.0):
+            best = (k, score)
+    return found[best[0] if best else min(2, n)]
+
+
+def cluster_blocks(
+    blocks: DataFrame,
+    by: list[str],
+    block: str = "block_id",
+    points: str = "pts",
+    label: str | None = None,
+    k_min: int = K_MIN,
+    k_max: int = K_MAX,
+) -> DataFrame:
+    """Cluster the blocks of each group by the assignment cost of their shapes.
+
+    ``by`` must include the bounded ``segment``; each group is one task's matrix and gives back one row per block:
+    ``cluster_label`` (numbered by first member), ``n_blocks_in_cluster``, ``is_medoid``, ``member_cost`` (summed cost
+    to its cluster), ``silhouette``, and the nearest and summed cost to the whole segment. With ``label`` the clusters
+    are given and only measured.
+    """
+    xs = F.transform(points, lambda p: p["x"])
+    ys = F.transform(points, lambda p: p["y"])
+    # No second name for a column that is already a key.
+    given = [F.col(label).cast("long").alias("_given")] if label else []
+    flat = blocks.where(F.col(points).isNotNull()).select(*by, block, xs.alias("_xs"), ys.alias("_ys"), *given)
+    schema = T.StructType([blocks.schema[c] for c in [*by, block]])
+    for name, kind in (
+        ("cluster_label", T.IntegerType()),
+        ("n_blocks_in_cluster", T.IntegerType()),
+        ("is_medoid", T.BooleanType()),
+        ("member_cost", T.DoubleType()),
+        ("silhouette", T.DoubleType()),
+        ("nearest_cost", T.DoubleType()),
+        ("segment_cost", T.DoubleType()),
+    ):
+        schema = schema.add(name, kind)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(block).reset_index(drop=True)
+        shapes = np.stack([np.stack([x, y], axis=1) for x, y in zip(group["_xs"], group["_ys"])]).astype(float)
+        costs = _pair_costs(shapes)
+        raw = group["_given"].to_numpy() if "_given" in group else _choose_labels(costs, k_min, k_max)
+        labels = pd.factorize(raw)[0]
+        same = labels[:, None] == labels[None, :]
+        member = (costs * same).sum(axis=1)
+        medoid = np.zeros(len(group), dtype=bool)
+        for c in np.unique(labels):
+            at = np.flatnonzero(labels == c)
+            medoid[at[np.argmin(member[at])]] = True
+        away = costs + np.where(np.eye(len(group), dtype=bool), np.inf, 0.0)
+        nearest = away.min(axis=1)
+        out = group[[*by, block]].copy()
+        out["cluster_label"] = labels.astype(np.int32)
+        out["n_blocks_in_cluster"] = same.sum(axis=1).astype(np.int32)
+        out["is_medoid"] = medoid
+        out["member_cost"] = member
+        out["silhouette"] = _silhouettes(costs, labels) if labels.max() > 0 else 0.0
+        out["nearest_cost"] = np.where(np.isfinite(nearest), nearest, np.nan)
+        out["segment_cost"] = costs.sum(axis=1)
+        return out
+
+    return flat.groupBy(*by).applyInPandas(run, schema)
+
+
+def cluster_templates(blocks: DataFrame, clusters: DataFrame, by: list[str], block: str = "block_id", points: str = "pts") -> DataFrame:
+    """Mean shape of each cluster: members are matched role by role to the cluster's medoid.
+
+    Output per group, cluster and role: member count, ``mu_x``, ``mu_y`` and the sample covariance plus 1e-6 on the
+    diagonal.
+    """
+    placed = blocks.join(clusters.select(*by, block, "cluster_label", "is_medoid"), [*by, block])
+    medoids = placed.where("is_medoid").select(*by, "cluster_label", F.col(points).alias("_ref"))
+    met = placed.join(medoids, [*by, "cluster_label"]).select(*by, "cluster_label", F.col(points).alias("p"), "_ref")
+    matched = with_assignment(met, square_costs(F.col("p"), F.col("_ref")), columns="role")
+    roles = matched.select(*by, "cluster_label", F.inline(F.arrays_zip("role", "p")))
+    x, y = F.col("p.x"), F.col("p.y")
+    many = F.count(F.lit(1)) > 1
+    return roles.groupBy(*by, "cluster_label", (F.col("role") + 1).alias("role")).agg(
+        F.count(F.lit(1)).alias("n_members"),
+        F.avg(x).alias("mu_x"),
+        F.avg(y).alias("mu_y"),
+        (F.when(many, F.var_samp(x)).otherwise(0.0) + 1e-6).alias("cov_xx"),
+        F.when(many, F.covar_samp(x, y)).otherwise(0.0).alias("cov_xy"),
+        (F.when(many, F.var_samp(y)).otherwise(0.0) + 1e-6).alias("cov_yy"),
+    )
+
+
+def named_templates(templates: DataFrame, by: list[str], phase: str, lines: str = "gap") -> DataFrame:
+    """Name each cluster's mean shape and merge clusters of the same name.
+
+    Output per group and name: ``members`` and ``roles``, the (x, y, xx, xy, yy) of each role in order.
+    """
+    role = F.struct("role", F.col("mu_x").alias("x"), F.col("mu_y").alias("y"))
+    shape = templates.groupBy(*by, "cluster_label").agg(
+        F.array_sort(F.collect_list(role)).alias("_pts"), F.max("n_members").alias("_members")
+    )
+    counted = shape.withColumn("_counts", best_counts(F.col("_pts"), lines))
+    named = project_to_allowed(counted, "_counts", phase).select(*by, "cluster_label", "formation", "_members")
+    merged = (
+        templates.join(named, [*by, "cluster_label"])
+        .groupBy(*by, "formation", "role")
+        .agg(
+            F.avg("mu_x").alias("x"),
+            F.avg("mu_y").alias("y"),
+            (F.avg("cov_xx") + 1e-6).alias("xx"),
+            F.avg("cov_xy").alias("xy"),
+            (F.avg("cov_yy") + 1e-6).alias("yy"),
+            F.sum("_members").alias("members"),
+        )
+    )
+    return merged.groupBy(*by, "formation").agg(
+        F.array_sort(F.collect_list(F.struct("role", "x", "y", "xx", "xy", "yy"))).alias("roles"),
+        F.max("members").alias("members"),
+    )
+
+
+def match_templates(blocks: DataFrame, templates: DataFrame, by: list[str], block: list[str], points: str = "pts") -> DataFrame:
+    """Best template of each block, plain or mirrored in x, with its cost and the margin to the second best.
+
+    A group has at most ``K_MAX`` templates, so a block meets a handful of rows. The mirror leaves the template's
+    covariance as it is.
+    """
+    sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("_mirror")
+    named = templates.select(*by, F.col("formation").alias("_form"), "roles", "members")
+    pairs = blocks.select(*by, *block, F.col(points).alias("_pts"), sides).join(named, by)
+    turned = F.transform(
+        "_pts", lambda p: F.struct((p["x"] * F.when(F.col("_mirror") == 1, -1.0).otherwise(1.0)).alias("x"), p["y"].alias("y"))
+    )
+    staged = pairs.withColumn("_turned", turned)
+    slim = staged.select(*by, *block, "_mirror", "_form", "members", role_costs(F.col("_turned"), F.col("roles"), F.col("roles")).alias("_m"))
+    costs = with_assignment(slim, F.col("_m"), "_cost", "_columns")
+    option = F.struct(F.col("_cost").alias("cost"), F.col("_mirror").alias("mirror"), F.col("_form").alias("form"), "members")
+    best = costs.groupBy(*by, *block).agg(F.slice(F.array_sort(F.collect_list(option)), 1, 2).alias("_best"))
+    first, second = F.get("_best", F.lit(0)), F.get("_best", F.lit(1))
+    return best.select(
+        *by,
+        *block,
+        first["form"].alias("formation"),
+        first["mirror"].alias("mirrored"),
+        first["cost"].alias("w2_cost"),
+        (second["cost"] - first["cost"]).alias("w2_margin"),
+        first["members"].alias("members"),
+    )
+
+
+# Scale of the median absolute deviation and the factors of the cost gate.
+MAD_SCALE = 1.4826
+MAD_FACTOR = 3.0
+FLAT_FACTOR = 2.5
+
+
+def robust_gates(
+    matches: DataFrame, by: list[str], cost_cap: float = COST_CAP, margin_floor: float = MARGIN_FLOOR
+) -> DataFrame:
+    """Largest accepted cost (median + 3 scaled MADs, capped) and smallest accepted margin (10 % quantile) per group."""
+    middle = exact_quantiles(matches, by, "w2_cost", {"_median": 0.5})
+    spread = matches.join(middle, by).withColumn("_dev", F.abs(F.col("w2_cost") - F.col("_median")))
+    mad = exact_quantiles(spread, by, "_dev", {"_mad": 0.5})
+    margin = exact_quantiles(matches, by, "w2_margin", {"_p10": 0.1})
+    scaled = F.col("_mad") * MAD_SCALE
+    limit = F.when(scaled > 0, F.col("_median") + MAD_FACTOR * scaled).otherwise(F.col("_median") * FLAT_FACTOR)
+    return (
+        middle.join(mad, by)
+        .join(margin, by, "left")
+        .select(
+            *by,
+            F.least(limit, F.lit(float(cost_cap))).alias("cost_limit"),
+            F.greatest(F.coalesce("_p10", F.lit(0.0)), F.lit(float(margin_floor))).alias("margin_limit"),
+        )
+    )
+
+
+# How an accepted template and a model fallback are recorded.
+TEMPLATE_METHOD = "w2_hungarian_template"
+FALLBACK_METHOD = "resnet_fallback_conf_%.3f"
+
+
+def predict_formations(
+    blocks: DataFrame,
+    matches: DataFrame,
+    gates: DataFrame,
+    by: list[str],
+    block: list[str],
+    clusters: DataFrame | None = None,
+    fallback: DataFrame | None = None,
+) -> DataFrame:
+    """Formation of each block: its template's name when cost and margin pass the gates, else the model's label.
+
+    ``fallback`` has ``block`` keys, ``label`` and ``confidence``; without it the label is ``unknown``.
+    """
+    out = blocks.join(matches, [*by, *block], "left").join(gates, by, "left")
+    if clusters is not None:
+        out = out.join(clusters.select(*by, *block, "cluster_label", "n_blocks_in_cluster"), [*by, *block], "left")
+    else:
+        out = out.withColumns({"cluster_label": F.lit(None).cast("int"), "n_blocks_in_cluster": F.lit(None).cast("int")})
+    if fallback is not None:
+        out = out.join(fallback.select(*by, *block, F.col("label").alias("_label"), F.col("confidence").alias("_conf")), [*by, *block], "left")
+    else:
+        out = out.withColumns({"_label": F.lit(None).cast("string"), "_conf": F.lit(None).cast("double")})
+    accepted = F.coalesce(
+        (F.col("w2_cost") <= F.col("cost_limit")) & (F.col("w2_margin") >= F.col("margin_limit")), F.lit(False)
+    )
+    out = out.withColumn("_ok", accepted)
+    return out.withColumns(
+        {
+            "predicted_formation": F.when(F.col("_ok"), F.col("formation")).otherwise(F.coalesce("_label", F.lit("unknown"))),
+            "method": F.when(F.col("_ok"), F.lit(TEMPLATE_METHOD)).otherwise(
+                F.format_string(FALLBACK_METHOD, F.coalesce("_conf", F.lit(0.0)))
+            ),
+            "chosen_template_size": F.when(F.col("_ok"), F.col("members").cast("int")).otherwise(F.col("n_blocks_in_cluster")),
+        }
+    ).drop("formation", "mirrored", "members", "cost_limit", "margin_limit", "_label", "_conf", "_ok")

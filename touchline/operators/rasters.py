@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from touchline.config import PITCH_LENGTH, PITCH_WIDTH, WINDOW_FRAMES
+from touchline.functions.batches import append_batchwise
 from touchline.functions.coords import pixel
 from touchline.operators.sequences import core_rows, halo_window, with_halo
 
@@ -59,18 +61,17 @@ def score_rasters(
 ) -> DataFrame:
     """Add ``logits`` from a user's model, called on (rows, 3, height, width) float32 batches inside the tasks."""
 
-    @F.pandas_udf("array<float>")
-    def logits(codes: pd.Series) -> pd.Series:
-        out = []
+    def logits(codes: pa.Array) -> list[pa.Array]:
+        out: list = []
         for at in range(0, len(codes), rows_per_batch):
-            part = codes.iloc[at : at + rows_per_batch]
+            part = codes.slice(at, rows_per_batch).to_pylist()
             image = np.zeros((len(part), 3 * CELLS), dtype=np.float32)
             for i, row in enumerate(part):
-                image[i, np.asarray(row, dtype=np.int64)] = 1.0
+                image[i, np.asarray(row or [], dtype=np.int64)] = 1.0
             out.extend(np.asarray(model(image.reshape(len(part), 3, HEIGHT, WIDTH)), dtype=np.float32))
-        return pd.Series(out)
+        return [pa.array(out, pa.list_(pa.float32()))]
 
-    return df.withColumn("logits", logits(F.col(cells)))
+    return append_batchwise(df, F.col(cells), T.StructType().add("logits", T.ArrayType(T.FloatType())), logits)
 
 
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
