@@ -1,7 +1,7 @@
 """Registered queries: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.catalog import frames, geometry, joined, naming, teams
+from touchline.catalog import frames, geometry, graphs, joined, learned, naming, teams
 
 REGISTRY = {}
-for module in (frames, joined, geometry, naming, teams):
+for module in (frames, joined, geometry, naming, teams, graphs, learned):
     REGISTRY.update(module.QUERIES)

@@ -9,6 +9,7 @@ from touchline.catalog.frames import CFG, STEPS_SQL, XG, r6
 from touchline.catalog.views import with_views
 from touchline.operators import joins, metrics
 from touchline.operators.masks import first_per_key
+from touchline.session import cut_lineage
 
 PAIR_KEYS = ["provider", "match_id", "period_id"]
 # Fixed value: tolerance of the event synchronisation on the given events, which are minutes apart.
@@ -228,7 +229,7 @@ PAIR_METRICS_SQL = with_views("fx_alive fx_blocks", PAIR_METRICS_CTE + "SELECT m
 
 
 def fvf_from_pairs(spark, sf_dir):
-    pairs = metrics.equal_strength(_pair_metrics(spark, sf_dir))
+    pairs = metrics.equal_strength(cut_lineage(_pair_metrics(spark, sf_dir)))
     out = metrics.matchups(pairs, ["provider", "phase_home", "phase_away", "home_form", "away_form"])
     skip = ["provider", "phase_home", "phase_away", "home_form", "away_form", "pairs"]
     return out.select(*skip, *[r6(c, c) for c in out.columns if c not in skip])

@@ -45,7 +45,8 @@ def flip(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def pixel(c: str | Column, cells: int) -> Column:
     """[0, 1] to a raster index: half-even rounding, clipped to the raster."""
-    return F.greatest(F.lit(0), F.least(F.lit(cells - 1), F.bround(_c(c) * cells).cast("int")))
+    at = F.bround(_c(c) * cells).cast("int")
+    return F.when(at.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(cells - 1), at)))
 
 
 def goal_x(side: str | Column, length: float = PITCH_LENGTH) -> Column:

@@ -149,7 +149,7 @@ def window_metrics(rows: DataFrame, by: list[str], start: str | None = None) ->
 def robust_scale(value: Column, low: Column, high: Column) -> Column:
     """Min-max between two quantiles, clipped to [0, 1]; equal bounds are one apart."""
     top = F.when(high == low, low + 1.0).otherwise(high)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (top - low)))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (top - low))))
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
