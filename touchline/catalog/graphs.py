@@ -12,6 +12,7 @@ from touchline.operators import knowledge as kg
 from touchline.operators import metrics, panels
 from touchline.operators import passgraph as pg
 from touchline.operators import recommend as rc
+from touchline.session import cut_lineage
 
 TEAM = ["team_id"]
 CTX = pg.CONTEXT
@@ -25,6 +26,11 @@ P_SQL = "p AS (" + " UNION ALL ".join(
 ) + ")"
 
 
+def _fvf(spark, sf_dir):
+    """The match-up table, stored once because the query reads it several times."""
+    return cut_lineage(v.fvf(spark, sf_dir))
+
+
 def _slice(spark, sf_dir):
     return v.passes(spark, sf_dir).where("receiver IS NOT NULL")
 
@@ -141,7 +147,7 @@ ids AS (SELECT form, CAST(row_number() OVER (ORDER BY form) - 1 AS INTEGER) AS f
 
 
 def _best(spark, sf_dir):
-    return pg.best_counters(pg.perspectives(v.fvf(spark, sf_dir)))
+    return pg.best_counters(pg.perspectives(_fvf(spark, sf_dir)))
 
 
 def best_counter(spark, sf_dir):
@@ -161,7 +167,7 @@ FORM_IDS_SQL = with_views("fx_fvf", _BEST + "SELECT form, form_id FROM ids")
 
 
 def slice_labels(spark, sf_dir):
-    rows = pg.perspectives(v.fvf(spark, sf_dir))
+    rows = pg.perspectives(_fvf(spark, sf_dir))
     best, overall = pg.best_counters(rows)
     ids = pg.form_ids(best, overall)
     out = pg.slice_labels(rows, best.where("provider = 'sportec'"), overall.where("our_side = 'home'"), ids)
@@ -187,7 +193,7 @@ COUNTERS_SQL = with_views("fx_fvf", _COUNTERS + "SELECT provider, candidate, opp
 
 
 def kg_nodes(spark, sf_dir):
-    counters = kg.counters_edges(v.fvf(spark, sf_dir))
+    counters = kg.counters_edges(_fvf(spark, sf_dir))
     old = kg.counters_nodes(counters)
     seen = counters.groupBy(F.col("candidate").alias("key")).agg(F.count(F.lit(1)).cast("string").alias("n"), F.min("phase").alias("phase"))
     first = seen.select(F.lit("Formation").alias("kind"), "key", F.create_map(F.lit("edges"), "n", F.lit("phase"), F.lit("old")).alias("props"), F.lit("1").alias("at"))
@@ -205,7 +211,7 @@ FROM nk LEFT JOIN sn ON sn.key = nk.key AND kind = 'Formation'""")
 
 
 def kg_edge_upsert(spark, sf_dir):
-    edges = kg.as_edges(kg.counters_edges(v.fvf(spark, sf_dir)))
+    edges = kg.as_edges(kg.counters_edges(_fvf(spark, sf_dir)))
     old = edges.where("provider = 'sportec'")
     out = kg.upsert_edges(old, edges)
     return out.select("src_key", "rel", "dst_key", "phase", "provider", r6("support", "support"))
@@ -309,7 +315,7 @@ kp AS (SELECT *, CASE WHEN sum(support) OVER w <= 1e-12 THEN 1.0 / count(*) OVER
 
 
 def kg_prior(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     out = kg.kg_prior(_contexts(f), kg.counters_edges(f), CTX)
     return out.select(*CTX, "candidate", "tier", r6("support", "support"), r6("prior", "prior"))
 
@@ -318,7 +324,7 @@ KG_PRIOR_SQL = with_views("fx_fvf", _COUNTERS + _KG_PRIOR + f"SELECT {CTX_SQL},
 
 
 def kg_layout(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     options = kg.counter_options(_contexts(f), kg.counters_edges(f), CTX, any_phase=False)
     out = kg.counters_layout(options, CTX)
     return out.select(*CTX, "candidate", "place", r6("x", "x"), r6("y", "y"), r6("width", "width"))
@@ -376,7 +382,7 @@ def _dense(f):
 
 
 def candidate_forms(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     ids = pg.form_ids(*pg.best_counters(pg.perspectives(f)))
     return rc.candidate_forms(_dense(f), _contexts(f), ids, _scores(f, ids)).select(*CTX, "form", "position")
 
@@ -390,7 +396,7 @@ def _tags_frame(f):
 
 
 def matchup_prior(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     candidates = pg.perspectives(f).select(*CTX, F.col("our_form").alias("form")).where("form <> '3-5-2'")
     out = rc.matchup_prior(f, candidates, _tags_frame(f))
     return out.select(*CTX, "strategy", "form", r6("pairs_w", "pairs_w"), r6("composite", "composite"), r6("prior", "prior"))
@@ -438,7 +444,7 @@ FROM n WINDOW w AS (PARTITION BY {CTX_SQL})""")
 
 
 def fuse_scores(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     ids = pg.form_ids(*pg.best_counters(pg.perspectives(f)))
     model = rc.scores_to_probabilities(_scores(f, ids), CTX)
     prior = kg.kg_prior(_contexts(f), kg.counters_edges(f), CTX).withColumnRenamed("candidate", "form")
@@ -460,7 +466,7 @@ SELECT {CTX_SQL}, form, CAST(row_number() OVER (PARTITION BY {CTX_SQL} ORDER BY
 
 
 def recommend(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     ids = pg.form_ids(*pg.best_counters(pg.perspectives(f)))
     counters = kg.counters_edges(f).where("opponent <> '4-4-2'")
     out = rc.recommend(_dense(f), _contexts(f), ids, counters, _scores(f, ids))
@@ -512,7 +518,7 @@ SELECT o_orderkey, """ + ", ".join(f"round(greatest(0, least(1, ({c} - lo_{c}) /
 
 
 def strength_eq(spark, sf_dir):
-    f = v.fvf(spark, sf_dir)
+    f = _fvf(spark, sf_dir)
     f = f.withColumn("home_xt", F.when(F.col("phase_away").isNotNull(), F.col("home_xt")))
     out = metrics.equal_strength(f)
     return out.select("provider", "phase_home", F.coalesce("phase_away", F.lit("")).alias("phase_away"), "home_form", "away_form", r6("home_strength_eq", "home_strength_eq"), r6("away_strength_eq", "away_strength_eq"))

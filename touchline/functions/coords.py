@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.config import PITCH_LENGTH, PITCH_WIDTH
+from touchline.session import sized
 
 
 def _c(c: str | Column) -> Column:
@@ -66,16 +67,18 @@ def auto_scale(
 
     A column whose range lies in [-1, 1] is read as centred (this includes [0, 1] data), then it is stretched to
     leave ``margin`` of the pitch free on both ends and clipped to the pitch. Rows without a start point go. One
-    row of extremes per group joins back to the rows.
+    row of extremes per group, written first so that its size is known, joins back to the rows.
     """
     numeric = df.withColumns({c: F.col(c).cast("double") for c in extents})
     clean = numeric.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in extents})
     finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in extents}
-    stats = clean.groupBy(*by).agg(
-        *[F.min(c).alias(f"_lo_{c}") for c in extents],
-        *[F.max(c).alias(f"_hi_{c}") for c in extents],
-        *[F.min(finite[c]).alias(f"_flo_{c}") for c in extents],
-        *[F.max(finite[c]).alias(f"_fhi_{c}") for c in extents],
+    stats = sized(
+        clean.groupBy(*by).agg(
+            *[F.min(c).alias(f"_lo_{c}") for c in extents],
+            *[F.max(c).alias(f"_hi_{c}") for c in extents],
+            *[F.min(finite[c]).alias(f"_flo_{c}") for c in extents],
+            *[F.max(finite[c]).alias(f"_fhi_{c}") for c in extents],
+        )
     )
     joined = clean.join(stats, by, "left")
     out = {}

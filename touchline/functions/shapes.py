@@ -119,14 +119,19 @@ def pressure_on(players: Column, who: Column, attackers: Column, defenders: Colu
 def centred(players: Column) -> Column:
     """Players relative to the mean of the known points of their side."""
 
-    def mean(side: Column, axis: str) -> Column:
+    def mean(side: str, axis: str) -> Column:
         known = F.filter(players, lambda q: (q["side"] == side) & q[axis].isNotNull())
-        return array_sum(F.transform(known, lambda q: q[axis])) / F.nullif(F.size(known), F.lit(0))
+        return let(known, lambda k: array_sum(F.transform(k, lambda q: q[axis])) / F.nullif(F.size(k), F.lit(0)))
 
-    return F.transform(
-        players,
-        lambda p: p.withField("x", p["x"] - mean(p["side"], "x")).withField("y", p["y"] - mean(p["side"], "y")),
-    )
+    means = F.struct(*[mean(s, a).alias(f"{s}_{a}") for s in ("home", "away") for a in ("x", "y")])
+
+    def shifted(m: Column) -> Column:
+        def of(p: Column, axis: str) -> Column:
+            return p[axis] - F.when(p["side"] == "home", m[f"home_{axis}"]).otherwise(m[f"away_{axis}"])
+
+        return F.transform(players, lambda p: p.withField("x", of(p, "x")).withField("y", of(p, "y")))
+
+    return let(means, shifted)
 
 
 def third_neighbour(points: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +17,7 @@ from touchline.functions.batches import append_batchwise
 from touchline.functions.shapes import best_counts, bures
 from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sequences import number_rows
+from touchline.session import sized
 
 
 def project_to_allowed(
@@ -41,34 +44,46 @@ def project_to_allowed(
     return df.withColumn(name, out)
 
 
+@lru_cache(maxsize=16)
+def _states(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per matched row: the sets of used columns, each set's columns, and the sets they came from."""
+    by_size: list[list[int]] = [[] for _ in range(n + 1)]
+    for used in range(1 << n):
+        by_size[used.bit_count()].append(used)
+    steps = []
+    for size in range(1, n + 1):
+        sets = np.array(by_size[size])
+        columns = np.array([[c for c in range(n) if used >> c & 1] for used in by_size[size]])
+        steps.append((sets, columns, sets[:, None] ^ (1 << columns)))
+    return steps
+
+
 def best_assignments(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cheapest one-to-one assignment of each (n, n) matrix in a (batch, n, n) array.
 
     Row i is matched after rows 0..i-1, so the state is the set of used columns; all matrices of the batch move
-    through the 2^n states together. Returns total costs and the column of every row.
+    through the 2^n states together, one row at a time. Returns total costs and the column of every row.
     """
     batch, n, _ = costs.shape
-    best = np.full((1 << n, batch), np.inf)
+    by_cell = np.ascontiguousarray(costs.transpose(1, 2, 0))
+    best = np.empty((1 << n, batch))
     choice = np.zeros((1 << n, batch), dtype=np.int8)
     best[0] = 0.0
-    for used in range(1, 1 << n):
-        row = bin(used).count("1") - 1
-        for col in range(n):
-            if used >> col & 1:
-                total = best[used ^ (1 << col)] + costs[:, row, col]
-                better = total < best[used]
-                best[used] = np.where(better, total, best[used])
-                choice[used] = np.where(better, col, choice[used])
-    columns = np.zeros((batch, n), dtype=np.int32)
+    for row, (sets, columns, before) in enumerate(_states(n)):
+        totals = best[before] + by_cell[row][columns]
+        pick = totals.argmin(axis=1)
+        best[sets] = np.take_along_axis(totals, pick[:, None, :], axis=1)[:, 0, :]
+        choice[sets] = np.take_along_axis(columns, pick, axis=1)
+    chosen = np.zeros((batch, n), dtype=np.int32)
     state = np.full(batch, (1 << n) - 1)
-    rows = np.arange(batch)
+    each = np.arange(batch)
     for row in range(n - 1, -1, -1):
-        columns[:, row] = choice[state, rows]
-        state = state ^ (1 << columns[:, row].astype(np.int64))
-    return best[-1], columns
+        chosen[:, row] = choice[state, each]
+        state = state ^ (1 << chosen[:, row].astype(np.int64))
+    return best[-1], chosen
 
 
-BATCH = 1024
+BATCH = 64
 
 
 def _solve(matrices: pa.Array) -> list[pa.Array]:
@@ -348,10 +363,16 @@ def robust_gates(
     matches: DataFrame, by: list[str], cost_cap: float = COST_CAP, margin_floor: float = MARGIN_FLOOR
 ) -> DataFrame:
     """Largest accepted cost (median + 3 scaled MADs, capped) and smallest accepted margin (10 % quantile) per group."""
-    middle = exact_quantiles(matches, by, "w2_cost", {"_median": 0.5})
+    both = F.array(
+        F.struct(F.lit("cost").alias("_what"), F.col("w2_cost").alias("_value")),
+        F.struct(F.lit("margin").alias("_what"), F.col("w2_margin").alias("_value")),
+    )
+    long = matches.select(*by, F.inline(both))
+    marks = sized(exact_quantiles(long, [*by, "_what"], "_value", {"_median": 0.5, "_p10": 0.1}))
+    middle = marks.where("_what = 'cost'").select(*by, "_median")
+    margin = marks.where("_what = 'margin'").select(*by, "_p10")
     spread = matches.join(middle, by).withColumn("_dev", F.abs(F.col("w2_cost") - F.col("_median")))
     mad = exact_quantiles(spread, by, "_dev", {"_mad": 0.5})
-    margin = exact_quantiles(matches, by, "w2_margin", {"_p10": 0.1})
     scaled = F.col("_mad") * MAD_SCALE
     limit = F.when(scaled > 0, F.col("_median") + MAD_FACTOR * scaled).otherwise(F.col("_median") * FLAT_FACTOR)
     return (

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import CountVectorizerModel, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from touchline.config import NEGATIVE_METRICS, POSITIVE_METRICS
 from touchline.functions.threat import shot_angle, shot_distance
 from touchline.operators.metrics import equal_strength, robust_minmax
-from touchline.operators.rasters import coarse_counts
+from touchline.operators.rasters import CHANNELS, coarse_zones
 
 # The inverse penalties tried for the strength model and its smallest training set.
 PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
@@ -92,7 +92,10 @@ def fit_phase_classifier(rasters: DataFrame, label: str, cells: str = "cells", c
 
 
 def zone_features(rasters: DataFrame, cells: str = "cells", columns: int = 7, rows: int = 4) -> DataFrame:
-    return rasters.withColumn("zones", array_to_vector(coarse_counts(F.col(cells), columns, rows)))
+    """Add ``zones``: occupied cells per channel and coarse pitch zone as a vector."""
+    names = [str(z) for z in range(len(CHANNELS) * columns * rows)]
+    counter = CountVectorizerModel.from_vocabulary(names, inputCol="_tokens", outputCol="zones")
+    return counter.transform(rasters.withColumn("_tokens", coarse_zones(F.col(cells), columns, rows))).drop("_tokens")
 
 
 def classify_phases(model: PipelineModel, rasters: DataFrame, label: str, cells: str = "cells", columns: int = 7, rows: int = 4) -> DataFrame:

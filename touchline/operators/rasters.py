@@ -90,14 +90,12 @@ def decode(probabilities: Column, labels: list[str]) -> Column:
     return F.struct(F.get(F.array(*[F.lit(l) for l in labels]), at).alias("label"), best.alias("confidence"))
 
 
-def coarse_counts(cells: Column, columns: int = 7, rows: int = 4) -> Column:
-    """Occupied cells per channel and coarse pitch zone, as a feature array."""
-    zone = lambda c: (
-        F.floor(c / CELLS) * (columns * rows)
-        + F.floor(F.floor(c % CELLS / WIDTH) * rows / HEIGHT) * columns
-        + F.floor((c % WIDTH) * columns / WIDTH)
-    ).cast("int")
-    zones = F.transform(cells, zone)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(3 * columns * rows - 1)), lambda z: F.size(F.filter(zones, lambda v: v == z)).cast("double")
-    )
+def coarse_zones(cells: Column, columns: int = 7, rows: int = 4) -> Column:
+    """Channel and coarse pitch zone of every occupied cell, as text tokens."""
+
+    def zone(c: Column) -> Column:
+        across = F.floor((c % WIDTH) * columns / WIDTH)
+        up = F.floor(F.floor(c % CELLS / WIDTH) * rows / HEIGHT)
+        return (F.floor(c / CELLS) * (columns * rows) + up * columns + across).cast("string")
+
+    return F.transform(cells, zone)

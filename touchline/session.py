@@ -54,3 +54,12 @@ def shared_table(df: DataFrame, kind: str = "parquet", **options: str) -> str:
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.format(kind).options(**options).save(path)
     return path
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Write a summary table and read it back, so that its size is known before it is joined.
+
+    The planner then broadcasts it when it is under ``spark.sql.autoBroadcastJoinThreshold`` and the rows it joins
+    stay where they are; a larger one is joined by shuffling both sides.
+    """
+    return df.sparkSession.read.schema(df.schema).parquet(shared_table(df))
