@@ -11,7 +11,7 @@ from touchline.config import PROVIDERS
 from touchline.functions.events import is_defence, is_pass, is_set_piece, is_shot
 from touchline.functions.threat import expected_threat, goal_probability, shot_angle, shot_distance
 from touchline.operators import masks, metrics
-from touchline.session import cut_lineage
+from touchline.session import stored
 
 PAD = 5
 XG = (0.4, -0.11, 1.2)
@@ -26,7 +26,7 @@ def r6(c, name: str | None = None):
 
 
 def _facts(spark, sf_dir) -> DataFrame:
-    return metrics.frame_facts(cut_lineage(v.alive(spark, sf_dir)), XG, CFG)
+    return metrics.frame_facts(stored(v.alive(spark, sf_dir)), XG, CFG)
 
 
 def match_profile(spark, sf_dir):
@@ -188,7 +188,7 @@ FULL_WINDOW_SQL = with_views("fx_alive", CHANGES_SQL + "SELECT match_id, period_
 
 
 def possession_recovery(spark, sf_dir):
-    rows = masks.possession_steps(cut_lineage(v.alive(spark, sf_dir)), CFG)
+    rows = masks.possession_steps(stored(v.alive(spark, sf_dir)), CFG)
     start = F.lit(-(2**62))
     aggs = metrics.possession_metrics("home", start) | metrics.possession_metrics("away", start)
     return rows.groupBy(*KEYS).agg(*[r6(c, n) for n, c in aggs.items()])
@@ -292,7 +292,7 @@ FROM m""")
 
 
 def quick_strength(spark, sf_dir):
-    wide = metrics.window_metrics(_facts(spark, sf_dir), KEYS)
+    wide = metrics.sequence_metrics(_facts(spark, sf_dir), KEYS)
     return wide.select(*KEYS, r6("home_quick_strength", "home_quick_strength"), r6("away_quick_strength", "away_quick_strength"))
 
 

@@ -12,7 +12,7 @@ from touchline.operators import knowledge as kg
 from touchline.operators import metrics, panels
 from touchline.operators import passgraph as pg
 from touchline.operators import recommend as rc
-from touchline.session import cut_lineage
+from touchline.session import stored
 
 TEAM = ["team_id"]
 CTX = pg.CONTEXT
@@ -28,7 +28,7 @@ P_SQL = "p AS (" + " UNION ALL ".join(
 
 def _fvf(spark, sf_dir):
     """The match-up table, stored once because the query reads it several times."""
-    return cut_lineage(v.fvf(spark, sf_dir))
+    return stored(v.fvf(spark, sf_dir))
 
 
 def _slice(spark, sf_dir):

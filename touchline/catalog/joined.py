@@ -9,7 +9,7 @@ from touchline.catalog.frames import CFG, STEPS_SQL, XG, r6
 from touchline.catalog.views import with_views
 from touchline.operators import joins, metrics
 from touchline.operators.masks import first_per_key
-from touchline.session import cut_lineage
+from touchline.session import stored
 
 PAIR_KEYS = ["provider", "match_id", "period_id"]
 # Fixed value: tolerance of the event synchronisation on the given events, which are minutes apart.
@@ -116,8 +116,10 @@ SELECT provider, match_id, side, phase, period_id, min(start_frame) AS start_fra
 FROM fx_blocks GROUP BY ALL""")
 
 
-def _pairs(spark, sf_dir):
+def _pairs(spark, sf_dir, tracked=None):
     b = v.blocks(spark, sf_dir)
+    if tracked is not None:
+        b = b.join(tracked, PAIR_KEYS, "left_semi")
     keys = ["provider", "match_id", "side", "phase", "period_id", "block_id"]
     forms = b.where("predicted_formation IS NOT NULL").select(*keys, "predicted_formation")
     named = joins.block_forms(b.drop("predicted_formation"), forms, keys)
@@ -150,8 +152,9 @@ INTERVAL_PAIRS_SQL = with_views("fx_blocks", PAIRS_SQL + "SELECT * FROM pairs")
 
 
 def frames_in_pairs(spark, sf_dir):
-    pairs = _pair_columns(_pairs(spark, sf_dir)).drop("provider")
-    f = v.alive(spark, sf_dir).select("match_id", "period_id", "frame", "original_event")
+    f = stored(v.alive(spark, sf_dir).select(*PAIR_KEYS, "frame", "original_event"))
+    pairs = _pair_columns(_pairs(spark, sf_dir, stored(f.select(*PAIR_KEYS).distinct()))).drop("provider")
+    f = f.drop("provider")
     rows = joins.frames_in_intervals(f, pairs, ["match_id", "period_id"])
     return rows.groupBy("match_id", "period_id", "home_block_id", "away_block_id").agg(
         F.count(F.lit(1)).alias("n_frames"), F.count("original_event").alias("n_events"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")
@@ -180,11 +183,12 @@ WHERE n >= 13 OR frame BETWEEN start_frame AND end_frame""")
 
 
 def _pair_metrics(spark, sf_dir):
-    pairs = _pair_columns(_pairs(spark, sf_dir))
-    facts = metrics.frame_facts(v.alive(spark, sf_dir), XG, CFG).drop("provider", "phase_home", "phase_away")
-    rows = joins.frames_in_intervals(facts, pairs, ["match_id", "period_id"])
-    by = [*PAIR_KEYS, "home_block_id", "away_block_id", "phase_home", "phase_away", "home_form", "away_form", "pair_start"]
-    return metrics.window_metrics(rows, by, "pair_start")
+    facts = stored(metrics.frame_facts(stored(v.alive(spark, sf_dir)), XG, CFG).drop("phase_home", "phase_away"))
+    tracked = stored(facts.select(*PAIR_KEYS).distinct())
+    pairs = stored(_pair_columns(_pairs(spark, sf_dir, tracked)))
+    by = [*PAIR_KEYS, "home_block_id", "away_block_id", "pair_start"]
+    measured = metrics.interval_metrics(facts, pairs, PAIR_KEYS, by)
+    return measured.join(pairs.drop("pair_end"), by)
 
 
 METRIC_COLUMNS = [f"{s}_{m}" for s in ("home", "away") for m in ("xg", "possession_pct", "recovery_s", "xt", "ppda", "quick_strength")]
@@ -229,7 +233,7 @@ PAIR_METRICS_SQL = with_views("fx_alive fx_blocks", PAIR_METRICS_CTE + "SELECT m
 
 
 def fvf_from_pairs(spark, sf_dir):
-    pairs = metrics.equal_strength(cut_lineage(_pair_metrics(spark, sf_dir)))
+    pairs = metrics.equal_strength(stored(_pair_metrics(spark, sf_dir)))
     out = metrics.matchups(pairs, ["provider", "phase_home", "phase_away", "home_form", "away_form"])
     skip = ["provider", "phase_home", "phase_away", "home_form", "away_form", "pairs"]
     return out.select(*skip, *[r6(c, c) for c in out.columns if c not in skip])

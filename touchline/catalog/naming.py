@@ -10,7 +10,7 @@ from touchline.catalog.geometry import r4
 from touchline.catalog.views import with_views
 from touchline.functions.shapes import canonical_outfield
 from touchline.operators import formations as fm
-from touchline.session import cut_lineage
+from touchline.session import stored
 
 ROLES = 4
 GROUP = ["side", "segment"]
@@ -135,7 +135,7 @@ def _templates(blocks):
 
 def _matches(spark, sf_dir):
     b = v.role_points(spark, sf_dir, ROLES)
-    return b, cut_lineage(fm.match_templates(b, _templates(b), ["side"], ["frame"]))
+    return b, stored(fm.match_templates(b, _templates(b), ["side"], ["frame"]))
 
 
 def template_match(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.config import PITCH_LENGTH, PITCH_WIDTH
-from touchline.session import sized
+from touchline.session import stored
 
 
 def _c(c: str | Column) -> Column:
@@ -72,28 +72,27 @@ def auto_scale(
     numeric = df.withColumns({c: F.col(c).cast("double") for c in extents})
     clean = numeric.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in extents})
     finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in extents}
-    stats = sized(
-        clean.groupBy(*by).agg(
-            *[F.min(c).alias(f"_lo_{c}") for c in extents],
-            *[F.max(c).alias(f"_hi_{c}") for c in extents],
-            *[F.min(finite[c]).alias(f"_flo_{c}") for c in extents],
-            *[F.max(finite[c]).alias(f"_fhi_{c}") for c in extents],
-        )
+    ends = clean.groupBy(*by).agg(
+        *[F.min(c).alias(f"lo_{c}") for c in extents],
+        *[F.max(c).alias(f"hi_{c}") for c in extents],
+        *[F.min(finite[c]).alias(f"a_{c}") for c in extents],
+        *[F.max(finite[c]).alias(f"b_{c}") for c in extents],
     )
-    joined = clean.join(stats, by, "left")
-    out = {}
+    # Domain change and stretch are linear, so a group needs one factor and one offset per column.
+    linear = []
     for c, size in extents.items():
-        lo, hi = F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
-        centred = (lo >= -1.01) & (hi <= 1.01)
-
-        def domain(v: Column) -> Column:
-            return F.when(centred, (v + 1.0) / 2.0 * size).otherwise(v)
-
-        value = domain(F.col(c))
+        centred = (F.col(f"lo_{c}") >= -1.01) & (F.col(f"hi_{c}") <= 1.01)
+        factor, offset = F.when(centred, size / 2.0).otherwise(1.0), F.when(centred, size / 2.0).otherwise(0.0)
         if stretch:
-            a, b = domain(F.col(f"_flo_{c}")), domain(F.col(f"_fhi_{c}"))
-            m = margin * size
-            value = F.when(b > a, (value - a) * ((size - 2 * m) / (b - a)) + m).otherwise(value)
-        out[c] = F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(size)), value)))
-    scaled = joined.withColumns(out).select(*df.columns)
-    return scaled.dropna(subset=[c for c in required if c in extents])
+            a, b = F.col(f"a_{c}") * factor + offset, F.col(f"b_{c}") * factor + offset
+            grow = (size - 2 * margin * size) / (b - a)
+            offset = F.when(b > a, (offset - a) * grow + margin * size).otherwise(offset)
+            factor = F.when(b > a, factor * grow).otherwise(factor)
+        linear += [factor.alias(f"_f_{c}"), offset.alias(f"_o_{c}")]
+    joined = clean.join(stored(ends.select(*by, *linear)), by, "left")
+    moved = {c: F.col(c) * F.col(f"_f_{c}") + F.col(f"_o_{c}") for c in extents}
+    clipped = {
+        c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(size)), moved[c]))) for c, size in extents.items()
+    }
+    needed = [c for c in required if c in extents]
+    return joined.dropna(subset=needed).withColumns(clipped).select(*df.columns)

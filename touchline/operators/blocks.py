@@ -73,9 +73,9 @@ def blocks_from_cuts(
     """
     zero = lengths.select(*keys, F.lit(0).cast("long").alias("cut"))
     points = cuts.select(*keys, F.col("cut").cast("long")).where("cut > 0").distinct().unionByName(zero)
-    sized = next_order(points, keys, "cut", "_next").join(lengths, keys)
+    stored = next_order(points, keys, "cut", "_next").join(lengths, keys)
     length = F.coalesce(F.col("_next"), F.col("n_rows")) - F.col("cut")
-    starts = sized.where((F.col("cut") == 0) | (length >= tiny_rows)).select(*keys, "n_rows", F.col("cut").alias("start_row"))
+    starts = stored.where((F.col("cut") == 0) | (length >= tiny_rows)).select(*keys, "n_rows", F.col("cut").alias("start_row"))
     closed = next_order(starts, keys, "start_row", "_next")
     return closed.select(*keys, "start_row", (F.coalesce(F.col("_next"), F.col("n_rows")) - 1).alias("end_row"))
 

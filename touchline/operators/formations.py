@@ -17,7 +17,7 @@ from touchline.functions.batches import append_batchwise
 from touchline.functions.shapes import best_counts, bures
 from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sequences import number_rows
-from touchline.session import sized
+from touchline.session import compute_partitions, stored
 
 
 def project_to_allowed(
@@ -269,7 +269,8 @@ def cluster_blocks(
         out["segment_cost"] = costs.sum(axis=1)
         return out
 
-    return flat.groupBy(*by).applyInPandas(run, schema)
+    spread = flat.repartition(compute_partitions(blocks.sparkSession), *by)
+    return spread.groupBy(*by).applyInPandas(run, schema)
 
 
 def cluster_templates(blocks: DataFrame, clusters: DataFrame, by: list[str], block: str = "block_id", points: str = "pts") -> DataFrame:
@@ -331,8 +332,9 @@ def match_templates(blocks: DataFrame, templates: DataFrame, by: list[str], bloc
     covariance as it is.
     """
     sides = F.explode(F.array(F.lit(0), F.lit(1))).alias("_mirror")
-    named = templates.select(*by, F.col("formation").alias("_form"), "roles", "members")
-    pairs = blocks.select(*by, *block, F.col(points).alias("_pts"), sides).join(named, by)
+    named = stored(templates.select(*by, F.col("formation").alias("_form"), "roles", "members"))
+    spread = blocks.select(*by, *block, F.col(points).alias("_pts")).repartition(compute_partitions(blocks.sparkSession), *by, *block)
+    pairs = spread.select("*", sides).join(named, by)
     turned = F.transform(
         "_pts", lambda p: F.struct((p["x"] * F.when(F.col("_mirror") == 1, -1.0).otherwise(1.0)).alias("x"), p["y"].alias("y"))
     )
@@ -368,7 +370,7 @@ def robust_gates(
         F.struct(F.lit("margin").alias("_what"), F.col("w2_margin").alias("_value")),
     )
     long = matches.select(*by, F.inline(both))
-    marks = sized(exact_quantiles(long, [*by, "_what"], "_value", {"_median": 0.5, "_p10": 0.1}))
+    marks = stored(exact_quantiles(long, [*by, "_what"], "_value", {"_median": 0.5, "_p10": 0.1}))
     middle = marks.where("_what = 'cost'").select(*by, "_median")
     margin = marks.where("_what = 'margin'").select(*by, "_p10")
     spread = matches.join(middle, by).withColumn("_dev", F.abs(F.col("w2_cost") - F.col("_median")))

@@ -122,21 +122,95 @@ def quick_strength(xg: Column, possession: Column, recovery: Column) -> Column:
     return 0.5 * xg + 0.3 * F.coalesce(possession, F.lit(0.0)) + 0.2 * F.coalesce(speed, F.lit(0.0))
 
 
-def window_metrics(rows: DataFrame, by: list[str], start: str | None = None) -> DataFrame:
-    """One row per window with every metric the rows allow.
+def _count(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("long")
 
-    ``rows`` are frame facts joined to their windows; ``start`` names the window's first frame. The aggregate is
-    partial on the map side, so a window of any length costs one small row per task.
+
+def _row_parts(df: DataFrame, frame: str) -> dict[str, Column]:
+    """Summable parts of one frame: every window metric is a formula over sums of these."""
+    parts = {"n_frames": F.lit(1).cast("long")}
+    for s in SIDES:
+        own, rival = F.col("poss") == s, F.col("poss") == OTHER[s]
+        parts |= {
+            f"{s}_own": _count(own),
+            f"{s}_xg": F.when(own, F.col("xg")),
+            f"{s}_xt_sum": F.when(own, F.col("xt")),
+            f"{s}_xt_n": _count(own & F.col("xt").isNotNull()),
+            f"{s}_passes": _count(own & F.col("is_pass")),
+            f"{s}_acts": _count(own & F.col("is_defence")),
+            f"{s}_wins": _count(F.col(f"to_{s}")),
+            f"{s}_gaps": F.col(f"{s}_gap"),
+            f"{s}_gaps_n": _count(F.col(f"{s}_gap").isNotNull()),
+        }
+        if "pressure" in df.columns:
+            pressure = F.when(rival, F.col("pressure"))
+            parts |= {
+                f"{s}_press_sum": pressure,
+                f"{s}_press_n": _count(pressure.isNotNull()),
+                f"{s}_pressed": _count(pressure >= PRESS_THRESHOLD),
+            }
+            for m in ("width", "depth", "stretch"):
+                parts |= {f"{s}_{m}_sum": F.col(f"{s}_{m}"), f"{s}_{m}_n": _count(F.col(f"{s}_{m}").isNotNull())}
+    return parts
+
+
+def _row_firsts(frame: str) -> dict[str, Column]:
+    """What the first row and the first ball win of a window add that may have begun before it."""
+    firsts = {"_at": F.col(frame)}
+    for s in SIDES:
+        won = F.col(f"{s}_gap").isNotNull()
+        firsts |= {
+            f"_arrived_{s}": _count(F.col(f"to_{s}")),
+            f"_won_at_{s}": F.when(won, F.col(frame)),
+            f"_won_gap_{s}": F.col(f"{s}_gap"),
+            f"_won_lost_{s}": F.col(f"{s}_lost_after"),
+        }
+    return firsts
+
+
+def _merge(parts: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Sum the parts of each group and keep its earliest row's and earliest ball win's values."""
+    aggs = [F.sum(n).alias(n) for n in names] + [F.min("_at").alias("_at")]
+    for s in SIDES:
+        aggs += [
+            F.min_by(f"_arrived_{s}", "_at").alias(f"_arrived_{s}"),
+            F.min(f"_won_at_{s}").alias(f"_won_at_{s}"),
+            F.min_by(f"_won_gap_{s}", f"_won_at_{s}").alias(f"_won_gap_{s}"),
+            F.min_by(f"_won_lost_{s}", f"_won_at_{s}").alias(f"_won_lost_{s}"),
+        ]
+    return parts.groupBy(*by).agg(*aggs)
+
+
+def _from_parts(sums: DataFrame, by: list[str], start: Column, fps: int = FPS) -> DataFrame:
+    """Metrics of each group from its merged parts.
+
+    The first row's arrival never counts, and the first ball win counts only when the ball was lost inside the window.
     """
-    begin = F.col(start) if start else F.lit(-(2**62))
-    players = "pressure" in rows.columns
-    aggs: dict[str, Column] = {}
+    players = "home_press_sum" in sums.columns
+    out: dict[str, Column] = {}
     for s in SIDES:
-        aggs |= threat_metrics(s) | possession_metrics(s, begin) | ppda_metric(s, begin)
+        o = OTHER[s]
+        stray = F.coalesce(F.col(f"_won_lost_{s}") < start, F.lit(True)) & F.col(f"_won_at_{s}").isNotNull()
+        gaps = F.coalesce(f"{s}_gaps", F.lit(0)) - F.when(stray, F.col(f"_won_gap_{s}")).otherwise(0)
+        gaps_n = F.col(f"{s}_gaps_n") - F.when(stray, 1).otherwise(0)
+        wins = F.col(f"{s}_wins") - F.col(f"_arrived_{s}")
+        out |= {
+            f"{s}_xg": F.coalesce(f"{s}_xg", F.lit(0.0)),
+            f"{s}_possession_pct": F.col(f"{s}_own") * 100.0 / F.col("n_frames"),
+            f"{s}_recovery_s": gaps / F.nullif(gaps_n, F.lit(0)) / float(fps),
+            f"{s}_xt": F.coalesce(F.col(f"{s}_xt_sum") / F.nullif(F.col(f"{s}_xt_n"), F.lit(0)), F.lit(0.0)),
+            f"{s}_ppda": F.col(f"{o}_passes") / F.greatest(F.lit(1), F.col(f"{s}_acts") + wins),
+        }
         if players:
-            aggs |= pressure_metrics(s) | spacing_means(s)
-    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_frames"), *[c.alias(n) for n, c in aggs.items()])
-    return out.withColumns(
+            out |= {
+                f"{s}_ppda_press": F.col(f"{o}_passes") / F.greatest(F.lit(1), F.col(f"{s}_pressed")),
+                f"{s}_press_rate": F.col(f"{s}_pressed") / F.greatest(F.lit(1), F.col(f"{o}_own")),
+                f"{s}_avg_press": F.col(f"{s}_press_sum") / F.nullif(F.col(f"{s}_press_n"), F.lit(0)),
+            }
+            for m in ("width", "depth", "stretch"):
+                out[f"{s}_{m}"] = F.col(f"{s}_{m}_sum") / F.nullif(F.col(f"{s}_{m}_n"), F.lit(0))
+    measured = sums.select(*by, "n_frames", *[c.alias(n) for n, c in out.items()])
+    return measured.withColumns(
         {
             f"{s}_quick_strength": quick_strength(
                 F.col(f"{s}_xg"), F.col(f"{s}_possession_pct"), F.col(f"{s}_recovery_s")
@@ -146,6 +220,57 @@ def window_metrics(rows: DataFrame, by: list[str], start: str | None = None) ->
     )
 
 
+def sequence_metrics(facts: DataFrame, by: list[str], frame: str = "frame") -> DataFrame:
+    """Every metric the facts allow over whole sequences, one row per ``by``."""
+    parts, firsts = _row_parts(facts, frame), _row_firsts(frame)
+    rows = facts.select(*by, *[c.alias(n) for n, c in parts.items()], *[c.alias(n) for n, c in firsts.items()])
+    return _from_parts(_merge(rows, by, list(parts)), by, F.lit(-(2**62)))
+
+
+# Frames per summary chunk of ``interval_metrics``.
+SUMMARY_FRAMES = 64
+
+
+def interval_metrics(
+    facts: DataFrame,
+    intervals: DataFrame,
+    keys: list[str],
+    by: list[str],
+    start: str = "pair_start",
+    end: str = "pair_end",
+    frame: str = "frame",
+    chunk: int = SUMMARY_FRAMES,
+) -> DataFrame:
+    """Every metric the facts allow over each interval of frames.
+
+    Frames are summarised per chunk once. An interval joins the summaries of the chunks it covers and the single
+    frames at its two ends, all by equality of keys and chunk, so a pair of ten-minute blocks costs a few hundred rows
+    instead of 15,000 and crowded matches spread over their chunks. ``by`` names the columns of an interval and must
+    include ``keys`` and ``start``.
+    """
+    parts, firsts = _row_parts(facts, frame), _row_firsts(frame)
+    rows = facts.select(
+        *keys,
+        F.floor(F.col(frame) / chunk).cast("long").alias("_chunk"),
+        *[c.alias(n) for n, c in parts.items()],
+        *[c.alias(n) for n, c in firsts.items()],
+    )
+    summaries = _merge(rows, [*keys, "_chunk"], list(parts))
+    first_whole = F.ceil(F.col(start) / chunk).cast("long")
+    last_whole = (F.floor((F.col(end) + 1) / chunk) - 1).cast("long")
+    spans = intervals.select(*dict.fromkeys([*by, start, end])).withColumns(
+        {"_a": first_whole, "_b": last_whole, "_c": F.floor(F.col(start) / chunk).cast("long"), "_d": F.floor(F.col(end) / chunk).cast("long")}
+    )
+    inner = spans.where("_a <= _b").withColumn("_chunk", F.explode(F.sequence("_a", "_b")))
+    left_end = F.when((F.col("_c") < F.col("_a")) | (F.col("_c") > F.col("_b")), F.col("_c"))
+    right_end = F.when(((F.col("_d") < F.col("_a")) | (F.col("_d") > F.col("_b"))) & (F.col("_d") != F.col("_c")), F.col("_d"))
+    ends = spans.withColumn("_chunk", F.explode(F.array_compact(F.array(left_end, right_end))))
+    columns = [*by, *parts, *firsts]
+    covered = inner.join(summaries, [*keys, "_chunk"]).select(*columns)
+    single = ends.join(rows, [*keys, "_chunk"]).where(F.col("_at").between(F.col(start), F.col(end))).select(*columns)
+    return _from_parts(_merge(covered.unionByName(single), by, list(parts)), by, F.col(start))
+
+
 def robust_scale(value: Column, low: Column, high: Column) -> Column:
     """Min-max between two quantiles, clipped to [0, 1]; equal bounds are one apart."""
     top = F.when(high == low, low + 1.0).otherwise(high)

@@ -40,15 +40,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: what follows reads files that outlive an executor, and upstream work runs once."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def shared_table(df: DataFrame, kind: str = "parquet", **options: str) -> str:
     """Write ``df`` to a new folder in the shared folder and return its path."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -56,10 +47,17 @@ def shared_table(df: DataFrame, kind: str = "parquet", **options: str) -> str:
     return path
 
 
-def sized(df: DataFrame) -> DataFrame:
-    """Write a summary table and read it back, so that its size is known before it is joined.
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The planner then broadcasts it when it is under ``spark.sql.autoBroadcastJoinThreshold`` and the rows it joins
-    stay where they are; a larger one is joined by shuffling both sides.
+    Its lineage ends there: a lost executor costs a re-read, several readers cost one computation, and readers prune
+    columns. Its size is known too, so the planner broadcasts it in a join exactly when it is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and the rows it meets stay where they are; a larger one is joined by
+    shuffling both sides.
     """
     return df.sparkSession.read.schema(df.schema).parquet(shared_table(df))
+
+
+def compute_partitions(spark: SparkSession) -> int:
+    """Partitions for work whose cost is computation rather than bytes, which size-based merging would bunch up."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
