@@ -128,7 +128,8 @@ def interval_pairs(
     h, a = listed(home, "home"), listed(away, "away")
     begin = F.greatest(f"home_{start}", f"away_{start}")
     finish = F.least(f"home_{end}", f"away_{end}")
-    met = h.join(a, [*keys, "_bucket"]).where(
+    # Listed intervals outgrow the planner's size estimate, so neither side is left for it to broadcast.
+    met = h.hint("merge").join(a, [*keys, "_bucket"]).where(
         (finish - begin + 1 >= min_overlap) & (finish >= begin) & (F.floor(begin / bucket) == F.col("_bucket"))
     )
     return met.withColumns({"pair_start": begin, "pair_end": finish}).drop("_bucket")
@@ -147,7 +148,7 @@ def frames_in_intervals(
     first, last = F.floor(F.col(start) / bucket).cast("long"), F.floor(F.col(end) / bucket).cast("long")
     i = intervals.withColumn("_bucket", F.explode(F.sequence(first, last)))
     f = frames.withColumn("_bucket", F.floor(F.col(frame) / bucket).cast("long"))
-    return f.join(i, [*keys, "_bucket"]).where(F.col(frame).between(F.col(start), F.col(end))).drop("_bucket")
+    return f.join(i.hint("merge"), [*keys, "_bucket"]).where(F.col(frame).between(F.col(start), F.col(end))).drop("_bucket")
 
 
 def block_center_frames(
@@ -169,7 +170,7 @@ def block_center_frames(
     block_cols = blocks.columns
     b = blocks.withColumn("_centre", centre)
     listed = b.withColumn(frame, F.explode(F.sequence(F.greatest(F.col("_centre") - half, F.lit(0)), F.col("_centre") + half)))
-    found = listed.join(frames, [*keys, frame])
+    found = listed.hint("merge").join(frames, [*keys, frame])
     w = Window.partitionBy(*block_cols)
     counted = found.withColumn("_found", F.count(F.lit(1)).over(w))
     inside = F.col(frame).between(F.col(start), F.col(end))

@@ -11,6 +11,7 @@ from touchline.functions.shapes import carrier, pressure_on, spacing
 from touchline.functions.threat import expected_threat, goal_probability
 from touchline.operators.masks import SEQUENCE, possession_steps
 from touchline.operators.quantiles import exact_quantiles
+from touchline.session import compute_partitions
 
 SIDES = ("home", "away")
 OTHER = {"home": "away", "away": "home"}
@@ -258,7 +259,9 @@ def interval_metrics(
     summaries = _merge(rows, [*keys, "_chunk"], list(parts))
     first_whole = F.ceil(F.col(start) / chunk).cast("long")
     last_whole = (F.floor((F.col(end) + 1) / chunk) - 1).cast("long")
-    spans = intervals.select(*dict.fromkeys([*by, start, end])).withColumns(
+    # A stored interval list may be one small file; its expansion is the work, so it is spread first.
+    listed = intervals.select(*dict.fromkeys([*by, start, end])).repartition(compute_partitions(intervals.sparkSession), *by)
+    spans = listed.withColumns(
         {"_a": first_whole, "_b": last_whole, "_c": F.floor(F.col(start) / chunk).cast("long"), "_d": F.floor(F.col(end) / chunk).cast("long")}
     )
     inner = spans.where("_a <= _b").withColumn("_chunk", F.explode(F.sequence("_a", "_b")))
@@ -266,8 +269,9 @@ def interval_metrics(
     right_end = F.when(((F.col("_d") < F.col("_a")) | (F.col("_d") > F.col("_b"))) & (F.col("_d") != F.col("_c")), F.col("_d"))
     ends = spans.withColumn("_chunk", F.explode(F.array_compact(F.array(left_end, right_end))))
     columns = [*by, *parts, *firsts]
-    covered = inner.join(summaries, [*keys, "_chunk"]).select(*columns)
-    single = ends.join(rows, [*keys, "_chunk"]).where(F.col("_at").between(F.col(start), F.col(end))).select(*columns)
+    # The planner sizes the interval lists before they are spread over chunks, so it must not choose to broadcast them.
+    covered = inner.hint("merge").join(summaries, [*keys, "_chunk"]).select(*columns)
+    single = ends.hint("merge").join(rows, [*keys, "_chunk"]).where(F.col("_at").between(F.col(start), F.col(end))).select(*columns)
     return _from_parts(_merge(covered.unionByName(single), by, list(parts)), by, F.col(start))
 
 
