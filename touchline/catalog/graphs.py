@@ -63,7 +63,7 @@ k AS (SELECT * FROM fx_passes WHERE receiver IS NOT NULL),
 t AS (SELECT team_id, passer AS player, 1 AS made, CAST(success AS DOUBLE) AS ok, x AS tx, y AS ty, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) AS len FROM k
       UNION ALL SELECT team_id, receiver, 0, 0, x2, y2, NULL FROM k),
 nd AS (SELECT team_id, player, CAST(sum(made) AS BIGINT) AS made, CAST(sum(1 - made) AS BIGINT) AS received, sum(ok) / greatest(1, sum(made)) AS success_rate,
-              avg(tx) AS mean_x, avg(ty) AS mean_y, sum(len) / greatest(1, sum(made)) / 105 AS mean_length FROM t GROUP BY ALL),
+              avg(tx) AS mean_x, avg(ty) AS mean_y, coalesce(sum(len), 0) / greatest(1, sum(made)) / 105 AS mean_length FROM t GROUP BY ALL),
 ed AS (SELECT k.team_id, passer, receiver, count(*) AS n, count(*) / any_value(total) AS share, avg(CAST(success AS DOUBLE)) AS success_rate,
               sqrt(pow(avg(x2 - x), 2) + pow(avg(y2 - y), 2)) / 105 AS mean_length
        FROM k JOIN (SELECT team_id, CAST(count(*) AS DOUBLE) AS total FROM k GROUP BY team_id) USING (team_id) GROUP BY ALL)

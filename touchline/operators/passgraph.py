@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -172,8 +172,9 @@ def best_counters(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def form_ids(best: DataFrame, overall: DataFrame) -> DataFrame:
     """Class ids of the formations in alphabetical order; the vocabulary of formations is a few dozen names."""
-    forms = best.select(F.col("best_form").alias("form")).unionByName(overall.select(F.col("best_form").alias("form"))).distinct()
-    return forms.withColumn("form_id", (F.row_number().over(Window.orderBy("form")) - 1).cast("int"))
+    forms = best.select("best_form").unionByName(overall.select("best_form"))
+    vocabulary = forms.agg(F.array_sort(F.collect_set("best_form")).alias("v"))
+    return vocabulary.select(F.posexplode("v").alias("form_id", "form")).select("form", "form_id")
 
 
 def slice_labels(rows: DataFrame, best: DataFrame, overall: DataFrame, ids: DataFrame) -> DataFrame:
