@@ -338,7 +338,7 @@ FROM fx_positions WHERE x IS NOT NULL""")
 
 def raster_cells(spark, sf_dir):
     f = number_rows(coords.normalize_players(v.player_frames(spark, sf_dir)), ["label"], "frame")
-    out = rasters.window_rasters(f.withColumn("centre", F.col("frame") % 5 != 0), ["label"], centre="centre")
+    out = rasters.window_rasters(f.withColumn("centre", F.col("ball_x") > 0.5), ["label"], centre="centre")
     return rasters.cell_rows(out, ["label", "frame"]).groupBy("label", "frame", "channel").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum(F.col("px") * 1000 + F.col("py")).alias("cell_sum")
     )
@@ -349,8 +349,9 @@ WITH o AS (SELECT frame, label, side AS channel, x, y FROM fx_positions WHERE x
 c AS (SELECT frame, label, channel, greatest(0, least(104, round_even((x + 52.5) / 105 * 105, 0))) AS px,
              greatest(0, least(67, round_even((y + 34) / 68 * 68, 0))) AS py FROM o),
 n AS (SELECT frame, label, row_number() OVER (PARTITION BY label ORDER BY frame) AS rn FROM fx_ball),
+b AS (SELECT frame FROM fx_ball WHERE (ball_x + 52.5) / 105 > 0.5),
 w AS (SELECT DISTINCT m.label, m.frame, channel, px, py FROM n m JOIN n k ON m.label = k.label AND k.rn BETWEEN m.rn - 6 AND m.rn + 6 JOIN c ON c.frame = k.frame
-      WHERE m.frame % 5 <> 0)
+      WHERE m.frame IN (SELECT frame FROM b))
 SELECT label, frame, channel, count(*) AS n_cells, CAST(sum(px * 1000 + py) AS BIGINT) AS cell_sum FROM w GROUP BY ALL""")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.catalog import views as v
 from touchline.catalog.frames import CFG, STEPS_SQL, XG, r6
 from touchline.catalog.views import with_views
-from touchline.operators import joins, metrics
+from touchline.operators import joins, metrics, panels
 from touchline.operators.masks import first_per_key
 from touchline.session import stored
 
@@ -18,15 +18,15 @@ SYNC_SECONDS = 240.0
 
 def asof_sync(spark, sf_dir):
     f = v.frames(spark, sf_dir)
-    ticks = f.where("event_id % 2 = 0").select("match_id", "ts", "frame")
-    happenings = f.where("event_id % 2 = 1").select("match_id", "event_id", "ts")
+    ticks = f.select("match_id", "ts", "frame")
+    happenings = f.where("original_event IS NOT NULL").select("match_id", "event_id", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"))
     out = joins.nearest_in_time(ticks, happenings, ["match_id"], SYNC_SECONDS, span_seconds=86_400.0)
     return out.select("match_id", "event_id", F.col("frame").cast("string"), F.col("offset_us").cast("string"))
 
 
 ASOF_SQL = with_views("fx_frames", """
-WITH t AS (SELECT match_id, ts, frame FROM fx_frames WHERE event_id % 2 = 0),
-e AS (SELECT match_id, event_id, ts FROM fx_frames WHERE event_id % 2 = 1),
+WITH t AS (SELECT match_id, ts, frame FROM fx_frames),
+e AS (SELECT match_id, event_id, ts + INTERVAL 90 SECOND AS ts FROM fx_frames WHERE original_event IS NOT NULL),
 b AS (SELECT e.*, t.frame AS bf, t.ts AS bt FROM e ASOF LEFT JOIN t ON e.match_id = t.match_id AND e.ts >= t.ts),
 a AS (SELECT b.*, t.frame AS af, t.ts AS nx FROM b ASOF LEFT JOIN t ON b.match_id = t.match_id AND b.ts <= t.ts),
 d AS (SELECT *, epoch_us(ts) - epoch_us(bt) AS back, epoch_us(nx) - epoch_us(ts) AS ahead FROM a)
@@ -265,7 +265,7 @@ FVF_FROM_PAIRS_SQL = with_views("fx_alive fx_blocks", PAIR_METRICS_CTE + ",\nqb
 
 def match_runs(spark, sf_dir):
     f = v.frames(spark, sf_dir)
-    out = f.groupBy("match_id").agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n_rows"))
+    out = panels.match_runs(f, ["match_id"])
     run = F.concat(F.col("match_id"), F.lit("_"), F.substring(F.md5("match_id"), 1, 8))
     return out.select(run.alias("unique_match_id"), "match_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"), "n_rows")
 
