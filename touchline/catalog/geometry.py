@@ -10,6 +10,7 @@ from touchline.catalog.views import with_views
 from touchline.functions import coords, shapes
 from touchline.operators import blocks, formations, metrics, rasters
 from touchline.operators.sequences import number_rows
+from touchline.session import stored
 from touchline.sources import files, layouts
 
 WIN, SHIFT, TINY = 10, 11.0, 3
@@ -53,8 +54,13 @@ SELECT frame, side, player, round(x - avg(x) OVER w, 6) + 0.0 AS x, round(y - av
 FROM fx_positions WINDOW w AS (PARTITION BY frame, side)""")
 
 
+def _numbered(spark, sf_dir):
+    """Player frames with their row number in the label, stored because several steps read them."""
+    return stored(number_rows(v.player_frames(spark, sf_dir), ["label"], "frame"))
+
+
 def rolling_mean(spark, sf_dir):
-    out = blocks.rolling_means(v.numbered_positions(spark, sf_dir), ["label"], WIN)
+    out = blocks.rolling_means(v.home_points(_numbered(spark, sf_dir)), ["label"], WIN)
     return out.select("label", "frame", "player", r6("mean_x", "mean_x"), r6("mean_y", "mean_y"))
 
 
@@ -71,21 +77,21 @@ ROLLING_SQL = with_views("fx_numbered", _ROLLING + "SELECT label, frame, player,
 
 
 def shift_cuts(spark, sf_dir):
-    out = blocks.shift_cuts(v.numbered_positions(spark, sf_dir), ["label"], WIN, SHIFT)
+    out = blocks.shift_cuts(v.home_points(_numbered(spark, sf_dir)), ["label"], WIN, SHIFT)
     return out.select("label", "cut", r6("shift", "shift"))
 
 
 SHIFT_SQL = with_views("fx_numbered", _ROLLING + "SELECT label, cut, round(shift, 6) AS shift FROM c")
 
 
-def _blocks(spark, sf_dir):
-    p = v.numbered_positions(spark, sf_dir)
-    lengths = p.groupBy("label").agg(F.max("rn").alias("n_rows"))
-    return blocks.blocks_from_cuts(blocks.shift_cuts(p, ["label"], WIN, SHIFT), lengths, ["label"], TINY)
+def _blocks(numbered):
+    lengths = numbered.groupBy("label").agg(F.max("rn").alias("n_rows"))
+    cuts = stored(blocks.shift_cuts(v.home_points(numbered), ["label"], WIN, SHIFT))
+    return blocks.blocks_from_cuts(cuts, lengths, ["label"], TINY)
 
 
 def stable_blocks(spark, sf_dir):
-    return _blocks(spark, sf_dir)
+    return _blocks(_numbered(spark, sf_dir))
 
 
 _BLOCKS = _ROLLING + """,
@@ -98,8 +104,8 @@ BLOCKS_OF_CUTS_SQL = with_views("fx_numbered", _BLOCKS + "SELECT * FROM b")
 
 
 def block_meta(spark, sf_dir):
-    f = number_rows(v.player_frames(spark, sf_dir), ["label"], "frame")
-    placed = blocks.assign_blocks(f, _blocks(spark, sf_dir), ["label"])
+    f = _numbered(spark, sf_dir)
+    placed = blocks.assign_blocks(f, stored(_blocks(f)), ["label"])
     home = F.size(shapes.on_side(F.col("players"), "home")) > 0
     out = blocks.block_meta(placed, ["label", "start_row"], known=home, min_seconds=0.2)
     return out.withColumn("block_id", blocks.block_id("label", "block_start_frame")).withColumn("agg_seconds", r6("agg_seconds"))
@@ -113,8 +119,8 @@ FROM f GROUP BY label, start_row HAVING count(*) / 25.0 >= 0.2""")
 
 
 def role_templates(spark, sf_dir):
-    f = number_rows(v.player_frames(spark, sf_dir), ["label"], "frame")
-    placed = blocks.assign_blocks(f, _blocks(spark, sf_dir), ["label"])
+    f = _numbered(spark, sf_dir)
+    placed = blocks.assign_blocks(f, stored(_blocks(f)), ["label"])
     placed = placed.withColumn("players", shapes.centred(F.filter("players", lambda p: p["side"] == "home")))
     out = blocks.role_templates(layouts.positions(placed), ["label", "start_row"])
     return out.select("label", "start_row", "player", "n_points", *[r6(c, c) for c in ("mu_x", "mu_y", "cov_xx", "cov_xy", "cov_yy")])

@@ -9,6 +9,7 @@ from touchline.catalog.frames import r6
 from touchline.catalog.views import SQL_VIEWS, with_views
 from touchline.functions import coords, events
 from touchline.operators import masks, panels
+from touchline.session import stored
 from touchline.sources import files, layouts
 
 TEAM = ["team_id"]
@@ -177,7 +178,7 @@ FROM fx_passes WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68 GROUP BY ALL""")
 
 def press_heatmap(spark, sf_dir):
     pts = masks.recovery_points(v.alive(spark, sf_dir), "home").select("match_id", F.col("ball_x").alias("x"), F.col("ball_y").alias("y"))
-    scaled = coords.auto_scale(pts, ["match_id"], {"x": 105.0, "y": 68.0})
+    scaled = coords.auto_scale(stored(pts), ["match_id"], {"x": 105.0, "y": 68.0})
     return panels.density(scaled, ["match_id"])
 
 

@@ -332,10 +332,9 @@ SQL_VIEWS["fx_held"] = HELD_SQL
 NEEDS["fx_held"] = ["fx_ball"]
 
 
-def numbered_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Home players by label as sequences, with the row number of the frame in its label."""
-    f = number_rows(player_frames(spark, sf_dir), ["label"], "frame")
-    return f.select("label", "frame", "rn", F.inline("players")).where("side = 'home'").drop("side")
+def home_points(numbered: DataFrame) -> DataFrame:
+    """Home players of numbered player frames, one row per frame and player."""
+    return numbered.select("label", "frame", "rn", F.inline("players")).where("side = 'home'").drop("side")
 
 
 NUMBERED_SQL = """

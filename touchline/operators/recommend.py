@@ -9,6 +9,7 @@ from touchline.config import FALLBACK_CLASSES, FUSION_ALPHA, FUSION_BETA, STRATE
 from touchline.functions.events import clean_phase
 from touchline.operators.knowledge import kg_prior, normalised
 from touchline.operators.passgraph import CONTEXT, perspectives
+from touchline.session import stored
 
 # Fixed list: metrics read for style tags and for the matchup prior.
 STYLE_METRICS = ("ppda", "ppda_press", "press_rate", "avg_press", "width", "depth", "possession_pct", "xt")
@@ -194,24 +195,27 @@ def recommend(
     """Recommended formation with evidence for every context and strategy.
 
     ``scores`` (context, ``form``, ``score``) come from a model; without them every class is equally likely. The prior
-    is the knowledge graph's where it knows a candidate, else the match-up metrics'.
+    is the knowledge graph's where it knows a candidate, else the match-up metrics'. The tables of contexts that several
+    parts read are stored on the way.
     """
-    picks = candidate_forms(fvf, contexts, classes, scores)
+    picks = stored(candidate_forms(fvf, contexts, classes, scores))
     filled = picks.withColumn("score", F.coalesce("score", F.lit(0.0)))
     model = scores_to_probabilities(filled, CONTEXT, source=source)
     metrics = context_metrics(fvf)
-    tagged = metrics.select(
-        *CONTEXT, style_tags("opp_", columns=metrics.columns).alias("tags"), style_tags("our_", columns=metrics.columns).alias("our_tags")
+    tagged = stored(
+        metrics.select(
+            *CONTEXT, style_tags("opp_", columns=metrics.columns).alias("tags"), style_tags("our_", columns=metrics.columns).alias("our_tags")
+        )
     )
     matchup = matchup_prior(fvf, picks, tagged, strategies)
     graph = kg_prior(contexts.select(*CONTEXT), counters, CONTEXT).select(*CONTEXT, F.col("candidate").alias("form"), F.col("support"))
     known = graph.join(picks.select(*CONTEXT, "form"), [*CONTEXT, "form"], "left_semi")
-    known = known.withColumn("prior", normalised(F.col("support"), Window.partitionBy(*CONTEXT)))
+    known = stored(known.withColumn("prior", normalised(F.col("support"), Window.partitionBy(*CONTEXT))))
     named = F.array(*[F.lit(s) for s in strategies])
     spread = known.select(*CONTEXT, F.explode(named).alias("strategy"), "form", "prior")
     from_graph = known.select(*CONTEXT).distinct()
     rest = matchup.join(from_graph, CONTEXT, "left_anti").select(*CONTEXT, "strategy", "form", "prior")
-    prior = spread.withColumn("prior_source", F.lit("KG.COUNTERS")).unionByName(rest.withColumn("prior_source", F.lit("FVF.prior")))
+    prior = stored(spread.withColumn("prior_source", F.lit("KG.COUNTERS")).unionByName(rest.withColumn("prior_source", F.lit("FVF.prior"))))
     key = [*CONTEXT, "strategy"]
     per_strategy = model.select(*CONTEXT, F.explode(named).alias("strategy"), "form", "prob")
     fused = fuse(per_strategy, prior, key, alpha, beta)
