@@ -289,3 +289,54 @@ def test_user_models_score_in_tasks(spark):
     graphs = passgraph.graph_pack(nodes, edges, ["team"])
     row = passgraph.score_graphs(graphs, lambda gs: [[len(g["nodes"]), len(g["edges"])] for g in gs]).first()
     assert list(row.logits) == [2.0, 1.0] and (row.edges[0].source, row.edges[0].target) == (0, 1)
+
+
+def test_block_labels_use_the_side_head(spark):
+    frames = spark.createDataFrame(
+        [("m", 1, f, [("home", "1", 0.5, 0.5), ("away", "2", None, 0.1)], 0.0, 0.0) for f in range(1, 30)],
+        "match_id string, period_id int, frame long, players array<struct<side:string,player:string,x:double,y:double>>, ball_x double, ball_y double",
+    )
+    schema = "match_id string, period_id int, side string, block_id long, start_frame long, end_frame long"
+    blocks = spark.createDataFrame([("m", 1, "home", 1, 1, 29), ("m", 1, "away", 2, 27, 29), ("m", 1, "away", 3, 900, 990)], schema)
+    by = ["match_id", "period_id", "side", "block_id", "start_frame", "end_frame"]
+    cells = rasters.block_rasters(blocks, frames, ["match_id", "period_id"], by)
+    assert {r.block_id: sorted(r.cells) for r in cells.collect()} == {1: [34 * 105 + 52, 2 * 7140], 2: [34 * 105 + 52, 2 * 7140]}
+    head = lambda image: np.tile([0.0, 2.0, 5.0, 1.0], (len(image), 1))
+    out = rasters.label_blocks(cells, head, {"home": ["4-4-2", "4-3-3"], "away": ["3-5-2", "5-3-2"]}, ["side", "block_id"])
+    assert {r.block_id: r.label for r in out.collect()} == {1: "4-3-3", 2: "3-5-2"}
+    shapes_df = spark.createDataFrame([("g", 1), ("g", 2), ("g", 3)], "g string, block_id long")
+    matches = spark.createDataFrame([("g", 1, "4-4-2", 0, 1.0, 90.0, 2), ("g", 2, "4-4-2", 0, 1.0, 10.0, 2)], "g string, block_id long, formation string, mirrored int, w2_cost double, w2_margin double, members long")
+    gates = spark.createDataFrame([("g", 5.0, 50.0)], "g string, cost_limit double, margin_limit double")
+    fallback = out.withColumn("g", F.lit("g"))
+    got = {r.block_id: (r.predicted_formation, r.method) for r in fm.predict_formations(shapes_df, matches, gates, ["g"], ["block_id"], fallback=fallback).collect()}
+    assert got[1] == ("4-4-2", "w2_hungarian_template") and got[2][0] == "3-5-2" and got[2][1].startswith("resnet_fallback_conf_0.9")
+    assert got[3] == ("unknown", "resnet_fallback_conf_0.000")
+
+
+def test_sample_is_repeatable(spark):
+    df = spark.range(50).withColumn("k", F.col("id").cast("string"))
+    a = [r.id for r in passgraph.sample_slices(df, 7, ["k"]).collect()]
+    b = [r.id for r in passgraph.sample_slices(df.repartition(9), 7, ["k"]).collect()]
+    assert a == b and len(set(a)) == 7
+
+
+def test_node_upsert_keeps_newest_value(spark):
+    schema = "kind string, key string, props map<string,string>"
+    old = spark.createDataFrame([("F", "a", {"x": "1", "y": "1"}), ("F", "b", {})], schema)
+    new = spark.createDataFrame([("F", "a", {"x": "2"}), ("F", "c", {"z": "9"})], schema)
+    out = {r.key: r.props for r in knowledge.upsert_nodes(old, new).collect()}
+    assert out == {"a": {"x": "2", "y": "1"}, "b": {}, "c": {"z": "9"}}
+
+
+def test_candidates_fill_up_from_the_model(spark):
+    fvf = spark.createDataFrame(
+        [("p", "mid-block", "low-block", "b", "z", 9, 0.5, 0.5), ("p", "mid-block", "low-block", "d", "z", 2, 0.5, 0.5)],
+        "provider string, phase_home string, phase_away string, home_form string, away_form string, pairs long, home_strength double, away_strength double",
+    )
+    context = ("p", "home", "z", "low-block")
+    names = "provider string, our_side string, opponent_form string, opponent_phase string"
+    contexts = spark.createDataFrame([context], names)
+    classes = spark.createDataFrame(list(enumerate("abcdef")), "form_id int, form string")
+    scores = spark.createDataFrame([(*context, f, s) for f, s in zip("abcdef", (0.1, 0.9, 0.3, 0.2, 0.8, 0.0))], names + ", form string, score double")
+    out = {r.position: r.form for r in recommend.candidate_forms(fvf, contexts, classes, scores).collect()}
+    assert out == {1: "b", 2: "e", 3: "c", 4: "d"}

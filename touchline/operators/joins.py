@@ -11,6 +11,7 @@ from touchline.operators.masks import first_per_key
 
 NULL_SALTS = 64
 BUCKET_FRAMES = 3_000
+FRAME_BUCKET = 512
 
 
 def nearest_in_time(
@@ -44,9 +45,12 @@ def nearest_in_time(
         f.withColumn("_is_event", F.lit(0)), allowMissingColumns=True
     )
     mark = F.when(F.col("_is_event") == 0, F.struct("_t", "_frame"))
-    w = Window.partitionBy(*keys, "_span").orderBy("_t", "_is_event", "_frame")
-    back = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # Looking ahead is looking back in reverse order: one running value per row in both directions.
+    span_rows = Window.partitionBy(*keys, "_span")
+    forth = span_rows.orderBy("_t", "_is_event", "_frame").rowsBetween(Window.unboundedPreceding, 0)
+    reverse = span_rows.orderBy(F.col("_t").desc(), "_is_event", F.col("_frame").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = F.last(mark, ignorenulls=True).over(forth)
+    ahead = F.last(mark, ignorenulls=True).over(reverse)
     out = both.withColumns({"_back": back, "_ahead": ahead}).where("_is_event = 1")
     behind, front = F.col("_t") - F.col("_back")["_t"], F.col("_ahead")["_t"] - F.col("_t")
     use_back = (behind <= tol) & F.coalesce(behind <= front, F.lit(True))
@@ -142,9 +146,13 @@ def frames_in_intervals(
     start: str = "pair_start",
     end: str = "pair_end",
     frame: str = "frame",
-    bucket: int = BUCKET_FRAMES,
+    bucket: int = FRAME_BUCKET,
 ) -> DataFrame:
-    """Each frame joined to every interval that contains it, by equality of keys and frame bucket."""
+    """Each frame joined to every interval that contains it, by equality of keys and frame bucket.
+
+    Buckets are shorter than the usual interval, so few frames meet an interval that only touches their bucket. For
+    metrics of intervals use ``interval_metrics``, which does not list the frames.
+    """
     first, last = F.floor(F.col(start) / bucket).cast("long"), F.floor(F.col(end) / bucket).cast("long")
     i = intervals.withColumn("_bucket", F.explode(F.sequence(first, last)))
     f = frames.withColumn("_bucket", F.floor(F.col(frame) / bucket).cast("long"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from touchline.config import PITCH_LENGTH, PITCH_WIDTH, WINDOW_FRAMES
 from touchline.functions.batches import append_batchwise
 from touchline.functions.coords import pixel
+from touchline.operators.joins import block_center_frames
 from touchline.operators.sequences import core_rows, halo_window, with_halo
 
 WIDTH, HEIGHT = int(PITCH_LENGTH), int(PITCH_WIDTH)
@@ -44,6 +45,37 @@ def window_rasters(df: DataFrame, keys: list[str], window_rows: int = WINDOW_FRA
     return out.where(centre) if centre else out
 
 
+def block_rasters(
+    blocks: DataFrame, frames: DataFrame, keys: list[str], by: list[str], window_rows: int = WINDOW_FRAMES
+) -> DataFrame:
+    """Add ``cells`` to each block that has frames: all cells occupied in the window round its middle frame.
+
+    ``by`` names the block's columns, its ``start_frame`` and ``end_frame`` included; a block gathers at most
+    ``window_rows`` short lists.
+    """
+    spots = frames.select(*keys, "frame", frame_cells(F.col("players"), F.col("ball_x"), F.col("ball_y")).alias("_cells"))
+    found = block_center_frames(blocks.select(*by), spots, keys, window_rows)
+    return found.groupBy(*by).agg(F.array_distinct(F.flatten(F.collect_list("_cells"))).alias("cells"))
+
+
+def label_blocks(
+    rasters: DataFrame, model: Callable[[np.ndarray], np.ndarray], labels: dict[str, list[str]], by: list[str]
+) -> DataFrame:
+    """Formation label and confidence of each block from a user's model with one head per side.
+
+    The model returns the home head's logits followed by the away head's; the block's side picks the head. The
+    result is the ``fallback`` of ``predict_formations``.
+    """
+    home, away = labels["home"], labels["away"]
+    scored = score_rasters(rasters, model)
+    first = F.when(F.col("side") == "home", 1).otherwise(len(home) + 1)
+    count = F.when(F.col("side") == "home", len(home)).otherwise(len(away))
+    probs = softmax(F.slice("logits", first, count))
+    best = scored.withColumn("_p", probs)
+    picked = F.when(F.col("side") == "home", decode(F.col("_p"), home)).otherwise(decode(F.col("_p"), away))
+    return best.withColumn("_d", picked).select(*by, F.col("_d.label").alias("label"), F.col("_d.confidence").alias("confidence"))
+
+
 def cell_rows(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row per occupied cell: channel name, px and py."""
     cell = F.col("_cell")
