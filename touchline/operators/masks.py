@@ -86,6 +86,12 @@ def full_windows(
     return core_rows(halo.withColumn("full_window", F.coalesce(inside == 2 * radius + 1, F.lit(False))))
 
 
+def possession_side(cfg: ProviderConfig = PROVIDERS["sportec"], possession: str = "team_possession") -> Column:
+    """'home', 'away', or the lower-case tag as it is; '' when unknown."""
+    tag = F.lower(F.coalesce(F.col(possession).cast("string"), F.lit("")))
+    return F.when(tag == cfg.home_tag.lower(), "home").when(tag == cfg.away_tag.lower(), "away").otherwise(tag)
+
+
 def possession_steps(
     df: DataFrame,
     cfg: ProviderConfig = PROVIDERS["sportec"],
@@ -102,9 +108,7 @@ def possession_steps(
     length are plain filters on these columns.
     """
     w = halo_window(keys, rn)
-    tag = F.lower(F.coalesce(F.col(possession).cast("string"), F.lit("")))
-    poss = F.when(tag == cfg.home_tag.lower(), "home").when(tag == cfg.away_tag.lower(), "away").otherwise(tag)
-    out = with_halo(df.withColumn("poss", poss), keys, rn, before=1)
+    out = with_halo(df.withColumn("poss", possession_side(cfg, possession)), keys, rn, before=1)
     out = out.withColumn("_prev", F.lag("poss").over(w)).withColumn("prev_frame", F.lag(order).over(w))
     moved = F.col("_prev").isNotNull() & (F.col("poss") != F.col("_prev"))
     out = out.withColumn("_moved", moved)

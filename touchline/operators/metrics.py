@@ -9,7 +9,7 @@ from touchline.config import FPS, NEGATIVE_METRICS, POSITIVE_METRICS, PROVIDERS,
 from touchline.functions.events import is_defence, is_pass, is_shot
 from touchline.functions.shapes import carrier, pressure_on, spacing
 from touchline.functions.threat import expected_threat, goal_probability
-from touchline.operators.masks import SEQUENCE, possession_steps
+from touchline.operators.masks import SEQUENCE, possession_side, possession_steps
 from touchline.operators.quantiles import exact_quantiles
 from touchline.session import compute_partitions
 
@@ -38,24 +38,25 @@ def frame_facts(
     """Everything the window metrics read, computed once per alive frame.
 
     ``unit_ball`` says that ball coordinates are in [0, 1]; threat and pressure take metres from the centre, which
-    is then derived. Frames without a ``players`` array have no pressure and spacing columns.
+    is then derived. Frames without a ``players`` array have no pressure and spacing columns. What needs the players
+    is computed first, row by row, so that the array itself is never shuffled; it is not in the result.
     """
-    steps = possession_steps(df, cfg, keys=keys)
     bx, by = F.col("ball_x"), F.col("ball_y")
     mx, my = (bx * 105.0 - 52.5, by * 68.0 - 34.0) if unit_ball else (bx, by)
     ux, uy = (bx, by) if unit_ball else ((bx + 52.5) / 105.0, (by + 34.0) / 68.0)
     known = bx.isNotNull() & by.isNotNull()
-    out = steps.withColumns(
+    out = df.withColumns(
         {
+            "poss": possession_side(cfg),
             "is_pass": is_pass(df, cfg),
             "is_defence": is_defence(df, cfg),
             "xg": F.when(is_shot(df, cfg) & known, goal_probability(ux, uy, xg_coefficients)),
             "xt": F.when(known, expected_threat(mx, my)),
         }
     )
-    if "players" not in df.columns:
-        return out
-    return player_facts(out, mx, my)
+    if "players" in df.columns:
+        out = player_facts(out, mx, my).drop("players")
+    return possession_steps(out, cfg, keys=keys)
 
 
 def player_facts(df: DataFrame, ball_x: Column, ball_y: Column, poss: str = "poss") -> DataFrame:

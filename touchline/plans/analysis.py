@@ -52,10 +52,17 @@ class Settings:
     segment_blocks: int = fm.SEGMENT_BLOCKS
 
 
+MASKS = ["set_piece", "transition", "drop3_home", "drop3_away", "eligible_home", "eligible_away", "full_window"]
+
+
 def masked_frames(frames: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Frames numbered within their period, with all masks."""
-    numbered = number_rows(frames, SEQUENCE, "frame")
-    return stored(masks.frame_masks(numbered, pad=settings.pad_rows, keys=SEQUENCE))
+    """Frames numbered within their period, with all masks.
+
+    The masks are worked out on the few columns they read; the players move once, to meet them by frame.
+    """
+    narrow = frames.select(*SEQUENCE, "frame", "team_possession", "original_event", "phase_home", "phase_away")
+    masked = masks.frame_masks(number_rows(narrow, SEQUENCE, "frame"), pad=settings.pad_rows, keys=SEQUENCE)
+    return stored(frames.join(masked.select(*SEQUENCE, "frame", "rn", *MASKS), [*SEQUENCE, "frame"]))
 
 
 def _in_metres(players: F.Column) -> F.Column:
@@ -74,7 +81,9 @@ def role_templates(masked: DataFrame, side: str, settings: Settings = Settings()
     cuts = bl.shift_cuts(points, keys, settings.rolling_rows, settings.shift_metres)
     lengths = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     spans = bl.blocks_from_cuts(cuts, lengths, keys, settings.tiny_rows)
-    placed = stored(bl.assign_blocks(rows, spans, keys))
+    # Blocks cover their sequence, so every row meets exactly one of them.
+    ends = spans.select(*keys, "start_row", (F.col("start_row") + 1).alias("_from"), (F.col("end_row") + 1).alias("_to"))
+    placed = stored(joins.frames_in_intervals(rows, ends, keys, "_from", "_to", "rn").drop("_from", "_to"))
     by = [*keys, "start_row"]
     known = F.size(F.filter("players", lambda p: p["x"].isNotNull() & p["y"].isNotNull())) > 0
     meta = bl.block_meta(placed, by, known=known, min_seconds=settings.min_block_seconds, fps=settings.fps)
@@ -167,7 +176,7 @@ def pair_metrics(
         "players",
         lambda p: p.withField("x", (p["x"] - 0.5) * PITCH_LENGTH).withField("y", (p["y"] - 0.5) * PITCH_WIDTH),
     )
-    facts = stored(metrics.frame_facts(masked.select(*columns, *event, metre.alias("players")), xg_coefficients, cfg, SEQUENCE).drop("players"))
+    facts = stored(metrics.frame_facts(masked.select(*columns, *event, metre.alias("players")), xg_coefficients, cfg, SEQUENCE))
     measured = metrics.interval_metrics(facts, pairs, SEQUENCE, PAIR)
     return stored(measured.join(pairs.select(*PAIR, "home_form", "away_form"), PAIR))
 
