@@ -12,6 +12,7 @@ from touchline.functions.events import is_defence, is_pass, is_set_piece, is_sho
 from touchline.functions.threat import expected_threat, goal_probability, shot_angle, shot_distance
 from touchline.operators import masks, metrics
 from touchline.session import stored
+from touchline.sources import files
 
 PAD = 5
 XG = (0.4, -0.11, 1.2)
@@ -79,8 +80,7 @@ FROM g GROUP BY match_id, side""")
 
 
 def table_counts(spark, sf_dir):
-    f = v.frames(spark, sf_dir)
-    return f.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("match_id").alias("n_matches"))
+    return files.table_counts(v.frames(spark, sf_dir))
 
 
 TABLE_COUNTS_SQL = with_views("fx_frames", "SELECT count(*) AS n_rows, count(DISTINCT match_id) AS n_matches FROM fx_frames")
@@ -95,11 +95,12 @@ SELECT match_id, period_id, frame, rn, team_possession, round(ball_x, 6) AS ball
 
 
 def scan_match(spark, sf_dir):
-    return v.frames(spark, sf_dir).where("match_id = 'm1'").select("match_id", "period_id", "frame", "ball_status", "original_event")
+    f = v.frames(spark, sf_dir).withColumn("unique_match_id", F.col("match_id"))
+    return files.match_frames(f, "m1").select("match_id", "period_id", "frame", "ball_status", "original_event")
 
 
 SCAN_MATCH_SQL = with_views("fx_frames", """
-SELECT match_id, period_id, frame, ball_status, original_event FROM fx_frames WHERE match_id = 'm1'""")
+SELECT match_id, period_id, frame, ball_status, original_event FROM fx_frames WHERE match_id = 'm1' AND ball_status = 'alive'""")
 
 
 def detect_events(spark, sf_dir):

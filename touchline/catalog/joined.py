@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline.catalog import views as v
-from touchline.catalog.frames import CFG, STEPS_SQL, XG, r6
+from touchline.catalog.frames import CFG, XG, r6
 from touchline.catalog.views import with_views
 from touchline.operators import joins, metrics, panels
 from touchline.operators.masks import first_per_key
 from touchline.session import stored
+from touchline.sources import layouts
 
 PAIR_KEYS = ["provider", "match_id", "period_id"]
 # Fixed value: tolerance of the event synchronisation on the given events, which are minutes apart.
@@ -86,7 +87,7 @@ FROM fx_frames""")
 def schema_evolve_union(spark, sf_dir):
     c = v.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
     s = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("nation"))
-    return c.unionByName(s, allowMissingColumns=True)
+    return layouts.append_columns(c, s)
 
 
 SCHEMA_SQL = """SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance, CAST(NULL AS VARCHAR) AS nation FROM customer

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators.sequences import number_rows
+from touchline.sources.files import alive_frames
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +80,7 @@ FROM fx_frames WHERE ball_status = 'alive'
 
 def alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alive frames with their position ``rn`` in the period."""
-    return number_rows(frames(spark, sf_dir).where("ball_status = 'alive'"), ["match_id", "period_id"], "frame")
+    return number_rows(alive_frames(frames(spark, sf_dir)), ["match_id", "period_id"], "frame")
 
 
 def _side_players(side: str, offset: int) -> "F.Column":

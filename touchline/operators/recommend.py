@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.config import FALLBACK_CLASSES, FUSION_ALPHA, FUSION_BETA, STRATEGY_WEIGHTS, STYLE_THRESHOLDS, TOP_K
-from touchline.functions.events import clean_phase
 from touchline.operators.knowledge import kg_prior, normalised
 from touchline.operators.passgraph import CONTEXT, perspectives
 from touchline.session import stored
@@ -286,8 +285,3 @@ def evidence_rows(recos: DataFrame, key: list[str]) -> DataFrame:
         section("our_tag", F.col("_e.contributions.style_tags_ours"), None, None),
     )
     return recos.withColumn("_e", e).select(*key, F.inline(parts))
-
-
-def clean_context(df: DataFrame) -> DataFrame:
-    """Contexts with their phase in canonical form."""
-    return df.withColumn("opponent_phase", clean_phase("opponent_phase"))

@@ -25,6 +25,7 @@ from touchline.config import (
     TRANSITION_SECONDS,
     ProviderConfig,
 )
+from touchline.functions.coords import to_metres
 from touchline.functions.shapes import canonical_outfield, centred, chain_order
 from touchline.operators import blocks as bl
 from touchline.operators import formations as fm
@@ -66,7 +67,7 @@ def masked_frames(frames: DataFrame, settings: Settings = Settings()) -> DataFra
 
 
 def _in_metres(players: F.Column) -> F.Column:
-    return F.transform(players, lambda p: p.withField("x", p["x"] * PITCH_LENGTH).withField("y", p["y"] * PITCH_WIDTH))
+    return F.transform(players, lambda p: p.withField("x", to_metres(p["x"], PITCH_LENGTH)).withField("y", to_metres(p["y"], PITCH_WIDTH)))
 
 
 def role_templates(masked: DataFrame, side: str, settings: Settings = Settings()) -> DataFrame:
