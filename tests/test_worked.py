@@ -2,9 +2,13 @@
 
 import itertools
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from touchline.functions import coords, events, shapes
@@ -340,3 +344,18 @@ def test_candidates_fill_up_from_the_model(spark):
     scores = spark.createDataFrame([(*context, f, s) for f, s in zip("abcdef", (0.1, 0.9, 0.3, 0.2, 0.8, 0.0))], names + ", form string, score double")
     out = {r.position: r.form for r in recommend.candidate_forms(fvf, contexts, classes, scores).collect()}
     assert out == {1: "b", 2: "e", 3: "c", 4: "d"}
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    """What runs in the tasks is shipped whole: a plain interpreter elsewhere can load and call it."""
+    path = tmp_path / "solve.bin"
+    path.write_bytes(cloudpickle.dumps(fm._solve))
+    code = (
+        "import pickle, sys, pyarrow as pa\n"
+        "solve = pickle.load(open(sys.argv[1], 'rb'))\n"
+        "cost, columns = solve(pa.array([[1.0, 5.0, 2.0, 1.0], None], pa.list_(pa.float64())))\n"
+        "assert cost.to_pylist() == [2.0, None] and columns.to_pylist() == [[0, 1], None]\n"
+        "assert not any(m.startswith('touchline') for m in sys.modules)\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, env=env, check=True)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -44,18 +42,23 @@ def project_to_allowed(
     return df.withColumn(name, out)
 
 
-@lru_cache(maxsize=16)
+# Search states per matrix size, filled once per Python worker.
+STATES: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+
+
 def _states(n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per matched row: the sets of used columns, each set's columns, and the sets they came from."""
-    by_size: list[list[int]] = [[] for _ in range(n + 1)]
-    for used in range(1 << n):
-        by_size[used.bit_count()].append(used)
-    steps = []
-    for size in range(1, n + 1):
-        sets = np.array(by_size[size])
-        columns = np.array([[c for c in range(n) if used >> c & 1] for used in by_size[size]])
-        steps.append((sets, columns, sets[:, None] ^ (1 << columns)))
-    return steps
+    if n not in STATES:
+        by_size: list[list[int]] = [[] for _ in range(n + 1)]
+        for used in range(1 << n):
+            by_size[used.bit_count()].append(used)
+        steps = []
+        for size in range(1, n + 1):
+            sets = np.array(by_size[size])
+            columns = np.array([[c for c in range(n) if used >> c & 1] for used in by_size[size]])
+            steps.append((sets, columns, sets[:, None] ^ (1 << columns)))
+        STATES[n] = steps
+    return STATES[n]
 
 
 def best_assignments(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
