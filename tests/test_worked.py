@@ -53,9 +53,10 @@ def test_quantiles_against_numpy(spark):
     rng = np.random.default_rng(1)
     data = {"heavy": np.where(rng.random(3000) < 0.6, 1.25, rng.lognormal(0, 3, 3000)), "flat": np.full(50, 2.0), "two": np.array([1.0, 5.0])}
     df = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v], "g string, v double")
-    got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}).collect()}
-    for k, v in data.items():
-        assert np.allclose([got[k].p5, got[k].p50, got[k].p95], np.quantile(v, [0.05, 0.5, 0.95]))
+    for limits in ({}, {"bins": 16, "ranked_rows": 20}):
+        got = {r.g: r for r in exact_quantiles(df, ["g"], "v", {"p5": 0.05, "p50": 0.5, "p95": 0.95}, **limits).collect()}
+        for k, v in data.items():
+            assert np.allclose([got[k].p5, got[k].p50, got[k].p95], np.quantile(v, [0.05, 0.5, 0.95]))
 
 
 def points(spark, pts):
