@@ -1,9 +1,11 @@
 """Registered queries of the subpackage: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.llm import curriculum, lines, slots
+from touchline.llm import curriculum, lines, packing, simhash, slots
 
 QUERIES = {
+    "op1_cost_packing": (packing.op1_cost_packing, None),
     "op2_curriculum": (curriculum.op2_curriculum, curriculum.OP2_SQL),
+    "op5_simhash_trie": (simhash.op5_simhash_trie, None),
     "op6_line_bitmaps": (lines.op6_line_bitmaps, lines.OP6_SQL),
     "op9_virtual_slots": (slots.op9_virtual_slots, None),
 }
