@@ -1,11 +1,13 @@
 """Registered queries of the subpackage: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.llm import curriculum, lines, packing, simhash, slots
+from touchline.llm import curriculum, lines, packing, secrets, simhash, slots, toxicity
 
 QUERIES = {
     "op1_cost_packing": (packing.op1_cost_packing, None),
     "op2_curriculum": (curriculum.op2_curriculum, curriculum.OP2_SQL),
     "op5_simhash_trie": (simhash.op5_simhash_trie, None),
     "op6_line_bitmaps": (lines.op6_line_bitmaps, lines.OP6_SQL),
+    "op7_subword_toxicity": (toxicity.op7_subword_toxicity, None),
     "op9_virtual_slots": (slots.op9_virtual_slots, None),
+    "op10_assignment_secrets": (secrets.op10_assignment_secrets, None),
 }
