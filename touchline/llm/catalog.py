@@ -1,11 +1,12 @@
 """Registered queries of the subpackage: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.llm import covertree, curriculum, forest, lines, packing, secrets, simhash, slots, toxicity
+from touchline.llm import covertree, curriculum, forest, htmltext, lines, packing, secrets, simhash, slots, toxicity
 
 QUERIES = {
     "op1_cost_packing": (packing.op1_cost_packing, None),
     "op2_curriculum": (curriculum.op2_curriculum, curriculum.OP2_SQL),
     "op3_cover_tree": (covertree.op3_cover_tree, covertree.OP3_SQL),
+    "op4_layout_text": (htmltext.op4_layout_text, None),
     "op5_simhash_trie": (simhash.op5_simhash_trie, None),
     "op6_line_bitmaps": (lines.op6_line_bitmaps, lines.OP6_SQL),
     "op7_subword_toxicity": (toxicity.op7_subword_toxicity, None),
