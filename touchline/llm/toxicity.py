@@ -16,6 +16,7 @@ score is the smoothed share of toxic labels. Extra columns do not take part.
 
 from __future__ import annotations
 
+import array
 import math
 import re
 import zlib
@@ -58,24 +59,39 @@ class Model:
         self.pull, self.bias = pull, bias
 
 
+def _ranges(bounds: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the entries of ``rows``, and for each the number of its row."""
+    size = np.diff(bounds)[rows]
+    of = np.repeat(np.arange(len(rows)), size)
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[rows], size), of
+
+
 def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
     """Train embeddings and softmax together with Adam on random batches."""
     y = np.array(toxic, dtype=np.int64)
     if len(set(toxic)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    known: dict[str, np.ndarray] = {}
-    index, weight, bounds = [], [], [0]
+    # words of the sample with their buckets, and documents as words with the weight each of its buckets gets
+    number: dict[str, int] = {}
+    grams, gram_bounds = array.array("i"), array.array("q", [0])
+    words, weights, bounds = array.array("i"), array.array("f"), [0]
     for text in texts:
         counts = bag(text)
-        grams = [known[w] if w in known else known.setdefault(w, np.array(buckets_of(w), np.int32)) for w in counts]
-        n = [len(g) for g in grams]
-        w = np.repeat(np.sqrt(np.fromiter(counts.values(), float, len(counts))), n)
-        index.append(np.concatenate([np.zeros(0, np.int32), *grams]))
-        weight.append(SCALE * w / max(w.sum(), 1.0))
-        bounds.append(bounds[-1] + len(w))
-    index, weight, bounds = np.concatenate(index), np.concatenate(weight), np.array(bounds)
-    known.clear()
+        for w in counts:
+            if w not in number:
+                number[w] = len(number)
+                grams.extend(buckets_of(w))
+                gram_bounds.append(len(grams))
+        own = np.array([number[w] for w in counts], np.int64)
+        root = np.sqrt(np.fromiter(counts.values(), float, len(counts)))
+        size = np.array([gram_bounds[n + 1] - gram_bounds[n] for n in own])
+        words.extend(own.tolist())
+        weights.extend((SCALE * root / max(float((root * size).sum()), 1.0)).tolist())
+        bounds.append(len(words))
+    number.clear()
+    grams, gram_bounds = np.frombuffer(grams, np.int32) if grams else np.zeros(0, np.int32), np.array(gram_bounds)
+    words, weights, bounds = np.array(words, np.int64), np.array(weights), np.array(bounds)
     rng = np.random.default_rng(seed)
     state = [np.zeros((BUCKETS, DIMENSIONS)), rng.normal(0, 0.5, (DIMENSIONS, 2)), np.zeros(2)]
     first, second = [np.zeros_like(x) for x in state], [np.zeros_like(x) for x in state]
@@ -86,17 +102,20 @@ def fit(texts: list[str], toxic: list[int], seed: int = 7) -> Model:
         rows = order[at : at + BATCH]
         at += BATCH
         vectors, softmax, bias = state
-        size = np.diff(bounds)[rows]
-        of = np.repeat(np.arange(len(rows)), size)
-        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(bounds[rows], size)
-        i, w = index[place], weight[place]
+        place, of = _ranges(bounds, rows)
+        met, word = np.unique(words[place], return_inverse=True)
+        w = weights[place]
+        at_gram, gram_of = _ranges(gram_bounds, met)
+        i = grams[at_gram]
         pulls = vectors @ softmax
-        z = np.stack([np.bincount(of, w * pulls[i, k], minlength=len(rows)) for k in (0, 1)], axis=1) + bias
+        by_word = [np.bincount(gram_of, pulls[i, k], minlength=len(met)) for k in (0, 1)]
+        z = np.stack([np.bincount(of, w * by_word[k][word], minlength=len(rows)) for k in (0, 1)], axis=1) + bias
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(len(rows)), y[rows]] -= 1
         p /= len(rows)
-        share = np.stack([np.bincount(i, w * p[of, k], minlength=BUCKETS) for k in (0, 1)], axis=1)
+        share = [np.bincount(word, w * p[of, k], minlength=len(met)) for k in (0, 1)]
+        share = np.stack([np.bincount(i, x[gram_of], minlength=BUCKETS) for x in share], axis=1)
         for x, g, m, v in zip(state, (share @ softmax.T, vectors.T @ share, p.sum(axis=0)), first, second):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
