@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from touchline.session import local_session  # noqa: E402
+from touchline.session import drop_stored, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", "8")
     yield session
+    drop_stored(session)
     session.stop()
 
 

@@ -132,7 +132,7 @@ def test_clusters_find_separate_shapes(spark):
     base = [rng.normal(scale=20, size=(10, 2)) for _ in range(3)]
     rows = [("g", 0, i, [tuple(map(float, p)) for p in base[i % 3] + rng.normal(scale=0.1, size=(10, 2))]) for i in range(18)]
     df = spark.createDataFrame(rows, "g string, segment long, block_id long, pts array<struct<x:double,y:double>>")
-    out = fm.cluster_blocks(df, ["g", "segment"]).collect()
+    out = fm.cluster_blocks(df, ["g"], ["segment", "block_id"], k_max=5).collect()
     assert {r.block_id % 3: r.cluster_label for r in out} == {0: 0, 1: 1, 2: 2}
     assert len(out) == 18 and sum(r.is_medoid for r in out) == 3 and all(r.silhouette > 0.9 for r in out)
 
@@ -140,14 +140,21 @@ def test_clusters_find_separate_shapes(spark):
 def test_small_groups_cluster(spark):
     rows = [("one", 0, 1, [(0.0, 0.0), (1.0, 1.0)])] + [("two", 0, i, [(float(i), 0.0), (1.0, 1.0)]) for i in (1, 2)]
     df = spark.createDataFrame(rows, "g string, segment long, block_id long, pts array<struct<x:double,y:double>>")
-    out = {(r.g, r.block_id): r.cluster_label for r in fm.cluster_blocks(df, ["g", "segment"]).collect()}
+    out = {(r.g, r.block_id): r.cluster_label for r in fm.cluster_blocks(df, ["g"], ["segment", "block_id"]).collect()}
     assert out == {("one", 1): 0, ("two", 1): 0, ("two", 2): 1}
 
 
-def test_segments_are_bounded(spark):
-    df = spark.range(1000).select(F.lit("k").alias("k"), F.col("id").alias("block_id"))
-    sizes = [r["count"] for r in fm.with_segment(df, ["k"], "block_id", 64).groupBy("segment").count().collect()]
-    assert max(sizes) == 64 and sum(sizes) == 1000
+@pytest.mark.parametrize("copies", [1, 2, 30])
+def test_clusters_do_not_depend_on_size(spark, copies):
+    """Three shapes stay three clusters however often their blocks are repeated."""
+    rng = np.random.default_rng(9)
+    base = [rng.normal(scale=20, size=(10, 2)) for _ in range(3)]
+    shapes = [base[i % 3] + rng.normal(scale=0.1, size=(10, 2)) for i in range(15)]
+    rows = [("g", c * 15 + i, [tuple(map(float, p)) for p in x[rng.permutation(10)]]) for c in range(copies) for i, x in enumerate(shapes)]
+    df = spark.createDataFrame(rows, "g string, block_id long, pts array<struct<x:double,y:double>>")
+    out = fm.cluster_blocks(df, ["g"], ["block_id"], k_max=5).collect()
+    assert {(r.block_id % 3, r.cluster_label, r.n_blocks_in_cluster) for r in out} == {(i, i, 5 * copies) for i in range(3)}
+    assert len(out) == 15 * copies and sum(r.is_medoid for r in out) == 3 and all(r.silhouette > 0.9 for r in out)
 
 
 def test_role_template_of_few_points(spark):

@@ -107,7 +107,7 @@ def block_meta(spark, sf_dir):
     f = _numbered(spark, sf_dir)
     placed = blocks.assign_blocks(f, stored(_blocks(f)), ["label"])
     home = F.size(shapes.on_side(F.col("players"), "home")) > 0
-    out = blocks.block_meta(placed, ["label", "start_row"], known=home, min_seconds=0.2)
+    out = blocks.block_meta(placed, ["label", "start_row"], has_player=home, min_seconds=0.2)
     return out.withColumn("block_id", blocks.block_id("label", "block_start_frame")).withColumn("agg_seconds", r6("agg_seconds"))
 
 

@@ -8,36 +8,39 @@ from touchline.catalog import views as v
 from touchline.catalog.frames import r6
 from touchline.catalog.geometry import r4
 from touchline.catalog.views import with_views
-from touchline.functions.shapes import canonical_outfield
 from touchline.operators import formations as fm
 from touchline.session import stored
 
-ROLES = 4
-GROUP = ["side", "segment"]
-SEGMENT = 40
-# Fixed text: all orders of four roles, used by the check engine's brute force.
-PERMS_SQL = """
-perms AS (SELECT a, b, c, d FROM range(1, 5) t1(a), range(1, 5) t2(b), range(1, 5) t3(c), range(1, 5) t4(d)
-          WHERE a <> b AND a <> c AND a <> d AND b <> c AND b <> d AND c <> d)"""
-WIDE_SQL = """
-wide AS (SELECT frame, side, label, (row_number() OVER (PARTITION BY side, i ORDER BY frame) - 1) // 40 AS segment, x, y, i FROM fx_roles WHERE i <= 4),
-lists AS (SELECT frame, side, any_value(label) AS label, any_value(segment) AS segment, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys FROM wide GROUP BY frame, side)"""
+ROLES = 10
 
 
-def _blocks(spark, sf_dir, n=ROLES):
-    p = v.role_points(spark, sf_dir, n).withColumnRenamed("frame", "block_id")
-    return fm.with_segment(p, ["side"], "block_id", SEGMENT)
+def _solved(name: str, pairs: str, extra: str = "0", path: bool = True) -> str:
+    """SQL for the check engine: exact assignments by a recursion over sets of used roles.
 
+    ``pairs`` selects ``pid`` and the points (ax, ay, i) and (ox, oy, j) of both shapes; ``extra`` adds to a cell's cost.
+    The CTE ``name`` has ``pid``, ``cost`` and ``path``, four bits per point of the first shape.
+    """
+    step = "arg_min(dp.path * 16 + cell.j, dp.cost + cell.c)" if path else "CAST(0 AS BIGINT)"
+    return f"""{name}_cell AS (SELECT pid, i, j, pow(ax - ox, 2) + pow(ay - oy, 2) + {extra} AS c FROM ({pairs})),
+{name}_dp AS (
+  SELECT pid, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS used, CAST(0 AS DOUBLE) AS cost, CAST(0 AS BIGINT) AS path FROM (SELECT DISTINCT pid FROM {name}_cell)
+  UNION ALL
+  SELECT dp.pid, dp.step + 1, dp.used | (CAST(1 AS BIGINT) << (cell.j - 1)), min(dp.cost + cell.c), {step}
+  FROM {name}_dp dp JOIN {name}_cell cell ON cell.pid = dp.pid AND cell.i = dp.step + 1 AND (dp.used & (CAST(1 AS BIGINT) << (cell.j - 1))) = 0
+  GROUP BY 1, 2, 3),
+{name} AS (SELECT pid, cost, path FROM {name}_dp WHERE step = 10)"""
 
-def _sq(i: str, j: str, a: str = "a", b: str = "b") -> str:
-    return f"pow({a}.xs[{i}] - {b}.xs[{j}], 2) + pow({a}.ys[{i}] - {b}.ys[{j}], 2)"
 
+def _recursive(names: str, body: str) -> str:
+    return with_views(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
 
-PAIR_COST = (
-    "least_cost AS (SELECT a.side, a.segment, a.frame AS fa, b.frame AS fb, a.label AS la, b.label AS lb, min("
-    + " + ".join(_sq(str(i), f"p.{c}") for i, c in enumerate("abcd", 1))
-    + ") AS cost\nFROM lists a JOIN lists b ON a.side = b.side AND a.segment = b.segment AND a.frame <> b.frame, perms p GROUP BY ALL)"
-)
+
+ROLE_OF = "CAST((path >> (4 * (10 - i))) & 15 AS BIGINT)"
+WIDE_SQL = "w AS (SELECT side, frame, label, i, x, y, concat(side, '|', CAST(frame AS VARCHAR)) AS bid FROM fx_roles WHERE i <= 10)"
+
+
+def _blocks(spark, sf_dir):
+    return v.role_points(spark, sf_dir, ROLES).withColumnRenamed("frame", "block_id")
 
 
 def assignment_cost(spark, sf_dir):
@@ -59,66 +62,117 @@ dp AS (SELECT frame, CAST(0 AS BIGINT) AS step, CAST(0 AS BIGINT) AS used, CAST(
 SELECT frame, round(cost, 4) AS cost FROM dp WHERE step = 10""").replace("WITH fx_roles AS", "WITH RECURSIVE fx_roles AS", 1)
 
 
+def _label_costs(spark, sf_dir):
+    """Blocks and the cost to the mean shape of every label of their side."""
+    b = stored(_blocks(spark, sf_dir))
+    shapes = fm.label_shapes(b, ["side", "label"], ["block_id"]).withColumnRenamed("label", "template")
+    return b, stored(fm.shape_costs(b, shapes, ["side"]).select("side", "block_id", "label", "template", "cost"))
+
+
+_LABEL_COSTS = "WITH " + WIDE_SQL + """,
+head AS (SELECT side, label, frame FROM (SELECT *, row_number() OVER (PARTITION BY side, label ORDER BY md5(CAST(frame AS VARCHAR)), frame) AS nth FROM w WHERE i = 1) WHERE nth = 1),
+""" + _solved("m1", "SELECT a.bid AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN head USING (side, label) JOIN w b ON b.side = head.side AND b.frame = head.frame") + """,
+sh AS (SELECT side, label AS template, """ + ROLE_OF + """ AS i, avg(x) AS x, avg(y) AS y FROM w JOIN m1 ON bid = pid GROUP BY ALL),
+""" + _solved("m2", "SELECT concat(a.bid, '|', b.template) AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN sh b USING (side)", path=False) + """,
+lc AS (SELECT side, frame, label, template, cost FROM (SELECT DISTINCT side, frame, label, bid FROM w) JOIN (SELECT DISTINCT side, template FROM sh) USING (side)
+       JOIN m2 ON pid = concat(bid, '|', template))"""
+
+
 def block_pairs(spark, sf_dir):
-    out = fm.cluster_blocks(_blocks(spark, sf_dir), GROUP, label="label")
-    return out.select("side", "segment", "block_id", r4("nearest_cost", "nearest_cost"), r4("segment_cost", "segment_cost"))
+    _, costs = _label_costs(spark, sf_dir)
+    return costs.select("side", "block_id", "template", r4("cost", "cost"))
 
 
-BLOCK_PAIRS_SQL = with_views("fx_roles", "WITH " + WIDE_SQL.strip() + "," + PERMS_SQL + ",\n" + PAIR_COST + """
-SELECT side, segment, fa AS block_id, round(min(cost), 4) AS nearest_cost, round(sum(cost), 4) AS segment_cost FROM least_cost GROUP BY ALL""")
+BLOCK_PAIRS_SQL = _recursive("fx_roles", _LABEL_COSTS + "\nSELECT side, frame AS block_id, template, round(cost, 4) AS cost FROM lc")
 
 
 def silhouette(spark, sf_dir):
-    out = fm.cluster_blocks(_blocks(spark, sf_dir), GROUP, label="label")
-    return out.select("side", "segment", "block_id", "n_blocks_in_cluster", r6("silhouette", "silhouette"))
+    _, costs = _label_costs(spark, sf_dir)
+    own = F.col("label") == F.col("template")
+    near = costs.groupBy("side", "block_id").agg(F.min(F.when(own, F.col("cost"))).alias("own"), F.min(F.when(~own, F.col("cost"))).alias("near"))
+    return near.select("side", "block_id", r6(fm.silhouette("own", "near"), "silhouette"))
 
 
-SILHOUETTE_SQL = with_views("fx_roles", "WITH " + WIDE_SQL.strip() + "," + PERMS_SQL + ",\n" + PAIR_COST + """,
-m AS (SELECT side, segment, fa, la, lb, avg(cost) AS mean, count(*) AS n FROM least_cost GROUP BY ALL),
-s AS (SELECT side, segment, fa, max(CASE WHEN la = lb THEN mean END) AS own, max(CASE WHEN la = lb THEN n END) AS others, min(CASE WHEN la <> lb THEN mean END) AS near
-      FROM m GROUP BY ALL)
-SELECT side, segment, fa AS block_id, CAST(coalesce(others, 0) + 1 AS INTEGER) AS n_blocks_in_cluster,
-       round(coalesce((near - own) / greatest(near, own), 0), 6) AS silhouette FROM s""")
+SILHOUETTE_SQL = _recursive("fx_roles", _LABEL_COSTS + """,
+s AS (SELECT side, frame, min(CASE WHEN label = template THEN cost END) AS own, min(CASE WHEN label <> template THEN cost END) AS near FROM lc GROUP BY ALL)
+SELECT side, frame AS block_id, round(CASE WHEN near IS NOT NULL AND greatest(own, near) > 0 THEN (near - own) / greatest(own, near) ELSE 0 END, 6) AS silhouette FROM s""")
+
+
+def _medoids(costs):
+    own = costs.where("label = template")
+    best = own.groupBy("side", "label").agg(F.min(F.struct("cost", "block_id")).alias("m"))
+    return best.select("side", "label", F.col("m.block_id").alias("block_id"), F.col("m.cost").alias("member_cost"))
 
 
 def medoid(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    out = fm.cluster_blocks(b, GROUP, label="label").where("is_medoid")
-    named = out.join(b.select(*GROUP, "block_id", "label"), [*GROUP, "block_id"])
-    return named.select("side", "segment", "label", "block_id", r4("member_cost", "member_cost"))
+    _, costs = _label_costs(spark, sf_dir)
+    return _medoids(costs).select("side", "label", "block_id", r4("member_cost", "member_cost"))
 
 
 _MEDOID = """,
-own AS (SELECT l.side, l.segment, l.frame, l.label, coalesce(sum(c.cost), 0) AS member_cost
-        FROM lists l LEFT JOIN least_cost c ON c.side = l.side AND c.segment = l.segment AND c.fa = l.frame AND c.la = c.lb GROUP BY ALL),
-med AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side, segment, label ORDER BY round(member_cost, 9), frame) AS nth FROM own) WHERE nth = 1)"""
-MEDOID_SQL = with_views("fx_roles", "WITH " + WIDE_SQL.strip() + "," + PERMS_SQL + ",\n" + PAIR_COST + _MEDOID + """
-SELECT side, segment, label, frame AS block_id, round(member_cost, 4) + 0.0 AS member_cost FROM med""")
+med AS (SELECT side, label, frame, cost FROM (SELECT *, row_number() OVER (PARTITION BY side, label ORDER BY cost, frame) AS nth FROM lc WHERE label = template) WHERE nth = 1)"""
+MEDOID_SQL = _recursive("fx_roles", _LABEL_COSTS + _MEDOID + "\nSELECT side, label, frame AS block_id, round(cost, 4) AS member_cost FROM med")
+
+
+def _label_templates(spark, sf_dir):
+    b, costs = _label_costs(spark, sf_dir)
+    chosen = _medoids(costs).select("side", "block_id", F.lit(True).alias("_m"))
+    clusters = b.join(chosen, ["side", "block_id"], "left").select("side", "block_id", F.col("label").alias("cluster_label"), F.col("_m").isNotNull().alias("is_medoid"))
+    return fm.cluster_templates(b.drop("label"), stored(clusters), ["side"], ["block_id"])
 
 
 def cluster_templates(spark, sf_dir):
-    b = _blocks(spark, sf_dir)
-    clusters = fm.cluster_blocks(b, GROUP, label="label")
-    named = clusters.join(b.select(*GROUP, "block_id", "label"), [*GROUP, "block_id"])
-    labels = named.groupBy(*GROUP, "cluster_label").agg(F.max("label").alias("label"))
-    t = fm.cluster_templates(b.drop("label"), clusters, GROUP).join(labels, [*GROUP, "cluster_label"])
-    return t.select("side", "segment", "label", "role", "n_members", *[r4(c, c) for c in ("mu_x", "mu_y", "cov_xx", "cov_xy", "cov_yy")])
+    t = _label_templates(spark, sf_dir)
+    return t.select("side", F.col("cluster_label").alias("label"), "role", "n_members", *[r4(c, c) for c in ("mu_x", "mu_y", "cov_xx", "cov_xy", "cov_yy")])
 
 
-CLUSTER_TEMPLATES_SQL = with_views("fx_roles", "WITH " + WIDE_SQL.strip() + "," + PERMS_SQL + ",\n" + PAIR_COST + _MEDOID + """,
-fit AS (SELECT a.side, a.segment, a.label, a.frame, a.xs, a.ys, arg_min([p.a, p.b, p.c, p.d], """ + " + ".join(_sq(str(i), f"p.{c}") for i, c in enumerate("abcd", 1)) + """) AS perm
-        FROM lists a JOIN med USING (side, segment, label) JOIN lists b ON b.side = med.side AND b.frame = med.frame, perms p GROUP BY ALL),
-al AS (SELECT side, segment, label, perm[k] AS role, xs[k] AS x, ys[k] AS y FROM fit, range(1, 5) r(k))
-SELECT side, segment, label, CAST(role AS INTEGER) AS role, count(*) AS n_members, round(avg(x), 4) + 0.0 AS mu_x, round(avg(y), 4) + 0.0 AS mu_y,
-       round(coalesce(var_samp(x), 0) + 0.000001, 4) AS cov_xx, round(coalesce(covar_samp(x, y), 0), 4) + 0.0 AS cov_xy, round(coalesce(var_samp(y), 0) + 0.000001, 4) AS cov_yy
-FROM al GROUP BY side, segment, label, role""")
+_TEMPLATES = _MEDOID + ",\n" + _solved("m3", "SELECT a.bid AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN med USING (side, label) JOIN w b ON b.side = med.side AND b.frame = med.frame") + """,
+al AS (SELECT side, label, """ + ROLE_OF + """ AS role, x, y FROM w JOIN m3 ON bid = pid),
+ct AS (SELECT side, label, role, count(*) AS n_members, avg(x) AS mu_x, avg(y) AS mu_y, coalesce(var_samp(x), 0) + 0.000001 AS cov_xx,
+              coalesce(covar_samp(x, y), 0) AS cov_xy, coalesce(var_samp(y), 0) + 0.000001 AS cov_yy FROM al GROUP BY side, label, role)"""
+CLUSTER_TEMPLATES_SQL = _recursive("fx_roles", _LABEL_COSTS + _TEMPLATES + """
+SELECT side, label, CAST(role AS INTEGER) AS role, n_members, round(mu_x, 4) + 0.0 AS mu_x, round(mu_y, 4) + 0.0 AS mu_y, round(cov_xx, 4) AS cov_xx,
+       round(cov_xy, 4) + 0.0 AS cov_xy, round(cov_yy, 4) AS cov_yy FROM ct""")
 
 
 def block_clusters(spark, sf_dir):
-    p = v.role_points(spark, sf_dir, 11).withColumnRenamed("frame", "block_id")
-    p = p.withColumn("pts", canonical_outfield(F.col("pts")))
-    out = fm.cluster_blocks(fm.with_segment(p, ["side", "label"], "block_id"), ["side", "label", "segment"])
-    return out.select("side", "label", "segment", "block_id", "cluster_label", "n_blocks_in_cluster", "is_medoid", r4("member_cost", "member_cost"))
+    out = fm.cluster_blocks(_blocks(spark, sf_dir), ["side"], ["block_id"], k_min=2, k_max=3, rounds=2)
+    return out.select("side", "block_id", "cluster_label", "n_blocks_in_cluster", "is_medoid", r4("member_cost", "member_cost"), r6("silhouette", "silhouette"))
+
+
+def _to_start(name: str, start: str) -> str:
+    return _solved(name, f"SELECT a.bid AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN cand ON a.bid = cand.bid JOIN {start} s ON s.side = a.side JOIN w b ON b.bid = s.bid", path=False)
+
+
+BLOCK_CLUSTERS_SQL = _recursive("fx_roles", "WITH " + WIDE_SQL + """,
+cand AS (SELECT side, bid, nth FROM (SELECT side, bid, row_number() OVER (PARTITION BY side ORDER BY md5(CAST(frame AS VARCHAR)), frame) AS nth FROM w WHERE i = 1) WHERE nth <= 64),
+s1 AS (SELECT side, bid, nth FROM cand WHERE nth = 1),
+""" + _to_start("d1", "s1") + """,
+s2 AS (SELECT side, bid, nth FROM (SELECT side, bid, nth, row_number() OVER (PARTITION BY side ORDER BY cost DESC, nth) AS r FROM cand JOIN d1 ON bid = pid WHERE nth > 1) WHERE r = 1),
+""" + _to_start("d2", "s2") + """,
+s3 AS (SELECT side, bid, nth FROM (SELECT side, bid, nth, row_number() OVER (PARTITION BY side ORDER BY least(d1.cost, d2.cost) DESC, nth) AS r
+       FROM cand JOIN d1 ON bid = d1.pid JOIN d2 ON bid = d2.pid WHERE bid NOT IN (SELECT bid FROM s1 UNION ALL SELECT bid FROM s2)) WHERE r = 1),
+st AS (SELECT side, bid, 1 AS c FROM s1 UNION ALL SELECT side, bid, 2 FROM s2 UNION ALL SELECT side, bid, 3 FROM s3),
+""" + _solved("r1", "SELECT concat(a.bid, '|', c) AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN st ON st.side = a.side JOIN w b ON b.bid = st.bid") + """,
+ids AS (SELECT side, frame, bid FROM w WHERE i = 1),
+n1 AS (SELECT * FROM (SELECT ids.*, k, c, path, row_number() OVER (PARTITION BY ids.bid, k ORDER BY cost, c) AS nth
+       FROM ids JOIN st USING (side) JOIN r1 ON pid = concat(ids.bid, '|', c) JOIN (VALUES (2), (3)) t(k) ON c <= k) WHERE nth = 1),
+sh AS (SELECT n1.side, k, c, """ + ROLE_OF + """ AS i, avg(x) AS x, avg(y) AS y FROM n1 JOIN w USING (bid) GROUP BY ALL),
+""" + _solved("r2", "SELECT concat(a.bid, '|', k, '|', c) AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN sh b USING (side)", path=False) + """,
+n2 AS (SELECT ids.*, k, c, cost, row_number() OVER w2 AS nth, lead(cost) OVER w2 AS near
+       FROM ids JOIN (SELECT DISTINCT side, k, c FROM sh) USING (side) JOIN r2 ON pid = concat(ids.bid, '|', k, '|', c) WINDOW w2 AS (PARTITION BY ids.bid, k ORDER BY cost, c)),
+sc AS (SELECT *, CASE WHEN near IS NOT NULL AND greatest(near, cost) > 0 THEN (near - cost) / greatest(near, cost) ELSE 0 END AS sil FROM n2 WHERE nth = 1),
+bk AS (SELECT side, arg_min(k, (-m, k)) AS k FROM (SELECT side, k, round(avg(sil), 9) AS m FROM sc GROUP BY ALL) GROUP BY side),
+ch AS (SELECT sc.* FROM sc JOIN bk USING (side, k)),
+gr AS (SELECT side, c, count(*) AS n, row_number() OVER (PARTITION BY side ORDER BY min(frame)) - 1 AS lab, arg_min(frame, (cost, frame)) AS med FROM ch GROUP BY side, c)
+SELECT side, frame AS block_id, CAST(lab AS INTEGER) AS cluster_label, CAST(n AS INTEGER) AS n_blocks_in_cluster, frame = med AS is_medoid,
+       round(cost, 4) AS member_cost, round(sil, 6) AS silhouette FROM ch JOIN gr USING (side, c)""")
+
+
+def named_templates(spark, sf_dir):
+    t = _label_templates(spark, sf_dir)
+    named = fm.named_templates(t.withColumn("phase", F.lit("mid-block")), ["side", "phase"], "phase")
+    return named.select("side", "formation", "members", F.inline("roles")).select("side", "formation", "members", "role", *[r4(c, c) for c in ("x", "y", "xx", "xy", "yy")])
 
 
 def _templates(blocks):
@@ -143,49 +197,55 @@ def template_match(spark, sf_dir):
     return m.select("side", "frame", "formation", "mirrored", r4("w2_cost", "w2_cost"), r4("w2_margin", "w2_margin"), "members")
 
 
-_TERM = "pow({s} * a.xs[{i}] - t.xs[{j}], 2) + pow(a.ys[{i}] - t.ys[{j}], 2) + t.k[{j}]"
-_TOTAL = " + ".join(_TERM.format(s="m.s", i=i, j=f"p.{c}") for i, c in enumerate("abcd", 1))
-_MATCH = """,
-tr AS (SELECT side, concat('t', label) AS form, i, avg(x) AS x, avg(y) AS y, var_samp(x) AS xx, covar_samp(x, y) AS xy, var_samp(y) AS yy, count(*) AS members
-       FROM fx_roles WHERE i <= 4 GROUP BY side, label, i),
-t AS (SELECT side, form, list(x ORDER BY i) AS xs, list(y ORDER BY i) AS ys, max(members) AS members,
-             list(1 + xx + yy - sqrt(2) * sqrt(xx + yy + 2 * sqrt(greatest(xx * yy - xy * xy, 0))) ORDER BY i) AS k FROM tr GROUP BY side, form),
-m AS (SELECT 0 AS mirrored, 1.0 :: DOUBLE AS s UNION ALL SELECT 1, -1.0),
-cs AS (SELECT a.side, a.frame, form, CAST(m.mirrored AS INTEGER) AS mirrored, members, min(""" + _TOTAL + """) AS cost
-       FROM lists a JOIN t ON a.side = t.side, m, perms p GROUP BY ALL),
+_MATCH = """WITH """ + WIDE_SQL + """,
+t AS (SELECT side, concat('t', label) AS form, i, avg(x) AS x, avg(y) AS y, count(*) AS members,
+             1 + var_samp(x) + var_samp(y) - sqrt(2) * sqrt(var_samp(x) + var_samp(y) + 2 * sqrt(greatest(var_samp(x) * var_samp(y) - pow(covar_samp(x, y), 2), 0))) AS k
+      FROM w GROUP BY side, label, i),
+mi AS (SELECT 0 AS mirrored, CAST(1 AS DOUBLE) AS s UNION ALL SELECT 1, -1),
+""" + _solved("mm", "SELECT concat(a.bid, '|', form, '|', mirrored) AS pid, a.i, t.i AS j, s * a.x AS ax, a.y AS ay, t.x AS ox, t.y AS oy, t.k AS k FROM w a JOIN t USING (side), mi", "k", path=False) + """,
+cs AS (SELECT ids.side, frame, form, CAST(mirrored AS INTEGER) AS mirrored, members, cost
+       FROM (SELECT side, frame, bid FROM w WHERE i = 1) ids JOIN (SELECT side, form, max(members) AS members FROM t GROUP BY ALL) USING (side), mi, mm
+       WHERE mm.pid = concat(ids.bid, '|', form, '|', mirrored)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY side, frame ORDER BY cost, mirrored, form) AS nth FROM cs),
 mt AS (SELECT a.side, a.frame, a.form AS formation, a.mirrored, a.cost AS w2_cost, b.cost - a.cost AS w2_margin, a.members
        FROM rk a JOIN rk b ON a.side = b.side AND a.frame = b.frame AND a.nth = 1 AND b.nth = 2)"""
-_MATCH_HEAD = "WITH " + WIDE_SQL.strip() + "," + PERMS_SQL + _MATCH
-TEMPLATE_MATCH_SQL = with_views("fx_roles", _MATCH_HEAD + """
+TEMPLATE_MATCH_SQL = _recursive("fx_roles", _MATCH + """
 SELECT side, frame, formation, mirrored, round(w2_cost, 4) AS w2_cost, round(w2_margin, 4) AS w2_margin, members FROM mt""")
 
 
 def robust_gates(spark, sf_dir):
     _, m = _matches(spark, sf_dir)
-    g = fm.robust_gates(m, ["side"], 1e6, 1.0)
-    return g.select("side", r4("cost_limit", "cost_limit"), r4("margin_limit", "margin_limit"))
+    return fm.robust_gates(m, ["side"]).select("side", r4("cost_limit", "cost_limit"), r4("margin_limit", "margin_limit"))
 
 
 _GATES = """,
-md AS (SELECT side, median(w2_cost) AS med, greatest(quantile_cont(w2_margin, 0.1), 1) AS margin_limit FROM mt GROUP BY side),
+md AS (SELECT side, median(w2_cost) AS med, greatest(quantile_cont(w2_margin, 0.1), 50) AS margin_limit FROM mt GROUP BY side),
 mad AS (SELECT mt.side, median(abs(w2_cost - med)) * 1.4826 AS mad FROM mt JOIN md USING (side) GROUP BY mt.side),
-gt AS (SELECT md.side, least(CASE WHEN mad > 0 THEN med + 3 * mad ELSE med * 2.5 END, 1000000) AS cost_limit, margin_limit FROM md JOIN mad USING (side))"""
-ROBUST_GATES_SQL = with_views("fx_roles", _MATCH_HEAD + _GATES + """
+gt AS (SELECT md.side, least(CASE WHEN mad > 0 THEN med + 3 * mad ELSE med * 2.5 END, 1500) AS cost_limit, margin_limit FROM md JOIN mad USING (side))"""
+ROBUST_GATES_SQL = _recursive("fx_roles", _MATCH + _GATES + """
 SELECT side, round(cost_limit, 4) AS cost_limit, round(margin_limit, 4) AS margin_limit FROM gt""")
 
 
 def formation_predict(spark, sf_dir):
     b, m = _matches(spark, sf_dir)
-    out = fm.predict_formations(b.select("side", "frame"), m, fm.robust_gates(m, ["side"], 1e6, 1.0), ["side"], ["frame"])
-    return out.select("side", "frame", "predicted_formation", "method", r4("w2_cost", "w2_cost"), r4("w2_margin", "w2_margin"))
-
-
-FORMATION_PREDICT_SQL = with_views("fx_roles", _MATCH_HEAD + _GATES + """
-SELECT side, frame, CASE WHEN w2_cost <= cost_limit AND w2_margin >= margin_limit THEN formation ELSE 'unknown' END AS predicted_formation,
-       CASE WHEN w2_cost <= cost_limit AND w2_margin >= margin_limit THEN 'w2_hungarian_template' ELSE 'resnet_fallback_conf_0.000' END AS method,
-       round(w2_cost, 4) AS w2_cost, round(w2_margin, 4) AS w2_margin
-FROM mt JOIN gt USING (side)""")
+    sizes = b.groupBy("side", "label").agg(F.count(F.lit(1)).cast("int").alias("n_blocks_in_cluster"))
+    clusters = b.join(sizes, ["side", "label"]).select("side", "frame", F.col("label").cast("int").alias("cluster_label"), "n_blocks_in_cluster")
+    label = F.when(F.col("frame") % 3 == 0, "4-4-2").when(F.col("frame") % 3 == 1, "4-3-3").otherwise("3-5-2")
+    fallback = b.select("side", "frame", F.when(F.col("frame") % 4 != 0, label).alias("label"), F.when(F.col("frame") % 4 != 0, F.col("frame") % 100 / 100).alias("confidence"))
+    out = fm.predict_formations(b.select("side", "frame"), m, fm.robust_gates(m, ["side"]), ["side"], ["frame"], clusters, fallback)
+    return out.select("side", "frame", "predicted_formation", "method", r4("w2_cost", "w2_cost"), r4("w2_margin", "w2_margin"), "cluster_label", "n_blocks_in_cluster", "chosen_template_size")
+
+
+FORMATION_PREDICT_SQL = _recursive("fx_roles", _MATCH + _GATES + """,
+sz AS (SELECT side, frame, label, count(*) OVER (PARTITION BY side, label) AS n FROM w WHERE i = 1),
+ok AS (SELECT mt.*, sz.label, n, w2_cost <= cost_limit AND w2_margin >= margin_limit AS ok,
+              CASE WHEN frame % 4 <> 0 THEN CASE frame % 3 WHEN 0 THEN '4-4-2' WHEN 1 THEN '4-3-3' ELSE '3-5-2' END END AS guess,
+              CASE WHEN frame % 4 <> 0 THEN frame % 100 / 100 ELSE 0 END AS conf
+       FROM mt JOIN gt USING (side) JOIN sz USING (side, frame))
+SELECT side, frame, CASE WHEN ok THEN formation ELSE coalesce(guess, 'unknown') END AS predicted_formation,
+       CASE WHEN ok THEN 'w2_hungarian_template' ELSE printf('resnet_fallback_conf_%.3f', conf) END AS method,
+       round(w2_cost, 4) AS w2_cost, round(w2_margin, 4) AS w2_margin, CAST(label AS INTEGER) AS cluster_label, CAST(n AS INTEGER) AS n_blocks_in_cluster,
+       CAST(CASE WHEN ok THEN members ELSE n END AS INTEGER) AS chosen_template_size FROM ok""")
 
 
 QUERIES = {
@@ -194,7 +254,8 @@ QUERIES = {
     "silhouette": (silhouette, SILHOUETTE_SQL),
     "medoid": (medoid, MEDOID_SQL),
     "cluster_templates": (cluster_templates, CLUSTER_TEMPLATES_SQL),
-    "block_clusters": (block_clusters, None),
+    "block_clusters": (block_clusters, BLOCK_CLUSTERS_SQL),
+    "named_templates": (named_templates, None),
     "template_match": (template_match, TEMPLATE_MATCH_SQL),
     "robust_gates": (robust_gates, ROBUST_GATES_SQL),
     "formation_predict": (formation_predict, FORMATION_PREDICT_SQL),

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from touchline.config import OUTFIELD, PITCH_LENGTH
 from touchline.functions.coords import goal_x
+from touchline.functions.keys import known
 
 
 def on_side(players: Column, side: str | Column) -> Column:
     """Players of one side that have both coordinates."""
-    return F.filter(players, lambda p: (p["side"] == side) & p["x"].isNotNull() & p["y"].isNotNull())
+    return F.filter(players, lambda p: (p["side"] == side) & known(p["x"], p["y"]))
 
 
 def _dist(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.config import FPS, MIN_BLOCK_SECONDS, ROLLING_ROWS, SHIFT_METRES, TINY_BLOCK_SECONDS
+from touchline.functions.keys import known
 from touchline.operators.sequences import core_rows, halo_window, next_order, running_max, with_halo
 
 BLOCK_ID_PERIOD = 10_000_000
@@ -19,13 +20,13 @@ def _with_means(df: DataFrame, keys: list[str], win: int, rn: str, before: int)
     group = [*keys, "player"]
     w = halo_window(group, rn)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    known = F.col("x").isNotNull() & F.col("y").isNotNull()
+    both = known("x", "y")
     out = with_halo(df, group, rn, before=before)
     out = out.withColumns(
         {
-            "_sx": F.sum(F.when(known, F.col("x")).otherwise(0.0)).over(upto),
-            "_sy": F.sum(F.when(known, F.col("y")).otherwise(0.0)).over(upto),
-            "_n": F.sum(known.cast("long")).over(upto),
+            "_sx": F.sum(F.when(both, F.col("x")).otherwise(0.0)).over(upto),
+            "_sy": F.sum(F.when(both, F.col("y")).otherwise(0.0)).over(upto),
+            "_n": F.sum(both.cast("long")).over(upto),
         }
     )
 
@@ -92,15 +93,15 @@ def block_meta(
     frames: DataFrame,
     by: list[str],
     frame: str = "frame",
-    known: Column | None = None,
+    has_player: Column | None = None,
     min_seconds: float = MIN_BLOCK_SECONDS,
     fps: float = FPS,
 ) -> DataFrame:
     """First and last frame, seconds and usable frames per block; blocks under ``min_seconds`` go.
 
-    ``known`` says whether a frame has any player.
+    ``has_player`` says whether a frame has any player.
     """
-    usable = F.count(F.lit(1)) if known is None else F.sum(known.cast("long"))
+    usable = F.count(F.lit(1)) if has_player is None else F.sum(has_player.cast("long"))
     out = frames.groupBy(*by).agg(
         F.min(frame).alias("block_start_frame"),
         F.max(frame).alias("block_end_frame"),
@@ -115,8 +116,7 @@ def role_templates(points: DataFrame, by: list[str], player: str = "player") ->
 
     No points: mean 0. At most one point: covariance 1e-6 on the diagonal.
     """
-    known = F.col("x").isNotNull() & F.col("y").isNotNull()
-    x, y = F.when(known, F.col("x")), F.when(known, F.col("y"))
+    x, y = F.when(known("x", "y"), F.col("x")), F.when(known("x", "y"), F.col("y"))
     out = points.groupBy(*by, player).agg(
         F.count(x).alias("n_points"),
         F.avg(x).alias("_mx"),

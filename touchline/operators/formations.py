@@ -6,15 +6,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.config import ALLOWED_FORMATIONS, COST_CAP, K_MAX, K_MIN, MARGIN_FLOOR
 from touchline.functions.batches import append_batchwise
+from touchline.functions.keys import join_keys
 from touchline.functions.shapes import best_counts, bures
 from touchline.operators.quantiles import exact_quantiles
-from touchline.operators.sequences import number_rows
 from touchline.session import compute_partitions, stored
 
 
@@ -135,154 +135,143 @@ def square_costs(a: Column, b: Column) -> Column:
     )
 
 
-# Largest number of blocks clustered together. Real matches stay far below it: a block lasts at least 45 seconds.
-SEGMENT_BLOCKS = 256
+# Rows per group from which start shapes are picked, and rounds after which shapes are taken as settled.
+START_CANDIDATES = 64
+MAX_ROUNDS = 20
 
 
-def with_segment(blocks: DataFrame, keys: list[str], order: str, limit: int = SEGMENT_BLOCKS) -> DataFrame:
-    """Add ``segment``: runs of at most ``limit`` consecutive blocks of the same keys.
+def _key_order(block: list[str]) -> list[Column]:
+    """A fixed order that does not follow time: the hash of the block's key, then the key."""
+    return [F.md5(F.concat_ws("|", *[F.col(b).cast("string") for b in block])), *[F.col(b) for b in block]]
 
-    Clustering compares every block with every other one of its segment, so its cost per block is bounded however
-    many blocks one match, side and phase may have.
+
+def _flat_points(points: str) -> list[Column]:
+    return [F.transform(points, lambda p: p["x"].cast("double")).alias("_xs"), F.transform(points, lambda p: p["y"].cast("double")).alias("_ys")]
+
+
+POINTS = "array<struct<x:double,y:double>>"
+
+
+def start_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str = "pts", k_max: int = K_MAX, candidates: int = START_CANDIDATES) -> DataFrame:
+    """Up to ``k_max`` start shapes per group: ``c`` from 1 and ``shape``.
+
+    The first ``candidates`` blocks of a group in hash order are walked farthest-first, so the first k shapes are the
+    start for k clusters. A task holds these candidates only.
     """
-    numbered = number_rows(blocks, keys, order, "_nth")
-    return numbered.withColumn("segment", F.floor((F.col("_nth") - 1) / limit).cast("long")).drop("_nth")
-
-
-def _pair_costs(points: np.ndarray) -> np.ndarray:
-    """Symmetric matrix of assignment costs between the (n, roles, 2) point sets."""
-    n = len(points)
-    out = np.zeros((n, n))
-    left, right = np.triu_indices(n, 1)
-    for at in range(0, len(left), BATCH):
-        i, j = left[at : at + BATCH], right[at : at + BATCH]
-        delta = points[i][:, :, None, :] - points[j][:, None, :, :]
-        out[i, j] = out[j, i] = best_assignments((delta**2).sum(axis=-1))[0]
-    return out
-
-
-def _average_linkage(costs: np.ndarray, counts: list[int]) -> dict[int, np.ndarray]:
-    """Labels of average-linkage clustering for each wanted number of clusters."""
-    n = len(costs)
-    labels = np.arange(n)
-    between = costs.astype(float).copy()
-    np.fill_diagonal(between, np.inf)
-    sizes = np.ones(n)
-    found = {}
-    for clusters in range(n, 0, -1):
-        if clusters in counts:
-            found[clusters] = labels.copy()
-        if clusters == 1:
-            break
-        a, b = sorted(np.unravel_index(int(np.argmin(between)), between.shape))
-        merged = (between[a] * sizes[a] + between[b] * sizes[b]) / (sizes[a] + sizes[b])
-        between[a], between[:, a] = merged, merged
-        between[a, a] = np.inf
-        between[b], between[:, b] = np.inf, np.inf
-        sizes[a] += sizes[b]
-        labels[labels == b] = a
-    return found
-
-
-def _silhouettes(costs: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Silhouette of every member; alone in its cluster counts 0."""
-    names = np.unique(labels)
-    totals = np.stack([costs[:, labels == c].sum(axis=1) for c in names], axis=1)
-    sizes = np.array([(labels == c).sum() for c in names])
-    own = np.searchsorted(names, labels)
-    rows = np.arange(len(labels))
-    inside = totals[rows, own] / np.maximum(sizes[own] - 1, 1)
-    means = totals / sizes
-    means[rows, own] = np.inf
-    outside = means.min(axis=1)
-    widest = np.maximum(inside, outside)
-    score = np.where(widest > 0, (outside - inside) / np.where(widest > 0, widest, 1.0), 0.0)
-    return np.where(sizes[own] > 1, score, 0.0)
-
-
-def _choose_labels(costs: np.ndarray, k_min: int, k_max: int) -> np.ndarray:
-    """Clustering whose number of clusters has the best mean silhouette, the smallest on ties."""
-    n = len(costs)
-    if n <= 2:
-        return np.arange(n)
-    options = list(range(max(2, k_min), min(k_max, n) + 1))
-    found = _average_linkage(costs, [*options, min(2, n)])
-    scored = [(k, _silhouettes(costs, found[k]).mean()) for k in options if k < n]
-    best = None
-    for k, score in scored:
-        if score > (best[1] if best else -1.0):
-            best = (k, score)
-    return found[best[0] if best else min(2, n)]
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*_key_order(block)))
+    first = blocks.where(F.col(points).isNotNull()).select(*by, *block, points).withColumn("_nth", nth).where(F.col("_nth") <= candidates)
+    flat = first.select(*by, "_nth", *_flat_points(points))
+    schema = T.StructType([*[blocks.schema[c] for c in by], T.StructField("c", T.IntegerType()), *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_xs", "_ys")]])
+
+    def walk(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_nth")
+        shapes = np.stack([np.stack([x, y], axis=1) for x, y in zip(group["_xs"], group["_ys"])])
+        near, picked = np.full(len(shapes), np.inf), [0]
+        while len(picked) < min(k_max, len(shapes)):
+            delta = shapes[:, :, None, :] - shapes[picked[-1]][None, None, :, :]
+            near = np.minimum(near, best_assignments((delta**2).sum(axis=-1))[0])
+            near[picked] = -1.0
+            picked.append(int(near.argmax()))
+        out = group.iloc[picked][[*by, "_xs", "_ys"]].copy()
+        out["c"] = np.arange(1, len(picked) + 1, dtype=np.int32)
+        return out[[*by, "c", "_xs", "_ys"]]
+
+    walked = flat.groupBy(*by).applyInPandas(walk, schema)
+    return walked.select(*by, "c", F.zip_with("_xs", "_ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("shape"))
+
+
+def shape_costs(blocks: DataFrame, shapes: DataFrame, on: list[str], points: str = "pts") -> DataFrame:
+    """Blocks with every shape of the same ``on``: all columns of both, ``cost`` and each point's matched ``role``.
+
+    A group has a handful of shapes, so the work is one exact assignment per block and shape; no blocks are paired.
+    """
+    spread = blocks.where(F.col(points).isNotNull()).repartition(compute_partitions(blocks.sparkSession))
+    met = join_keys(spread, shapes, on)
+    return with_assignment(met, square_costs(F.col(points), F.col("shape")), "cost", "role").drop("shape")
+
+
+def mean_shapes(matched: DataFrame, by: list[str], points: str = "pts") -> DataFrame:
+    """Mean point of every role over the blocks of each ``by``, as ``shape``."""
+    long = matched.select(*by, F.inline(F.arrays_zip(F.col("role"), F.col(points).cast(POINTS).alias("p"))))
+    role = long.groupBy(*by, "role").agg(F.avg("p.x").alias("x"), F.avg("p.y").alias("y"))
+    ordered = F.array_sort(F.collect_list(F.struct("role", "x", "y")))
+    return role.groupBy(*by).agg(F.transform(ordered, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"))).alias("shape"))
+
+
+def label_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str = "pts", rounds: int = 1) -> DataFrame:
+    """Mean shape of each group of given labels (``by`` includes the label).
+
+    Members are matched role by role to the group's first block in hash order, then ``rounds - 1`` times to the mean.
+    """
+    shapes = start_shapes(blocks, by, block, points, 1, 1).select(*by, "shape")
+    for _ in range(rounds):
+        shapes = stored(mean_shapes(shape_costs(blocks.select(*by, points), shapes, by, points), by, points))
+    return shapes
+
+
+def silhouette(own: str, near: str) -> Column:
+    """How much nearer a block is to its own shape than to the next one, from -1 to 1; without a next one 0."""
+    wider = F.greatest(F.col(own), F.col(near))
+    return F.when(F.col(near).isNotNull() & (wider > 0), (F.col(near) - F.col(own)) / wider).otherwise(F.lit(0.0))
 
 
 def cluster_blocks(
     blocks: DataFrame,
     by: list[str],
-    block: str = "block_id",
+    block: list[str],
     points: str = "pts",
-    label: str | None = None,
     k_min: int = K_MIN,
     k_max: int = K_MAX,
+    rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
-    """Cluster the blocks of each group by the assignment cost of their shapes.
+    """Cluster the blocks of each group around mean shapes, for every number of clusters from ``k_min`` to ``k_max``.
+
+    Each round gives every block its cheapest shape by assignment cost and every shape the mean of its members matched
+    role by role, until no block moves. Silhouettes compare the cost of a block's own shape with that of the next one;
+    the number of clusters with the best mean wins, the smallest on ties. Groups with fewer blocks than ``k_min`` have
+    one cluster per start shape. Work per round is blocks times shapes at any group size.
 
-    ``by`` must include the bounded ``segment``; each group is one task's matrix and gives back one row per block:
-    ``cluster_label`` (numbered by first member), ``n_blocks_in_cluster``, ``is_medoid``, ``member_cost`` (summed cost
-    to its cluster), ``silhouette``, and the nearest and summed cost to the whole segment. With ``label`` the clusters
-    are given and only measured.
+    Gives back one row per block: ``cluster_label`` (numbered by first member), ``n_blocks_in_cluster``, ``is_medoid``
+    (the member nearest to its shape), ``member_cost`` (that cost) and ``silhouette``.
     """
-    xs = F.transform(points, lambda p: p["x"])
-    ys = F.transform(points, lambda p: p["y"])
-    # No second name for a column that is already a key.
-    given = [F.col(label).cast("long").alias("_given")] if label else []
-    flat = blocks.where(F.col(points).isNotNull()).select(*by, block, xs.alias("_xs"), ys.alias("_ys"), *given)
-    schema = T.StructType([blocks.schema[c] for c in [*by, block]])
-    for name, kind in (
-        ("cluster_label", T.IntegerType()),
-        ("n_blocks_in_cluster", T.IntegerType()),
-        ("is_medoid", T.BooleanType()),
-        ("member_cost", T.DoubleType()),
-        ("silhouette", T.DoubleType()),
-        ("nearest_cost", T.DoubleType()),
-        ("segment_cost", T.DoubleType()),
-    ):
-        schema = schema.add(name, kind)
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(block).reset_index(drop=True)
-        shapes = np.stack([np.stack([x, y], axis=1) for x, y in zip(group["_xs"], group["_ys"])]).astype(float)
-        costs = _pair_costs(shapes)
-        raw = group["_given"].to_numpy() if "_given" in group else _choose_labels(costs, k_min, k_max)
-        labels = pd.factorize(raw)[0]
-        same = labels[:, None] == labels[None, :]
-        member = (costs * same).sum(axis=1)
-        medoid = np.zeros(len(group), dtype=bool)
-        for c in np.unique(labels):
-            at = np.flatnonzero(labels == c)
-            medoid[at[np.argmin(member[at])]] = True
-        away = costs + np.where(np.eye(len(group), dtype=bool), np.inf, 0.0)
-        nearest = away.min(axis=1)
-        out = group[[*by, block]].copy()
-        out["cluster_label"] = labels.astype(np.int32)
-        out["n_blocks_in_cluster"] = same.sum(axis=1).astype(np.int32)
-        out["is_medoid"] = medoid
-        out["member_cost"] = member
-        out["silhouette"] = _silhouettes(costs, labels) if labels.max() > 0 else 0.0
-        out["nearest_cost"] = np.where(np.isfinite(nearest), nearest, np.nan)
-        out["segment_cost"] = costs.sum(axis=1)
-        return out
-
-    spread = flat.repartition(compute_partitions(blocks.sparkSession), *by)
-    return spread.groupBy(*by).applyInPandas(run, schema)
-
-
-def cluster_templates(blocks: DataFrame, clusters: DataFrame, by: list[str], block: str = "block_id", points: str = "pts") -> DataFrame:
+    slim = stored(blocks.where(F.col(points).isNotNull()).select(*by, *block, F.col(points).cast(POINTS).alias("pts")))
+    starts = stored(start_shapes(slim, by, block, "pts", k_max))
+    most = starts.groupBy(*by).agg(F.max("c").alias("_most"))
+    sized = join_keys(starts, most, by).withColumn("k", F.explode(F.sequence(F.greatest("c", F.lit(k_min)), F.lit(k_max))))
+    shapes = stored(sized.where(F.col("k") <= F.greatest("_most", F.lit(k_min))).select(*by, "k", "c", "shape"))
+    seen = None
+    for _ in range(rounds):
+        option = F.struct("cost", "c", "role")
+        met = shape_costs(slim, shapes, by).groupBy(*by, *block, "k").agg(F.slice(F.array_sort(F.collect_list(option)), 1, 2).alias("_best"), F.first("pts").alias("pts"))
+        own, other = F.get("_best", F.lit(0)), F.get("_best", F.lit(1))
+        near = stored(met.select(*by, *block, "k", "pts", own["cost"].alias("cost"), own["c"].alias("c"), own["role"].alias("role"), other["cost"].alias("near")))
+        now = near.agg(F.sum(F.xxhash64(*by, *block, "k", "c").cast("decimal(38,0)"))).first()[0]
+        if now == seen:
+            break
+        seen = now
+        shapes = stored(mean_shapes(near, [*by, "k", "c"]))
+    scored = near.withColumn("silhouette", silhouette("cost", "near"))
+    means = scored.groupBy(*by, "k").agg(F.round(F.avg("silhouette"), 9).alias("_mean"))
+    best = means.groupBy(*by).agg(F.min(F.struct((-F.col("_mean")).alias("_m"), "k"))["k"].alias("k"))
+    chosen = stored(join_keys(scored, stored(best), [*by, "k"]))
+    groups = chosen.groupBy(*by, "c").agg(
+        F.count(F.lit(1)).cast("int").alias("n_blocks_in_cluster"), F.min(F.struct(*block)).alias("_first"), F.min(F.struct("cost", *block)).alias("_medoid")
+    )
+    label = F.row_number().over(Window.partitionBy(*by).orderBy("_first")) - 1
+    named = stored(groups.withColumn("cluster_label", label).drop("_first"))
+    medoid = F.struct("cost", *block).eqNullSafe(F.col("_medoid"))
+    return join_keys(chosen, named, [*by, "c"]).select(
+        *by, *block, "cluster_label", "n_blocks_in_cluster", medoid.alias("is_medoid"), F.col("cost").alias("member_cost"), "silhouette"
+    )
+
+
+def cluster_templates(blocks: DataFrame, clusters: DataFrame, by: list[str], block: list[str], points: str = "pts") -> DataFrame:
     """Mean shape of each cluster: members are matched role by role to the cluster's medoid.
 
     Output per group, cluster and role: member count, ``mu_x``, ``mu_y`` and the sample covariance plus 1e-6 on the
     diagonal.
     """
-    placed = blocks.join(clusters.select(*by, block, "cluster_label", "is_medoid"), [*by, block])
+    placed = blocks.join(clusters.select(*by, *block, "cluster_label", "is_medoid"), [*by, *block])
     medoids = placed.where("is_medoid").select(*by, "cluster_label", F.col(points).alias("_ref"))
     met = placed.join(medoids, [*by, "cluster_label"]).select(*by, "cluster_label", F.col(points).alias("p"), "_ref")
     matched = with_assignment(met, square_costs(F.col("p"), F.col("_ref")), columns="role")

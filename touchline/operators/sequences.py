@@ -10,7 +10,7 @@ the data. The operators here cut the sequence into chunks of at most ``size`` ro
 * ``running_max`` and ``next_order`` carry unbounded look-back and look-ahead across chunks with one summary row
   per chunk.
 
-Keys must not be NULL and the order column must be a whole number that is unique within the keys.
+A NULL key is a key like any other. The order column must be a whole number that is unique within the keys.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.functions.keys import join_keys
+
 CHUNK_ROWS = 16_384
 
 
@@ -34,11 +36,9 @@ def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "rn", si
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
     within = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (
-        chunked.join(offsets, [*keys, "_chunk"], "left")
-        .withColumn(name, (F.col("_offset") + F.row_number().over(within)).cast("long"))
-        .drop("_chunk", "_offset")
-    )
+    ranked = chunked.withColumn("_place", F.row_number().over(within))
+    out = join_keys(ranked, offsets, [*keys, "_chunk"], "left")
+    return out.withColumn(name, (F.col("_offset") + F.col("_place")).cast("long")).drop("_chunk", "_offset", "_place")
 
 
 def with_halo(
@@ -85,10 +85,11 @@ def running_max(
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = tops.select(*keys, "_chunk", *[F.max(f"_top_{n}").over(earlier).alias(f"_carry_{n}") for n in names])
     so_far = Window.partitionBy(*keys, "_chunk").orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    out = marked.join(carry, [*keys, "_chunk"], "left")
+    marked = marked.withColumns({f"_own_{n}": F.max(f"_v_{n}").over(so_far) for n in names})
+    out = join_keys(marked, carry, [*keys, "_chunk"], "left")
     for n in names:
-        out = out.withColumn(n, F.coalesce(F.max(f"_v_{n}").over(so_far), F.col(f"_carry_{n}")))
-    return out.drop("_chunk", *[f"_v_{n}" for n in names], *[f"_carry_{n}" for n in names])
+        out = out.withColumn(n, F.coalesce(f"_own_{n}", f"_carry_{n}"))
+    return out.drop("_chunk", *[f"_{kind}_{n}" for kind in ("v", "own", "carry") for n in names])
 
 
 def next_order(df: DataFrame, keys: list[str], order: str, name: str, size: int | None = None) -> DataFrame:
@@ -98,8 +99,5 @@ def next_order(df: DataFrame, keys: list[str], order: str, name: str, size: int
     later = Window.partitionBy(*keys).orderBy("_chunk")
     carry = heads.select(*keys, "_chunk", F.lead("_head").over(later).alias("_carry"))
     within = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    return (
-        marked.join(carry, [*keys, "_chunk"], "left")
-        .withColumn(name, F.coalesce(F.lead(order).over(within), F.col("_carry")))
-        .drop("_chunk", "_carry")
-    )
+    led = marked.withColumn("_lead", F.lead(order).over(within))
+    return join_keys(led, carry, [*keys, "_chunk"], "left").withColumn(name, F.coalesce("_lead", "_carry")).drop("_chunk", "_carry", "_lead")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.config import (
     FPS,
+    K_MAX,
     MIN_BLOCK_SECONDS,
     MIN_OVERLAP_SECONDS,
     PITCH_LENGTH,
@@ -36,7 +37,8 @@ from touchline.sources.layouts import positions
 
 SEQUENCE = ["provider", "match_id", "period_id"]
 BLOCK = ["provider", "match_id", "side", "phase", "period_id", "block_id"]
-GROUP = ["provider", "match_id", "side", "phase", "segment"]
+GROUP = ["provider", "side", "phase"]
+WITHIN = ["match_id", "period_id", "block_id"]
 
 
 @dataclass(frozen=True)
@@ -50,7 +52,7 @@ class Settings:
     tiny_rows: int = TINY_BLOCK_SECONDS * FPS
     min_block_seconds: float = MIN_BLOCK_SECONDS
     min_overlap_frames: int = MIN_OVERLAP_SECONDS * FPS
-    segment_blocks: int = fm.SEGMENT_BLOCKS
+    k_max: int = K_MAX
 
 
 MASKS = ["set_piece", "transition", "drop3_home", "drop3_away", "eligible_home", "eligible_away", "full_window"]
@@ -87,7 +89,7 @@ def role_templates(masked: DataFrame, side: str, settings: Settings = Settings()
     placed = stored(joins.frames_in_intervals(rows, ends, keys, "_from", "_to", "rn").drop("_from", "_to"))
     by = [*keys, "start_row"]
     known = F.size(F.filter("players", lambda p: p["x"].isNotNull() & p["y"].isNotNull())) > 0
-    meta = bl.block_meta(placed, by, known=known, min_seconds=settings.min_block_seconds, fps=settings.fps)
+    meta = bl.block_meta(placed, by, has_player=known, min_seconds=settings.min_block_seconds, fps=settings.fps)
     roles = bl.role_templates(positions(placed).drop("side"), by)
     # Rows of one block are a squad.
     order = Window.partitionBy(*by).orderBy("player")
@@ -129,18 +131,17 @@ def ordered_roles(templates: DataFrame) -> DataFrame:
 def formation_predictions(
     ordered: DataFrame, settings: Settings = Settings(), fallback: DataFrame | None = None, lines: str = "gap"
 ) -> DataFrame:
-    """Formation of each block by clustering, naming and template matching within its match, side and phase."""
+    """Formation of each block by clustering, naming and template matching within its provider, side and phase."""
     role = F.struct("role_index", F.col("mu_x").alias("x"), F.col("mu_y").alias("y"))
     packed = ordered.groupBy(*BLOCK, *BLOCK_META).agg(F.array_sort(F.collect_list(role)).alias("_roles"))
     shapes = packed.withColumn("pts", canonical_outfield(F.col("_roles"))).where("pts IS NOT NULL").drop("_roles")
-    shapes = stored(fm.with_segment(shapes, GROUP[:-1], "block_id", settings.segment_blocks))
-    clusters = stored(fm.cluster_blocks(shapes, GROUP))
-    templates = fm.cluster_templates(shapes, clusters, GROUP)
+    shapes = stored(shapes)
+    clusters = stored(fm.cluster_blocks(shapes, GROUP, WITHIN, k_max=settings.k_max))
+    templates = fm.cluster_templates(shapes, clusters, GROUP, WITHIN)
     named = stored(fm.named_templates(templates, GROUP, "phase", lines))
-    matches = stored(fm.match_templates(shapes, named, GROUP, ["block_id"]))
+    matches = stored(fm.match_templates(shapes, named, GROUP, WITHIN))
     gates = fm.robust_gates(matches, GROUP)
-    predicted = fm.predict_formations(shapes.drop("pts"), matches, gates, GROUP, ["block_id"], clusters, fallback)
-    return predicted.drop("segment")
+    return fm.predict_formations(shapes.drop("pts"), matches, gates, GROUP, WITHIN, clusters, fallback)
 
 
 def block_pairs(templates: DataFrame, predictions: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "touchline", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """Session for tests and the local bench; a cluster brings its own session."""
+    """Session for tests and the local bench, with a folder of its own; a cluster brings its own session."""
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -19,6 +19,7 @@ def local_session(app: str = "touchline", cores: str = "*", shuffle_partitions:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="touchline-"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -26,27 +27,33 @@ def local_session(app: str = "touchline", cores: str = "*", shuffle_partitions:
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
+# Folders of the tables written by this driver, for ``drop_stored``.
+_WRITTEN: list[str] = []
 
-    Only a local session without that setting gets a folder of its own.
-    """
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``, else a folder in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="touchline-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
 
 
 def shared_table(df: DataFrame, kind: str = "parquet", **options: str) -> str:
     """Write ``df`` to a new folder in the shared folder and return its path."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.format(kind).options(**options).save(path)
     return path
 
 
+def drop_stored(spark: SparkSession) -> int:
+    """Delete all tables this driver has stored; call it when results that read them are written. Returns their number."""
+    jvm, conf, n = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), len(_WRITTEN)
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 

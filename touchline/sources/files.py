@@ -13,6 +13,18 @@ from touchline.functions.coords import flip, rescale
 FRAME_KEY = r"(?i)^(metrica|sportec)_(\d+)_(\d+)\.npz$"
 
 
+def _number(value: Column) -> Column:
+    """A double, NULL for NaN."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _without_nan(df: DataFrame) -> DataFrame:
+    """Floating-point columns with NULL for NaN."""
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats})
+
+
 def read_tracking_xml(
     spark: SparkSession, path: str, row_tag: str, schema: T.StructType, players: str, fields: dict[str, Column]
 ) -> DataFrame:
@@ -26,10 +38,10 @@ def read_tracking_xml(
     array = F.transform(
         players,
         lambda p: F.struct(
-            p["_side"].alias("side"), p["_player"].alias("player"), p["_x"].cast("double").alias("x"), p["_y"].cast("double").alias("y")
+            p["_side"].alias("side"), p["_player"].alias("player"), _number(p["_x"]).alias("x"), _number(p["_y"]).alias("y")
         ),
     )
-    return raw.select(*[c.alias(n) for n, c in fields.items()], array.alias("players"))
+    return _without_nan(raw.select(*[c.alias(n) for n, c in fields.items()], array.alias("players")))
 
 
 def read_events_xml(
@@ -37,7 +49,7 @@ def read_events_xml(
 ) -> DataFrame:
     """Events from XML files, turned to the tracking data's orientation."""
     raw = spark.read.format("xml").option("rowTag", row_tag).schema(schema).load(path)
-    events = raw.select(*[c.alias(n) for n, c in fields.items()])
+    events = _without_nan(raw.select(*[c.alias(n) for n, c in fields.items()]))
     return flip(events, ["coordinates_x", "coordinates_y", "end_coordinates_x", "end_coordinates_y"])
 
 
