@@ -166,10 +166,11 @@ TRANSITION_SQL = with_views("fx_alive", CHANGES_SQL + "SELECT match_id, period_i
 
 def phase_start_mask(spark, sf_dir):
     out = masks.mask_after_change(v.alive(spark, sf_dir), "phase_home", "drop3_home", PAD)
-    return out.select("match_id", "period_id", "frame", "drop3_home")
+    out = masks.mask_after_change(out, "phase_away", "drop3_away", PAD)
+    return out.select("match_id", "period_id", "frame", "drop3_home", "drop3_away")
 
 
-PHASE_START_SQL = with_views("fx_alive", CHANGES_SQL + "SELECT match_id, period_id, frame, drop3_home FROM f")
+PHASE_START_SQL = with_views("fx_alive", CHANGES_SQL + "SELECT match_id, period_id, frame, drop3_home, drop3_away FROM f")
 
 
 def eligibility(spark, sf_dir):
@@ -222,13 +223,14 @@ FROM q GROUP BY match_id, period_id""")
 
 
 def recovery_points(spark, sf_dir):
-    pts = masks.recovery_points(v.alive(spark, sf_dir), "home")
-    return pts.select("match_id", "period_id", "frame", r6("ball_x", "x"), r6("ball_y", "y"))
+    rows = stored(v.alive(spark, sf_dir))
+    home, away = (masks.recovery_points(rows, s).withColumn("side", F.lit(s)) for s in metrics.SIDES)
+    return home.unionByName(away).select("match_id", "period_id", "side", "frame", r6("ball_x", "x"), r6("ball_y", "y"))
 
 
 RECOVERY_POINTS_SQL = with_views("fx_alive", CHANGES_SQL + """
-SELECT match_id, period_id, frame, round(ball_x, 6) AS x, round(ball_y, 6) AS y FROM f
-WHERE changed AND team_possession = 'home' AND ball_x IS NOT NULL AND ball_y IS NOT NULL""")
+SELECT match_id, period_id, team_possession AS side, frame, round(ball_x, 6) AS x, round(ball_y, 6) AS y FROM f
+WHERE changed AND ball_x IS NOT NULL AND ball_y IS NOT NULL""")
 
 
 def xg_features(spark, sf_dir):

@@ -55,39 +55,42 @@ FROM fx_positions WINDOW w AS (PARTITION BY frame, side)""")
 
 
 def _numbered(spark, sf_dir):
-    """Player frames with their row number in the label, stored because several steps read them."""
-    return stored(number_rows(v.player_frames(spark, sf_dir), ["label"], "frame"))
+    """Player frames per side with their row number in the label, stored because several steps read them."""
+    return stored(v.by_side(number_rows(v.player_frames(spark, sf_dir), ["label"], "frame")))
+
+
+SIDE = ["label", "side"]
 
 
 def rolling_mean(spark, sf_dir):
-    out = blocks.rolling_means(v.home_points(_numbered(spark, sf_dir)), ["label"], WIN)
-    return out.select("label", "frame", "player", r6("mean_x", "mean_x"), r6("mean_y", "mean_y"))
+    out = blocks.rolling_means(v.side_points(_numbered(spark, sf_dir)), SIDE, WIN)
+    return out.select("label", "side", "frame", "player", r6("mean_x", "mean_x"), r6("mean_y", "mean_y"))
 
 
 _ROLLING = """
 WITH r AS (SELECT *, avg(x) OVER w AS mean_x, avg(y) OVER w AS mean_y FROM fx_numbered
-           WINDOW w AS (PARTITION BY label, player ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
+           WINDOW w AS (PARTITION BY label, side, player ORDER BY rn ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
 m AS (SELECT *, sqrt(pow(mean_x - lag(mean_x, 10) OVER w, 2) + pow(mean_y - lag(mean_y, 10) OVER w, 2)) AS move
-      FROM r WINDOW w AS (PARTITION BY label, player ORDER BY rn)),
-n AS (SELECT label, max(rn) AS n_rows FROM fx_numbered GROUP BY label),
-c AS (SELECT m.label, rn - 11 AS cut, max(move) AS shift FROM m JOIN n USING (label) WHERE n_rows >= 20 AND rn > 10
-      GROUP BY m.label, rn HAVING max(move) > 11)
+      FROM r WINDOW w AS (PARTITION BY label, side, player ORDER BY rn)),
+n AS (SELECT label, side, max(rn) AS n_rows FROM fx_numbered GROUP BY label, side),
+c AS (SELECT m.label, m.side, rn - 11 AS cut, max(move) AS shift FROM m JOIN n USING (label, side) WHERE n_rows >= 20 AND rn > 10
+      GROUP BY m.label, m.side, rn HAVING max(move) > 11)
 """
-ROLLING_SQL = with_views("fx_numbered", _ROLLING + "SELECT label, frame, player, round(mean_x, 6) + 0.0 AS mean_x, round(mean_y, 6) + 0.0 AS mean_y FROM r")
+ROLLING_SQL = with_views("fx_numbered", _ROLLING + "SELECT label, side, frame, player, round(mean_x, 6) + 0.0 AS mean_x, round(mean_y, 6) + 0.0 AS mean_y FROM r")
 
 
 def shift_cuts(spark, sf_dir):
-    out = blocks.shift_cuts(v.home_points(_numbered(spark, sf_dir)), ["label"], WIN, SHIFT)
-    return out.select("label", "cut", r6("shift", "shift"))
+    out = blocks.shift_cuts(v.side_points(_numbered(spark, sf_dir)), SIDE, WIN, SHIFT)
+    return out.select("label", "side", "cut", r6("shift", "shift"))
 
 
-SHIFT_SQL = with_views("fx_numbered", _ROLLING + "SELECT label, cut, round(shift, 6) AS shift FROM c")
+SHIFT_SQL = with_views("fx_numbered", _ROLLING + "SELECT label, side, cut, round(shift, 6) AS shift FROM c")
 
 
 def _blocks(numbered):
-    lengths = numbered.groupBy("label").agg(F.max("rn").alias("n_rows"))
-    cuts = stored(blocks.shift_cuts(v.home_points(numbered), ["label"], WIN, SHIFT))
-    return blocks.blocks_from_cuts(cuts, lengths, ["label"], TINY)
+    lengths = numbered.groupBy(*SIDE).agg(F.max("rn").alias("n_rows"))
+    cuts = stored(blocks.shift_cuts(v.side_points(numbered), SIDE, WIN, SHIFT))
+    return blocks.blocks_from_cuts(cuts, lengths, SIDE, TINY)
 
 
 def stable_blocks(spark, sf_dir):
@@ -95,42 +98,42 @@ def stable_blocks(spark, sf_dir):
 
 
 _BLOCKS = _ROLLING + """,
-z AS (SELECT label, 0 AS cut FROM n UNION SELECT label, cut FROM c),
-i AS (SELECT label, cut, coalesce(lead(cut) OVER (PARTITION BY label ORDER BY cut), n_rows) - cut AS len, n_rows FROM z JOIN n USING (label)),
+z AS (SELECT label, side, 0 AS cut FROM n UNION SELECT label, side, cut FROM c),
+i AS (SELECT label, side, cut, coalesce(lead(cut) OVER (PARTITION BY label, side ORDER BY cut), n_rows) - cut AS len, n_rows FROM z JOIN n USING (label, side)),
 s AS (SELECT * FROM i WHERE cut = 0 OR len >= 3),
-b AS (SELECT label, CAST(cut AS BIGINT) AS start_row, CAST(coalesce(lead(cut) OVER (PARTITION BY label ORDER BY cut), n_rows) - 1 AS BIGINT) AS end_row FROM s)
+b AS (SELECT label, side, CAST(cut AS BIGINT) AS start_row, CAST(coalesce(lead(cut) OVER (PARTITION BY label, side ORDER BY cut), n_rows) - 1 AS BIGINT) AS end_row FROM s)
 """
 BLOCKS_OF_CUTS_SQL = with_views("fx_numbered", _BLOCKS + "SELECT * FROM b")
 
 
 def block_meta(spark, sf_dir):
     f = _numbered(spark, sf_dir)
-    placed = blocks.assign_blocks(f, stored(_blocks(f)), ["label"])
-    home = F.size(shapes.on_side(F.col("players"), "home")) > 0
-    out = blocks.block_meta(placed, ["label", "start_row"], has_player=home, min_seconds=0.2)
+    placed = blocks.assign_blocks(f, stored(_blocks(f)), SIDE)
+    there = F.size(shapes.on_side(F.col("players"), F.col("side"))) > 0
+    out = blocks.block_meta(placed, [*SIDE, "start_row"], has_player=there, min_seconds=0.2)
     return out.withColumn("block_id", blocks.block_id("label", "block_start_frame")).withColumn("agg_seconds", r6("agg_seconds"))
 
 
 BLOCK_META_SQL = with_views("fx_numbered", _BLOCKS + """,
-f AS (SELECT DISTINCT b.label, start_row, frame FROM b JOIN fx_numbered p ON p.label = b.label AND rn - 1 BETWEEN start_row AND end_row)
-SELECT label, start_row, min(frame) AS block_start_frame, max(frame) AS block_end_frame, count(*) AS num_frames,
+f AS (SELECT DISTINCT b.label, b.side, start_row, frame FROM b JOIN fx_numbered p ON p.label = b.label AND p.side = b.side AND rn - 1 BETWEEN start_row AND end_row)
+SELECT label, side, start_row, min(frame) AS block_start_frame, max(frame) AS block_end_frame, count(*) AS num_frames,
        round(count(*) / 25.0, 6) AS agg_seconds, label * 10000000 + min(frame) AS block_id
-FROM f GROUP BY label, start_row HAVING count(*) / 25.0 >= 0.2""")
+FROM f GROUP BY label, side, start_row HAVING count(*) / 25.0 >= 0.2""")
 
 
 def role_templates(spark, sf_dir):
     f = _numbered(spark, sf_dir)
-    placed = blocks.assign_blocks(f, stored(_blocks(f)), ["label"])
-    placed = placed.withColumn("players", shapes.centred(F.filter("players", lambda p: p["side"] == "home")))
-    out = blocks.role_templates(layouts.positions(placed), ["label", "start_row"])
-    return out.select("label", "start_row", "player", "n_points", *[r6(c, c) for c in ("mu_x", "mu_y", "cov_xx", "cov_xy", "cov_yy")])
+    placed = blocks.assign_blocks(f, stored(_blocks(f)), SIDE)
+    placed = placed.withColumn("players", shapes.centred(F.col("players"))).select("label", "start_row", "players")
+    out = blocks.role_templates(layouts.positions(placed), [*SIDE, "start_row"])
+    return out.select("label", "side", "start_row", "player", "n_points", *[r6(c, c) for c in ("mu_x", "mu_y", "cov_xx", "cov_xy", "cov_yy")])
 
 
 ROLE_TEMPLATES_SQL = with_views("fx_numbered", _BLOCKS + """,
-g AS (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy FROM fx_numbered WINDOW w AS (PARTITION BY frame)),
-t AS (SELECT b.label, start_row, player, count(cx) AS n_points, avg(cx) AS mx, avg(cy) AS my, var_samp(cx) AS xx, covar_samp(cx, cy) AS xy, var_samp(cy) AS yy
-      FROM b JOIN g ON g.label = b.label AND rn - 1 BETWEEN start_row AND end_row GROUP BY ALL)
-SELECT label, start_row, player, n_points, round(coalesce(mx, 0), 6) + 0.0 AS mu_x, round(coalesce(my, 0), 6) + 0.0 AS mu_y,
+g AS (SELECT *, x - avg(x) OVER w AS cx, y - avg(y) OVER w AS cy FROM fx_numbered WINDOW w AS (PARTITION BY frame, side)),
+t AS (SELECT b.label, b.side, start_row, player, count(cx) AS n_points, avg(cx) AS mx, avg(cy) AS my, var_samp(cx) AS xx, covar_samp(cx, cy) AS xy, var_samp(cy) AS yy
+      FROM b JOIN g ON g.label = b.label AND g.side = b.side AND rn - 1 BETWEEN start_row AND end_row GROUP BY ALL)
+SELECT label, side, start_row, player, n_points, round(coalesce(mx, 0), 6) + 0.0 AS mu_x, round(coalesce(my, 0), 6) + 0.0 AS mu_y,
        round(CASE WHEN n_points > 1 THEN xx ELSE 0.000001 END, 6) AS cov_xx, round(CASE WHEN n_points > 1 THEN xy ELSE 0 END, 6) + 0.0 AS cov_xy,
        round(CASE WHEN n_points > 1 THEN yy ELSE 0.000001 END, 6) AS cov_yy
 FROM t""")

@@ -170,14 +170,14 @@ def slice_labels(spark, sf_dir):
     rows = pg.perspectives(_fvf(spark, sf_dir))
     best, overall = pg.best_counters(rows)
     ids = pg.form_ids(best, overall)
-    out = pg.slice_labels(rows, best.where("provider = 'sportec'"), overall.where("our_side = 'home'"), ids)
+    out = pg.slice_labels(rows, best, overall, ids)
     return out.groupBy(*CTX, "label_form", "label_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 SLICE_LABELS_SQL = with_views("fx_fvf", _BEST + f""",
 lb AS (SELECT p.provider, p.our_side, p.opponent_form, p.opponent_phase, coalesce(bp.best_form, bg.best_form, (SELECT min(form) FROM ids)) AS label_form
-FROM p LEFT JOIN bp ON bp.provider = 'sportec' AND bp.provider = p.provider AND bp.our_side = p.our_side AND bp.opponent_form = p.opponent_form AND bp.opponent_phase = p.opponent_phase
-LEFT JOIN bg ON bg.our_side = 'home' AND bg.our_side = p.our_side AND bg.opponent_form = p.opponent_form AND bg.opponent_phase = p.opponent_phase)
+FROM p LEFT JOIN bp ON bp.provider = p.provider AND bp.our_side = p.our_side AND bp.opponent_form = p.opponent_form AND bp.opponent_phase = p.opponent_phase
+LEFT JOIN bg ON bg.our_side = p.our_side AND bg.opponent_form = p.opponent_form AND bg.opponent_phase = p.opponent_phase)
 SELECT {CTX_SQL}, label_form, form_id AS label_id, count(*) AS n FROM lb JOIN ids ON form = label_form GROUP BY ALL""")
 
 
@@ -366,7 +366,7 @@ def _scores(f, ids):
 _SCORES = f"""
 sx AS (SELECT {CTX_SQL}, CAST(sum(pairs) AS BIGINT) AS n FROM p GROUP BY ALL),
 so AS (SELECT sx.*, form, form_id, CAST((n * (form_id + 3)) % 17 AS DOUBLE) / 10 AS score FROM sx CROSS JOIN ids),
-se AS (SELECT DISTINCT {CTX_SQL}, our_form AS form FROM p WHERE pairs >= 45 AND our_form IS NOT NULL),
+se AS (SELECT DISTINCT {CTX_SQL}, our_form AS form FROM p WHERE pairs > 0 AND our_form IS NOT NULL),
 sl AS (SELECT so.*, se.form IS NOT NULL AS seen, count(se.form) OVER w AS n_seen, row_number() OVER (PARTITION BY {", ".join("so." + c for c in CTX)} ORDER BY score DESC, form_id DESC) AS rk
        FROM so LEFT JOIN se ON {" AND ".join(f"so.{c} = se.{c}" for c in [*CTX, "form"])} WINDOW w AS (PARTITION BY {", ".join("so." + c for c in CTX)})),
 sf AS (SELECT *, seen OR n_seen = 0 AS own, NOT (seen OR n_seen = 0) AND rk <= 6 AS fill FROM sl),
@@ -376,15 +376,10 @@ cf AS (SELECT {CTX_SQL}, form, score, row_number() OVER (PARTITION BY {CTX_SQL}
 """
 
 
-def _dense(f):
-    """Match-ups seen often, so that some contexts need filling."""
-    return f.withColumn("pairs", F.when(F.col("pairs") >= 45, F.col("pairs")).otherwise(0))
-
-
 def candidate_forms(spark, sf_dir):
     f = _fvf(spark, sf_dir)
     ids = pg.form_ids(*pg.best_counters(pg.perspectives(f)))
-    return rc.candidate_forms(_dense(f), _contexts(f), ids, _scores(f, ids)).select(*CTX, "form", "position")
+    return rc.candidate_forms(f, _contexts(f), ids, _scores(f, ids)).select(*CTX, "form", "position")
 
 
 CANDIDATES_SQL = with_views("fx_fvf", _BEST + "," + _SCORES + f"SELECT {CTX_SQL}, form, CAST(position AS INTEGER) AS position FROM cf")
@@ -397,7 +392,7 @@ def _tags_frame(f):
 
 def matchup_prior(spark, sf_dir):
     f = _fvf(spark, sf_dir)
-    candidates = pg.perspectives(f).select(*CTX, F.col("our_form").alias("form")).where("form <> '3-5-2'")
+    candidates = pg.perspectives(f).select(*CTX, F.col("our_form").alias("form")).where("form IS NOT NULL")
     out = rc.matchup_prior(f, candidates, _tags_frame(f))
     return out.select(*CTX, "strategy", "form", r6("pairs_w", "pairs_w"), r6("composite", "composite"), r6("prior", "prior"))
 
@@ -425,7 +420,7 @@ zp AS (SELECT *, CASE WHEN sum(damped) OVER w <= 1e-12 THEN 1.0 / count(*) OVER
 """
 
 
-MATCHUP_SQL = with_views("fx_fvf", "WITH " + P_SQL + _matchup_sql("form <> '3-5-2'") + f"""
+MATCHUP_SQL = with_views("fx_fvf", "WITH " + P_SQL + _matchup_sql("form IS NOT NULL") + f"""
 SELECT {CTX_SQL}, strategy, form, round(pairs_w, 6) AS pairs_w, round(composite, 6) AS composite, round(prior, 6) AS prior FROM zp""")
 
 
@@ -468,8 +463,8 @@ SELECT {CTX_SQL}, form, CAST(row_number() OVER (PARTITION BY {CTX_SQL} ORDER BY
 def recommend(spark, sf_dir):
     f = _fvf(spark, sf_dir)
     ids = pg.form_ids(*pg.best_counters(pg.perspectives(f)))
-    counters = kg.counters_edges(f).where("opponent <> '4-4-2'")
-    out = rc.recommend(_dense(f), _contexts(f), ids, counters, _scores(f, ids))
+    counters = kg.counters_edges(f)
+    out = rc.recommend(f, _contexts(f), ids, counters, _scores(f, ids))
     topk = F.array_join(F.transform("topk", lambda t: F.concat_ws(":", t["formation"], F.format_number(t["score"], 4))), ",")
     return out.select(*CTX, "strategy", "recommended_formation", r6("confidence", "confidence"), topk.alias("topk"), F.array_join("style_tags", ",").alias("style_tags"), "suggestion_text")
 
@@ -484,9 +479,9 @@ rt AS (SELECT *, list_sort(list_filter([
   CASE WHEN depth >= 40 THEN 'vertical_stretch' END, CASE WHEN possession_pct <= 44 THEN 'counter_attacking' END,
   CASE WHEN possession_pct >= 56 THEN 'possession_play' END, CASE WHEN xt >= 0.25 THEN 'halfspace_threat' END], lambda x: x IS NOT NULL)) AS tags FROM rm)
 """.format(c=CTX_SQL, m=", ".join(f"avg(opp_{m}) AS {m}" for m in rc.STYLE_METRICS))
-RECOMMEND_SQL = with_views("fx_fvf", _FUSE_HEAD.replace("FROM p WHERE our_form IS NOT NULL GROUP BY ALL)", "FROM p WHERE our_form IS NOT NULL AND opponent_form <> '4-4-2' GROUP BY ALL)", 1)
+RECOMMEND_SQL = with_views("fx_fvf", _FUSE_HEAD
     + "," + _RECO_TAGS.rstrip()
-    + _matchup_sql(f"({CTX_SQL}, form) IN (SELECT ({CTX_SQL}, form) FROM cf)").replace("avg(pairs) AS pairs", "avg(CASE WHEN pairs >= 45 THEN pairs ELSE 0 END) AS pairs") + f""",
+    + _matchup_sql(f"({CTX_SQL}, form) IN (SELECT ({CTX_SQL}, form) FROM cf)") + f""",
 ex AS (SELECT {CTX_SQL}, form, exp(score - max(score) OVER w) AS e FROM cf WINDOW w AS (PARTITION BY {CTX_SQL})),
 pb AS (SELECT {CTX_SQL}, form, e / sum(e) OVER (PARTITION BY {CTX_SQL}) AS prob FROM ex),
 kc AS (SELECT kp.provider, kp.our_side, kp.opponent_form, kp.opponent_phase, form, support FROM kp JOIN cf ON {" AND ".join(f"kp.{c} = cf.{c}" for c in CTX)} AND form = candidate),

@@ -15,13 +15,15 @@ from touchline.sources import layouts
 PAIR_KEYS = ["provider", "match_id", "period_id"]
 # Fixed value: tolerance of the event synchronisation on the given events, which are minutes apart.
 SYNC_SECONDS = 240.0
+# Fixed value: shared frames of a pair on the given tables, whose blocks are a few frames long.
+MIN_OVERLAP = 5
 
 
 def asof_sync(spark, sf_dir):
     f = v.frames(spark, sf_dir)
     ticks = f.select("match_id", "ts", "frame")
     happenings = f.where("original_event IS NOT NULL").select("match_id", "event_id", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"))
-    out = joins.nearest_in_time(ticks, happenings, ["match_id"], SYNC_SECONDS, span_seconds=86_400.0)
+    out = joins.nearest_in_time(ticks, happenings, ["match_id"], SYNC_SECONDS)
     return out.select("match_id", "event_id", F.col("frame").cast("string"), F.col("offset_us").cast("string"))
 
 
@@ -107,24 +109,20 @@ FROM (SELECT *, row_number() OVER (PARTITION BY match_id, player_id ORDER BY eve
 def block_windows(spark, sf_dir):
     b = v.blocks(spark, sf_dir)
     roles = b.withColumn("role_index", F.explode(F.sequence(F.lit(1), F.lit(2))))
-    keys = ["provider", "match_id", "side", "phase", "period_id"]
-    return roles.groupBy(*keys).agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.countDistinct("block_id").alias("n_blocks"))
+    roles = roles.withColumns({"block_start_frame": F.col("start_frame") + F.col("role_index"), "block_end_frame": F.col("end_frame") - F.col("role_index")})
+    return joins.block_windows(roles, ["provider", "match_id", "side", "phase", "period_id", "block_id"])
 
 
 BLOCK_WINDOWS_SQL = with_views("fx_blocks", """
-SELECT provider, match_id, side, phase, period_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame,
-       count(DISTINCT block_id) AS n_blocks
-FROM fx_blocks GROUP BY ALL""")
+SELECT provider, match_id, side, phase, period_id, block_id, start_frame + 1 AS start_frame, end_frame - 1 AS end_frame FROM fx_blocks""")
 
 
-def _pairs(spark, sf_dir, tracked=None):
+def _pairs(spark, sf_dir):
     b = v.blocks(spark, sf_dir)
-    if tracked is not None:
-        b = b.join(tracked, PAIR_KEYS, "left_semi")
     keys = ["provider", "match_id", "side", "phase", "period_id", "block_id"]
     forms = b.where("predicted_formation IS NOT NULL").select(*keys, "predicted_formation")
     named = joins.block_forms(b.drop("predicted_formation"), forms, keys)
-    return joins.interval_pairs(named.where("side = 'home'").drop("side"), named.where("side = 'away'").drop("side"), PAIR_KEYS)
+    return joins.interval_pairs(named.where("side = 'home'").drop("side"), named.where("side = 'away'").drop("side"), PAIR_KEYS, MIN_OVERLAP, 32)
 
 
 PAIRS_SQL = """
@@ -134,7 +132,7 @@ SELECT h.provider, h.match_id, h.period_id, h.block_id AS home_block_id, a.block
        greatest(h.start_frame, a.start_frame) AS pair_start, least(h.end_frame, a.end_frame) AS pair_end
 FROM fx_blocks h JOIN fx_blocks a ON h.provider = a.provider AND h.match_id = a.match_id AND h.period_id = a.period_id
 WHERE h.side = 'home' AND a.side = 'away' AND h.start_frame <= a.end_frame AND a.start_frame <= h.end_frame
-  AND least(h.end_frame, a.end_frame) - greatest(h.start_frame, a.start_frame) + 1 >= 250)
+  AND least(h.end_frame, a.end_frame) - greatest(h.start_frame, a.start_frame) + 1 >= 5)
 """
 
 
@@ -153,9 +151,8 @@ INTERVAL_PAIRS_SQL = with_views("fx_blocks", PAIRS_SQL + "SELECT * FROM pairs")
 
 
 def frames_in_pairs(spark, sf_dir):
-    f = stored(v.alive(spark, sf_dir).select(*PAIR_KEYS, "frame", "original_event"))
-    pairs = _pair_columns(_pairs(spark, sf_dir, stored(f.select(*PAIR_KEYS).distinct()))).drop("provider")
-    f = f.drop("provider")
+    f = v.alive(spark, sf_dir).select("match_id", "period_id", "frame", "original_event")
+    pairs = stored(_pair_columns(_pairs(spark, sf_dir))).drop("provider")
     rows = joins.frames_in_intervals(f, pairs, ["match_id", "period_id"])
     return rows.groupBy("match_id", "period_id", "home_block_id", "away_block_id").agg(
         F.count(F.lit(1)).alias("n_frames"), F.count("original_event").alias("n_events"), F.min("frame").alias("first_frame"), F.max("frame").alias("last_frame")
@@ -184,9 +181,8 @@ WHERE n >= 13 OR frame BETWEEN start_frame AND end_frame""")
 
 
 def _pair_metrics(spark, sf_dir):
-    facts = stored(metrics.frame_facts(stored(v.alive(spark, sf_dir)), XG, CFG).drop("phase_home", "phase_away"))
-    tracked = stored(facts.select(*PAIR_KEYS).distinct())
-    pairs = stored(_pair_columns(_pairs(spark, sf_dir, tracked)))
+    facts = stored(metrics.frame_facts(v.alive(spark, sf_dir), XG, CFG).drop("phase_home", "phase_away"))
+    pairs = stored(_pair_columns(_pairs(spark, sf_dir)))
     by = [*PAIR_KEYS, "home_block_id", "away_block_id", "pair_start"]
     measured = metrics.interval_metrics(facts, pairs, PAIR_KEYS, by)
     return measured.join(pairs.drop("pair_end"), by)

@@ -177,15 +177,16 @@ FROM fx_passes WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68 GROUP BY ALL""")
 
 
 def press_heatmap(spark, sf_dir):
-    pts = masks.recovery_points(v.alive(spark, sf_dir), "home").select("match_id", F.col("ball_x").alias("x"), F.col("ball_y").alias("y"))
-    scaled = coords.auto_scale(stored(pts), ["match_id"], {"x": 105.0, "y": 68.0})
-    return panels.density(scaled, ["match_id"])
+    rows = stored(v.alive(spark, sf_dir))
+    point = lambda s: masks.recovery_points(rows, s).select("match_id", F.lit(s).alias("side"), F.col("ball_x").alias("x"), F.col("ball_y").alias("y"))
+    scaled = coords.auto_scale(stored(point("home").unionByName(point("away"))), ["match_id", "side"], {"x": 105.0, "y": 68.0})
+    return panels.density(scaled, ["match_id", "side"])
 
 
 PRESS_SQL = with_views("fx_alive", """
 WITH c AS (SELECT match_id, ball_x AS x, ball_y AS y, team_possession, lag(team_possession) OVER (PARTITION BY match_id, period_id ORDER BY rn) AS prev FROM fx_alive),
-fp AS (SELECT match_id, x, y FROM c WHERE team_possession = 'home' AND prev <> 'home' AND x IS NOT NULL AND y IS NOT NULL),""" + _scale_sql("fp", ("x", "y"), "match_id") + """
-SELECT match_id, CAST(least(floor(x / (105.0::DOUBLE / 30)), 29) AS INTEGER) AS bin_x, CAST(least(floor(y / (68.0::DOUBLE / 20)), 19) AS INTEGER) AS bin_y, count(*) AS n
+fp AS (SELECT match_id, team_possession AS side, x, y FROM c WHERE team_possession <> prev AND x IS NOT NULL AND y IS NOT NULL),""" + _scale_sql("fp", ("x", "y"), "match_id, side") + """
+SELECT match_id, side, CAST(least(floor(x / (105.0::DOUBLE / 30)), 29) AS INTEGER) AS bin_x, CAST(least(floor(y / (68.0::DOUBLE / 20)), 19) AS INTEGER) AS bin_y, count(*) AS n
 FROM scaled WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68 GROUP BY ALL""")
 
 

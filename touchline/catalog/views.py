@@ -9,6 +9,11 @@ from touchline.operators.sequences import number_rows
 from touchline.sources.files import alive_frames
 
 
+# Frames and blocks of one match: more data means more matches, not longer ones.
+MATCH_FRAMES = 600
+MATCH_BLOCKS = 900
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -18,8 +23,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     e = e.withColumn("k", k).withColumn("provider", F.lit("sportec"))
-    e = e.withColumn("match_id", F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string")))
-    e = e.withColumn("period_id", F.when(F.col("ts") < F.expr("TIMESTAMP_NTZ '2024-01-16 00:00:00'"), 1).otherwise(2).cast("long"))
+    e = e.withColumn("match_id", F.concat(F.lit("m"), F.floor(F.col("event_id") / MATCH_FRAMES).cast("string")))
+    e = e.withColumn("period_id", 1 + F.floor(F.col("event_id") / (MATCH_FRAMES // 2)).cast("long") % 2)
     e = number_rows(e, ["match_id", "period_id"], "event_id", "frame")
     kind, half = F.col("event_type"), F.col("k")
     original = (
@@ -30,7 +35,9 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when((kind == "error") & (half < 40), "SuccessfulShot")
         .when((kind == "signup") & (half < 20), "ThrowIn")
     )
-    turn = F.floor(F.col("event_id") / 60.0).cast("long") % 5
+    # long spells of possession in even matches, short ones in odd matches
+    spell = F.when(F.floor(F.col("event_id") / MATCH_FRAMES) % 2 == 0, 60.0).otherwise(3.0)
+    turn = F.floor(F.col("event_id") / spell).cast("long") % 5
     own = F.floor(F.col("event_id") / 150.0).cast("long") % 4
     other = F.floor(F.col("event_id") / 110.0).cast("long") % 3
     return e.select(
@@ -48,13 +55,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES_SQL = """
-SELECT 'sportec' AS provider, concat('m', CAST(user_id % 3 AS VARCHAR)) AS match_id,
-       CAST(CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END AS BIGINT) AS period_id,
-       CAST(row_number() OVER (PARTITION BY user_id % 3, CASE WHEN ts < TIMESTAMP '2024-01-16 00:00:00' THEN 1 ELSE 2 END
-                               ORDER BY ts, event_id) AS BIGINT) AS frame,
+SELECT 'sportec' AS provider, concat('m', CAST(event_id // 600 AS VARCHAR)) AS match_id,
+       1 + CAST(event_id // 300 AS BIGINT) % 2 AS period_id,
+       CAST(row_number() OVER (PARTITION BY event_id // 600, event_id // 300 ORDER BY ts, event_id) AS BIGINT) AS frame,
        ts, event_id,
        CASE WHEN k % 10 = 0 THEN 'dead' ELSE 'alive' END AS ball_status,
-       CASE CAST(FLOOR(event_id / 60.0) AS BIGINT) % 5 WHEN 0 THEN 'home' WHEN 1 THEN 'away' WHEN 2 THEN 'home'
+       CASE CAST(FLOOR(event_id / CASE WHEN (event_id // 600) % 2 = 0 THEN 60.0 ELSE 3.0 END) AS BIGINT) % 5 WHEN 0 THEN 'home' WHEN 1 THEN 'away' WHEN 2 THEN 'home'
             WHEN 3 THEN NULL ELSE 'away' END AS team_possession,
        CASE WHEN event_type = 'purchase' THEN 'Pass'
             WHEN event_type = 'click' AND k < 50 THEN 'Cross'
@@ -171,16 +177,16 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("build-up")
     )
     form = F.col("o_custkey") % 5
-    start = (F.col("o_orderkey") * 7919) % 60000
+    start = (F.col("o_orderkey") * 7919) % (MATCH_FRAMES // 2)
     return o.select(
         F.lit("sportec").alias("provider"),
-        F.concat(F.lit("m"), (F.col("o_custkey") % 40).cast("string")).alias("match_id"),
+        F.concat(F.lit("m"), F.floor(F.col("o_orderkey") / MATCH_BLOCKS).cast("string")).alias("match_id"),
         F.when(F.col("o_orderkey") % 2 == 0, "home").otherwise("away").alias("side"),
         phase.alias("phase"),
         (1 + F.floor(F.col("o_orderkey") / 2.0).cast("long") % 2).alias("period_id"),
         F.col("o_orderkey").alias("block_id"),
         start.alias("start_frame"),
-        (start + 200 + F.floor(F.col("o_totalprice") / 200.0).cast("long")).alias("end_frame"),
+        (start + 5 + F.floor(F.col("o_totalprice") / 100000.0).cast("long")).alias("end_frame"),
         F.when(form == 0, "4-4-2").when(form == 1, "4-3-3").when(form == 2, "4-2-3-1").when(form == 3, "3-5-2").alias(
             "predicted_formation"
         ),
@@ -188,14 +194,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLOCKS_SQL = """
-SELECT 'sportec' AS provider, concat('m', CAST(o_custkey % 40 AS VARCHAR)) AS match_id,
+SELECT 'sportec' AS provider, concat('m', CAST(o_orderkey // 900 AS VARCHAR)) AS match_id,
        CASE WHEN o_orderkey % 2 = 0 THEN 'home' ELSE 'away' END AS side,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'attacking-play' WHEN '2-HIGH' THEN 'high-block'
             WHEN '3-MEDIUM' THEN 'mid-block' WHEN '4-NOT SPECIFIED' THEN 'low-block' ELSE 'build-up' END AS phase,
        1 + CAST(FLOOR(o_orderkey / 2.0) AS BIGINT) % 2 AS period_id,
        o_orderkey AS block_id,
-       (o_orderkey * 7919) % 60000 AS start_frame,
-       (o_orderkey * 7919) % 60000 + 200 + CAST(FLOOR(o_totalprice / 200.0) AS BIGINT) AS end_frame,
+       (o_orderkey * 7919) % 300 AS start_frame,
+       (o_orderkey * 7919) % 300 + 5 + CAST(FLOOR(o_totalprice / 100000.0) AS BIGINT) AS end_frame,
        CASE o_custkey % 5 WHEN 0 THEN '4-4-2' WHEN 1 THEN '4-3-3' WHEN 2 THEN '4-2-3-1' WHEN 3 THEN '3-5-2' ELSE NULL END
          AS predicted_formation
 FROM orders
@@ -333,14 +339,20 @@ SQL_VIEWS["fx_held"] = HELD_SQL
 NEEDS["fx_held"] = ["fx_ball"]
 
 
-def home_points(numbered: DataFrame) -> DataFrame:
-    """Home players of numbered player frames, one row per frame and player."""
-    return numbered.select("label", "frame", "rn", F.inline("players")).where("side = 'home'").drop("side")
+def by_side(numbered: DataFrame) -> DataFrame:
+    """Numbered player frames, one row per side with its own players."""
+    sides = numbered.withColumn("side", F.explode(F.array(F.lit("home"), F.lit("away"))))
+    return sides.withColumn("players", F.filter("players", lambda p: p["side"] == F.col("side")))
+
+
+def side_points(sides: DataFrame) -> DataFrame:
+    """One row per frame, side and player."""
+    return sides.select("label", "side", "frame", "rn", F.explode("players").alias("_p")).select("label", "side", "frame", "rn", "_p.player", "_p.x", "_p.y")
 
 
 NUMBERED_SQL = """
-SELECT label, frame, player, x, y, CAST(row_number() OVER (PARTITION BY label, player ORDER BY frame) AS BIGINT) AS rn
-FROM fx_positions WHERE side = 'home'
+SELECT label, side, frame, player, x, y, CAST(row_number() OVER (PARTITION BY label, side, player ORDER BY frame) AS BIGINT) AS rn
+FROM fx_positions
 """
 SQL_VIEWS["fx_numbered"] = NUMBERED_SQL
 NEEDS["fx_numbered"] = ["fx_positions"]

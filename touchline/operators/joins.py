@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from touchline.config import FPS, MIN_OVERLAP_SECONDS, WINDOW_FRAMES
 from touchline.functions.events import clean_number_id, leading_digits
 from touchline.operators.masks import first_per_key
+from touchline.session import stored
 
-NULL_SALTS = 64
 BUCKET_FRAMES = 3_000
 FRAME_BUCKET = 512
 
@@ -74,21 +74,18 @@ def merge_frames_events(
 ) -> DataFrame:
     """Frames with the columns of their event: alive events, the first one per cleaned id, left join.
 
-    Most frames carry no event id. Their NULL keys would all meet in one task, so they are spread over a salt that
-    only rows without a key use. Columns present on both sides get the suffix ``_event`` on the event side.
+    Most frames carry no event id. They meet no event, so they pass by the join without a shuffle. Columns present on both sides get the suffix ``_event`` on the event side.
     """
     e = events.where("ball_state = 'alive'") if "ball_state" in events.columns else events
     e = e.withColumn("_id", leading_digits(event_id)).where("_id IS NOT NULL")
     e = first_per_key(e, [run, "_id"], order or [event_id])
     kept = [c for c in keep if c in e.columns]
     renamed = [F.col(c).alias(f"{c}_event" if c in frames.columns else c) for c in kept]
-    e = e.select(F.col(run).alias("_run"), F.col("_id").alias("_event"), F.lit(0).alias("_s"), *renamed)
+    e = e.select(F.col(run).alias("_run"), F.col("_id").alias("_event"), *renamed)
     f = frames.withColumn("_clean", clean_number_id(frame_event_id))
-    f = f.withColumn("_salt", F.when(F.col("_clean").isNull(), F.pmod(F.hash(*frames.columns), F.lit(NULL_SALTS))).otherwise(0))
-    joined = f.join(
-        e, (f[run] == e["_run"]) & (f["_clean"] == e["_event"]) & (f["_salt"] == e["_s"]), "left"
-    )
-    return joined.drop("_clean", "_salt", "_run", "_event", "_s")
+    met = f.where("_clean IS NOT NULL").join(e, (F.col(run) == F.col("_run")) & (F.col("_clean") == F.col("_event")), "left")
+    without = f.where("_clean IS NULL").drop("_clean")
+    return met.drop("_clean", "_run", "_event").unionByName(without, allowMissingColumns=True)
 
 
 def update_from_stage(target: DataFrame, stage: DataFrame, keys: list[str]) -> DataFrame:
@@ -102,6 +99,11 @@ def update_from_stage(target: DataFrame, stage: DataFrame, keys: list[str]) -> D
     return joined.withColumns(out).select(*order)
 
 
+def block_windows(templates: DataFrame, block: list[str]) -> DataFrame:
+    """First and last frame of each block from its template rows, one per role."""
+    return templates.groupBy(*block).agg(F.min("block_start_frame").alias("start_frame"), F.max("block_end_frame").alias("end_frame"))
+
+
 def block_forms(windows: DataFrame, forms: DataFrame, keys: list[str]) -> DataFrame:
     """Block windows with their predicted formation, NULL where none was predicted."""
     return windows.join(forms.select(*keys, "predicted_formation"), keys, "left")
@@ -178,7 +180,7 @@ def block_center_frames(
     block_cols = blocks.columns
     b = blocks.withColumn("_centre", centre)
     listed = b.withColumn(frame, F.explode(F.sequence(F.greatest(F.col("_centre") - half, F.lit(0)), F.col("_centre") + half)))
-    found = listed.hint("merge").join(frames, [*keys, frame])
+    found = stored(listed).join(frames, [*keys, frame])
     w = Window.partitionBy(*block_cols)
     counted = found.withColumn("_found", F.count(F.lit(1)).over(w))
     inside = F.col(frame).between(F.col(start), F.col(end))

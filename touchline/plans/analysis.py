@@ -146,10 +146,7 @@ def formation_predictions(
 
 def block_pairs(templates: DataFrame, predictions: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Overlapping home and away blocks with their formations and shared frames."""
-    windows = templates.groupBy(*BLOCK).agg(
-        F.min("block_start_frame").alias("start_frame"), F.max("block_end_frame").alias("end_frame")
-    )
-    named = joins.block_forms(windows, predictions, BLOCK)
+    named = joins.block_forms(joins.block_windows(templates, BLOCK), predictions, BLOCK)
     side = lambda s: named.where(F.col("side") == s).drop("side")
     pairs = joins.interval_pairs(side("home"), side("away"), SEQUENCE, settings.min_overlap_frames)
     return pairs.select(
