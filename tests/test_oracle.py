@@ -24,8 +24,8 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n, (_, sql) in REGISTRY.items() if sql is None} == {"analysis_matchups", "analysis_pairs", "analysis_templates", "named_templates", "phase_classifier", "strength_ml", "xg_fit"}
+    assert {n for n, (_, sql) in REGISTRY.items() if sql is None} == {"analysis_matchups", "analysis_pairs", "analysis_templates", "phase_classifier", "strength_ml", "xg_fit"}
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() == 6
+    assert entry.entry(spark).count() == 4

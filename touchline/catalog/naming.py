@@ -175,6 +175,25 @@ def named_templates(spark, sf_dir):
     return named.select("side", "formation", "members", F.inline("roles")).select("side", "formation", "members", "role", *[r4(c, c) for c in ("x", "y", "xx", "xy", "yy")])
 
 
+_FORMS = ", ".join(f"({i}, '{f}')" for i, f in enumerate(("4-2-3-1", "4-4-2", "4-1-4-1", "4-3-2-1", "5-3-2", "5-2-3")))
+NAMED_SQL = _recursive("fx_roles", _LABEL_COSTS + _TEMPLATES + """,
+tg AS (SELECT *, mu_y - lag(mu_y) OVER o AS gap, row_number() OVER o AS pos FROM ct WINDOW o AS (PARTITION BY side, label ORDER BY mu_y)),
+tk AS (SELECT tg.*, k, row_number() OVER (PARTITION BY side, label, k ORDER BY gap DESC NULLS LAST, pos) < k AND gap IS NOT NULL AS cut FROM tg, (VALUES (3), (4), (5)) t(k)),
+tl AS (SELECT *, sum(CAST(cut AS INT)) OVER (PARTITION BY side, label, k ORDER BY pos) AS line FROM tk),
+tn AS (SELECT side, label, k, line, count(*) AS n FROM tl GROUP BY ALL),
+tr AS (SELECT side, label, k, list(n ORDER BY line) AS counts, round(var_pop(n), 9) AS v FROM tn GROUP BY side, label, k),
+tb AS (SELECT side, label, arg_min(counts, (v, k)) AS counts FROM tr GROUP BY side, label),
+fm(pos, form) AS (VALUES """ + _FORMS + """),
+td AS (SELECT tb.*, form, pos, CAST(string_split(form, '-') AS INT[]) AS f FROM tb, fm),
+ts AS (SELECT *, 2 * abs(len(counts) - len(f)) + list_sum(list_transform(range(1, least(len(counts), len(f)) + 1), lambda k: abs(counts[k] - f[k]))) AS dist FROM td),
+tf AS (SELECT side, label, arg_min(form, (dist, pos)) AS formation FROM ts GROUP BY side, label),
+tm AS (SELECT side, label, max(n_members) AS members FROM ct GROUP BY side, label),
+me AS (SELECT side, formation, role, avg(mu_x) AS x, avg(mu_y) AS y, avg(cov_xx) + 0.000001 AS xx, avg(cov_xy) AS xy, avg(cov_yy) + 0.000001 AS yy, sum(members) AS members
+       FROM ct JOIN tf USING (side, label) JOIN tm USING (side, label) GROUP BY side, formation, role)
+SELECT side, formation, CAST(members AS BIGINT) AS members, CAST(role AS INTEGER) AS role, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(xx, 4) AS xx,
+       round(xy, 4) + 0.0 AS xy, round(yy, 4) AS yy FROM me""")
+
+
 def _templates(blocks):
     """Mean shape of each label as the templates of a side."""
     long = blocks.select("side", "label", F.posexplode("pts").alias("role", "p"))
@@ -255,7 +274,7 @@ QUERIES = {
     "medoid": (medoid, MEDOID_SQL),
     "cluster_templates": (cluster_templates, CLUSTER_TEMPLATES_SQL),
     "block_clusters": (block_clusters, BLOCK_CLUSTERS_SQL),
-    "named_templates": (named_templates, None),
+    "named_templates": (named_templates, NAMED_SQL),
     "template_match": (template_match, TEMPLATE_MATCH_SQL),
     "robust_gates": (robust_gates, ROBUST_GATES_SQL),
     "formation_predict": (formation_predict, FORMATION_PREDICT_SQL),

@@ -37,10 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has used yet; ``drop_stored`` deletes what is written there."""
+    _WRITTEN.append(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def shared_table(df: DataFrame, kind: str = "parquet", **options: str) -> str:
     """Write ``df`` to a new folder in the shared folder and return its path."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    path = new_path(df.sparkSession)
     df.write.format(kind).options(**options).save(path)
     return path
 
