@@ -366,7 +366,7 @@ def _scores(f, ids):
 _SCORES = f"""
 sx AS (SELECT {CTX_SQL}, CAST(sum(pairs) AS BIGINT) AS n FROM p GROUP BY ALL),
 so AS (SELECT sx.*, form, form_id, CAST((n * (form_id + 3)) % 17 AS DOUBLE) / 10 AS score FROM sx CROSS JOIN ids),
-se AS (SELECT DISTINCT {CTX_SQL}, our_form AS form FROM p WHERE pairs > 0 AND our_form IS NOT NULL),
+se AS (SELECT DISTINCT {CTX_SQL}, our_form AS form FROM p WHERE pairs >= 5 AND our_form IS NOT NULL),
 sl AS (SELECT so.*, se.form IS NOT NULL AS seen, count(se.form) OVER w AS n_seen, row_number() OVER (PARTITION BY {", ".join("so." + c for c in CTX)} ORDER BY score DESC, form_id DESC) AS rk
        FROM so LEFT JOIN se ON {" AND ".join(f"so.{c} = se.{c}" for c in [*CTX, "form"])} WINDOW w AS (PARTITION BY {", ".join("so." + c for c in CTX)})),
 sf AS (SELECT *, seen OR n_seen = 0 AS own, NOT (seen OR n_seen = 0) AND rk <= 6 AS fill FROM sl),
