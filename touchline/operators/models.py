@@ -35,7 +35,7 @@ def fit_xg(shots: DataFrame, goal: str = "is_goal") -> PipelineModel:
     data = shot_features(shots).select("distance", "angle", F.col(goal).cast("double").alias("label"))
     n = data.count()
     features = VectorAssembler(inputCols=["distance", "angle"], outputCol="features")
-    model = LogisticRegression(regParam=1.0 / max(n, 1), standardization=False, maxIter=200, tol=1e-9)
+    model = LogisticRegression(regParam=1.0 / max(n, 1), standardization=False, maxIter=500, tol=1e-13)
     return Pipeline(stages=[features, model]).fit(data)
 
 
