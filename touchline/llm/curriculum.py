@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from touchline.llm.common import table
 from touchline.session import stored
 
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 WEIGHTS = (5, 2, 1)
 CAP = 3
 # Weight multipliers at the begin and the end of training by the source's place in the weight cycle: heavy sources fade,
