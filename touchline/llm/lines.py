@@ -53,7 +53,8 @@ def dropped_lines(lines: DataFrame, min_documents: int, keep: str) -> DataFrame:
 
     ``keep="none"``: keys found in ``min_documents`` documents lose all lines. ``keep="first"``: they keep the first.
     """
-    common = occurrences(lines).where(F.col("documents") >= min_documents)
+    # stored: if small, lines stay where they are; if not, both sides are shuffled and a hot hash can be split
+    common = stored(occurrences(lines).where(F.col("documents") >= min_documents))
     if keep == "none":
         return lines.join(common, ["h1", "h2"], "left_semi").select(*IDENTITY, "pos")
     met = lines.join(common, ["h1", "h2"])
