@@ -250,8 +250,17 @@ def project_formation(spark, sf_dir):
     return formations.project_to_allowed(p, "counts", "phase").select("frame", "side", "phase", F.array_join(F.transform("counts", lambda n: n.cast("string")), "-").alias("raw"), "formation")
 
 
+# Written out, so that a slip in the library's lists shows.
 _ALLOWED = ", ".join(
-    f"('{ph}', {i}, '{f}')" for ph, forms in formations.ALLOWED_FORMATIONS.items() for i, f in enumerate(forms)
+    f"('{phase}', {i}, '{form}')"
+    for phase, forms in (
+        ("build-up", "2-4-3-1 2-4-4 2-1-4-3 3-4-3 3-1-4-2 3-5-2 3-4-2-1 4-3-3 4-2-3-1 4-4-2"),
+        ("mid-block", "4-2-3-1 4-4-2 4-1-4-1 4-3-2-1 5-3-2 5-2-3"),
+        ("high-block", "4-4-2 4-2-3-1 4-3-3"),
+        ("low-block", "5-4-1 5-3-2 4-5-1 4-4-2"),
+        ("attacking-play", "2-4-4 2-3-2-3 3-4-3 3-2-4-1 4-2-3-1 4-3-3"),
+    )
+    for i, form in enumerate(forms.split())
 )
 PROJECT_SQL = with_views("fx_roles", """
 WITH t AS (SELECT *, y - lag(y) OVER (PARTITION BY frame, side ORDER BY y) AS gap, row_number() OVER (PARTITION BY frame, side ORDER BY y) AS pos FROM fx_roles WHERE i <= 10),

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from touchline.catalog import views as v
 from touchline.catalog.frames import r6
 from touchline.catalog.views import with_views
-from touchline.config import STRATEGY_WEIGHTS
 from touchline.operators import knowledge as kg
 from touchline.operators import metrics, panels
 from touchline.operators import passgraph as pg
@@ -400,9 +399,7 @@ def matchup_prior(spark, sf_dir):
 def _matchup_sql(where: str) -> str:
     cols = ["pairs", "xt", "ppda", "ppda_press", "press_rate", "avg_press", "width", "depth"]
     z = lambda c: f"greatest(0, least(1, (m.{c} - lo_{c}) / (CASE WHEN hi_{c} = lo_{c} THEN 1 ELSE hi_{c} - lo_{c} END)))"
-    weights = "(VALUES " + ", ".join(
-        f"('{s}', {w['strength']}, {w['xt']}, {w['ppda_inv']}, {w['ppdap_inv']}, {w['press_r']}, {w['avg_pr']})" for s, w in STRATEGY_WEIGHTS.items() if s != "mixed"
-    ) + ") AS wt(strategy, w_s, w_x, w_p, w_q, w_r, w_a)"
+    weights = "(VALUES ('attack', 0.35, 0.35, 0.10, 0.05, 0.05, 0.05), ('defense', 0.25, 0.10, 0.30, 0.15, 0.15, 0.05)) AS wt(strategy, w_s, w_x, w_p, w_q, w_r, w_a)"
     return f""",
 zm AS (SELECT {CTX_SQL}, our_form AS form, avg(pairs) AS pairs, avg(our_strength) AS strength, {", ".join(f"avg(our_{c}) AS {c}" for c in cols if c != "pairs")} FROM p GROUP BY ALL),
 zk AS (SELECT * FROM zm WHERE {where}),

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from touchline.catalog import views as v
 from touchline.catalog.frames import r6
 from touchline.catalog.views import with_views
+from touchline.config import PROVIDERS
 from touchline.operators import passgraph as pg
 from touchline.session import new_path, shared_table
-from touchline.sources import files
+from touchline.sources import files, layouts
 
 EVENTS_SCHEMA = "_id long, _match string, _x double, _y double, _endX double"
 
@@ -72,9 +73,23 @@ SLICE_TEAM_SQL = with_views("fx_passes", """
 SELECT team_id, passer, count(*) AS n FROM fx_passes WHERE receiver IS NOT NULL AND passer % 2 = 1 AND team_id = 'A' GROUP BY ALL""")
 
 
+def canonical_events(spark, sf_dir):
+    """The second provider's column names and team tags, brought to those of the analysis."""
+    f = v.frames(spark, sf_dir)
+    tag = F.when(F.col("team_possession") == "home", "FIFATMA").when(F.col("team_possession") == "away", "FIFATBA")
+    other = f.select("event_id", F.col("period_id").alias("period_id_x"), tag.alias("team_id"), F.col("receiver_player_id").alias("to_player_id"), F.col("ball_x").alias("start_x"), F.col("ball_y").alias("end_y"))
+    out = layouts.canonical_events(other, PROVIDERS["metrica"])
+    return out.select("event_id", "period_id", "team_possession", "receiver_player_id", r6("coordinates_x", "coordinates_x"), r6("end_coordinates_y", "end_coordinates_y"))
+
+
+CANONICAL_SQL = with_views("fx_frames", """
+SELECT event_id, period_id, team_possession, receiver_player_id, round(ball_x, 6) + 0.0 AS coordinates_x, round(ball_y, 6) + 0.0 AS end_coordinates_y FROM fx_frames""")
+
+
 QUERIES = {
     "src_xml_events": (src_xml_events, XML_EVENTS_SQL),
     "replace_matches": (replace_matches, REPLACE_SQL),
+    "canonical_events": (canonical_events, CANONICAL_SQL),
     "audit_csv": (audit_csv, AUDIT_SQL),
     "slice_passes_of_team": (slice_passes_of_team, SLICE_TEAM_SQL),
 }

@@ -43,8 +43,7 @@ ALLOWED_FORMATIONS = {
     "attacking-play": ["2-4-4", "2-3-2-3", "3-4-3", "3-2-4-1", "4-2-3-1", "4-3-3"],
 }
 
-# Default classes of the formation model and the classes used when no label map is given.
-FORMATION_CLASSES = ["2-3-2-3", "3-4-2-1", "4-1-3-2", "4-2-3-1"]
+# Classes used when no label map is given.
 FALLBACK_CLASSES = ["4-2-3-1", "4-4-2", "4-3-3"]
 DEFAULT_FORMATION = "4-2-3-1"
 
@@ -63,11 +62,11 @@ STYLE_THRESHOLDS = {
     "xt_high": 0.25,
 }
 
-# Weights of the matchup prior per strategy.
+# Weights of the matchup prior per strategy; metrics of NEGATIVE_METRICS count as one minus their share.
 STRATEGY_WEIGHTS = {
-    "attack": {"strength": 0.35, "xt": 0.35, "ppda_inv": 0.10, "ppdap_inv": 0.05, "press_r": 0.05, "avg_pr": 0.05},
-    "defense": {"strength": 0.25, "xt": 0.10, "ppda_inv": 0.30, "ppdap_inv": 0.15, "press_r": 0.15, "avg_pr": 0.05},
-    "mixed": {"strength": 0.50, "xt": 0.20, "ppda_inv": 0.15, "ppdap_inv": 0.05, "press_r": 0.05, "avg_pr": 0.05},
+    "attack": {"strength": 0.35, "xt": 0.35, "ppda": 0.10, "ppda_press": 0.05, "press_rate": 0.05, "avg_press": 0.05},
+    "defense": {"strength": 0.25, "xt": 0.10, "ppda": 0.30, "ppda_press": 0.15, "press_rate": 0.15, "avg_press": 0.05},
+    "mixed": {"strength": 0.50, "xt": 0.20, "ppda": 0.15, "ppda_press": 0.05, "press_rate": 0.05, "avg_press": 0.05},
 }
 
 # Metrics where more is better and where less is better.

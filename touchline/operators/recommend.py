@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.config import FALLBACK_CLASSES, FUSION_ALPHA, FUSION_BETA, STRATEGY_WEIGHTS, STYLE_THRESHOLDS, TOP_K
+from touchline.config import FALLBACK_CLASSES, FUSION_ALPHA, FUSION_BETA, NEGATIVE_METRICS, STRATEGY_WEIGHTS, STYLE_THRESHOLDS, TOP_K
 from touchline.operators.knowledge import kg_prior, normalised
 from touchline.operators.passgraph import CONTEXT, perspectives
 from touchline.session import stored
@@ -138,21 +138,15 @@ def matchup_prior(fvf: DataFrame, candidates: DataFrame, tags: DataFrame | None
         "form",
         F.coalesce(term["pairs"], F.lit(0.0)).alias("pairs_w"),
         F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("strength"))), F.lit(0.0)).alias("strength"),
-        term["xt"].alias("xt"),
-        (1.0 - term["ppda"]).alias("ppda_inv"),
-        (1.0 - term["ppda_press"]).alias("ppdap_inv"),
-        term["press_rate"].alias("press_r"),
-        term["avg_press"].alias("avg_pr"),
-        term["width"].alias("width"),
-        term["depth"].alias("depth"),
+        *[((1.0 - term[m]) if m in NEGATIVE_METRICS else term[m]).alias(m) for m in columns if m != "pairs"],
     )
     z = z.join(tags.select(*CONTEXT, "tags"), CONTEXT, "left") if tags is not None else z.withColumn("tags", F.array().cast("array<string>"))
     has = lambda t: F.coalesce(F.array_contains("tags", t), F.lit(False))
     compact, wide = has("compact_block").cast("double"), (has("wide_overloads") | has("switches_of_play")).cast("double")
-    extra = {"width": 0.05 * compact, "depth": 0.05 * compact, "ppda_inv": 0.03 * wide, "press_r": 0.02 * wide}
+    extra = {"width": 0.05 * compact, "depth": 0.05 * compact, "ppda": 0.03 * wide, "press_rate": 0.02 * wide}
 
     def composite(weights: dict[str, float]) -> Column:
-        names = ["strength", "xt", "ppda_inv", "ppdap_inv", "press_r", "avg_pr", "width", "depth"]
+        names = ["strength", "xt", "ppda", "ppda_press", "press_rate", "avg_press", "width", "depth"]
         return sum(((F.lit(weights.get(n, 0.0)) + extra.get(n, F.lit(0.0))) * F.col(n) for n in names), F.lit(0.0))
 
     options = F.array(

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.config import ProviderConfig
+
 # Fixed value: names of the player coordinate columns of a wide tracking table.
 PLAYER_COLUMN = re.compile(r"^(home|away)_(.+)_x$")
 
@@ -43,6 +45,17 @@ def positions(df: DataFrame) -> DataFrame:
     return df.select(*keep, F.inline("players"))
 
 
+def canonical_events(events: DataFrame, provider: ProviderConfig) -> DataFrame:
+    """A provider's columns under the names the analysis reads; columns that are not there are left out."""
+    default = ProviderConfig(name="")
+    names = {getattr(provider, f): getattr(default, f) for f in ("period_col", "possession_col", "receiver_col")}
+    names |= dict(zip((*provider.start_cols, *provider.end_cols), (*default.start_cols, *default.end_cols)))
+    renamed = {a: b for a, b in names.items() if a != b and a in events.columns}
+    side = F.when(F.col(provider.possession_col) == provider.home_tag, "home").when(F.col(provider.possession_col) == provider.away_tag, "away")
+    tagged = events.withColumn(provider.possession_col, side) if provider.possession_col in events.columns else events
+    return tagged.withColumnsRenamed(renamed)
+
+
 def attach_match_meta(frames: DataFrame, matches: DataFrame, run_key: str = "run_key") -> DataFrame:
     """Add team names, score and pitch of the match and the run id ``<match>_<8 hex of the run key>``.
 
