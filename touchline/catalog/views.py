@@ -18,14 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracking frames with events, possession and phases, from ``events``."""
+def _numbered_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking frames with events, possession and phases, from ``events``; ``rn`` counts the alive ones."""
     e = table(spark, sf_dir, "events")
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
     e = e.withColumn("k", k).withColumn("provider", F.lit("sportec"))
     e = e.withColumn("match_id", F.concat(F.lit("m"), F.floor(F.col("event_id") / MATCH_FRAMES).cast("string")))
     e = e.withColumn("period_id", 1 + F.floor(F.col("event_id") / (MATCH_FRAMES // 2)).cast("long") % 2)
-    e = number_rows(e, ["match_id", "period_id"], "event_id", "frame")
+    e = number_rows(e, ["match_id", "period_id"], "event_id", "frame", among={"rn": F.col("k") % 10 != 0})
     kind, half = F.col("event_type"), F.col("k")
     original = (
         F.when(kind == "purchase", "Pass")
@@ -51,9 +51,15 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("user_id") + half) % 11).alias("receiver_player_id"),
         (F.least("value", F.lit(200.0)) / 200).alias("ball_x"),
         (half.cast("double") / 99).alias("ball_y"),
+        "rn",
     )
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracking frames with events, possession and phases."""
+    return _numbered_frames(spark, sf_dir).drop("rn")
+
+
 FRAMES_SQL = """
 SELECT 'sportec' AS provider, concat('m', CAST(event_id // 600 AS VARCHAR)) AS match_id,
        1 + CAST(event_id // 300 AS BIGINT) % 2 AS period_id,
@@ -86,7 +92,7 @@ FROM fx_frames WHERE ball_status = 'alive'
 
 def alive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alive frames with their position ``rn`` in the period."""
-    return number_rows(alive_frames(frames(spark, sf_dir)), ["match_id", "period_id"], "frame")
+    return alive_frames(_numbered_frames(spark, sf_dir))
 
 
 def _side_players(side: str, offset: int) -> "F.Column":

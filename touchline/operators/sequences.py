@@ -29,16 +29,24 @@ def _chunk(order: str | Column, size: int | None) -> Column:
     return F.floor(order / F.lit(size)).cast("long")
 
 
-def number_rows(df: DataFrame, keys: list[str], order: str, name: str = "rn", size: int | None = None) -> DataFrame:
-    """Add ``name``: the 1-based position of the row within ``keys`` by ``order``."""
-    chunked = df.withColumn("_chunk", _chunk(order, size))
-    counts = chunked.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_rows"))
+def number_rows(
+    df: DataFrame, keys: list[str], order: str, name: str = "rn", size: int | None = None, among: dict[str, Column] | None = None
+) -> DataFrame:
+    """Add ``name``: the 1-based position of the row within ``keys`` by ``order``.
+
+    ``among`` adds further numbers in the same pass: the position among the rows that meet a condition.
+    """
+    wanted = {name: F.lit(True), **(among or {})}
+    chunked = df.withColumn("_chunk", _chunk(order, size)).withColumns({f"_is_{n}": c for n, c in wanted.items()})
+    hits = {n: F.when(F.col(f"_is_{n}"), 1) for n in wanted}
+    counts = chunked.groupBy(*keys, "_chunk").agg(*[F.count(h).alias(f"_rows_{n}") for n, h in hits.items()])
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"))
-    within = Window.partitionBy(*keys, "_chunk").orderBy(order)
-    ranked = chunked.withColumn("_place", F.row_number().over(within))
+    offsets = counts.select(*keys, "_chunk", *[F.coalesce(F.sum(f"_rows_{n}").over(earlier), F.lit(0)).alias(f"_offset_{n}") for n in wanted])
+    within = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = chunked.withColumns({f"_place_{n}": F.count(h).over(within) for n, h in hits.items()})
     out = join_keys(ranked, offsets, [*keys, "_chunk"], "left")
-    return out.withColumn(name, (F.col("_offset") + F.col("_place")).cast("long")).drop("_chunk", "_offset", "_place")
+    out = out.withColumns({n: F.col(f"_offset_{n}") + F.col(f"_place_{n}") for n in wanted})
+    return out.drop("_chunk", *[f"_{kind}_{n}" for kind in ("is", "offset", "place") for n in wanted])
 
 
 def with_halo(
