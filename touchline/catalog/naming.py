@@ -136,7 +136,7 @@ SELECT side, label, CAST(role AS INTEGER) AS role, n_members, round(mu_x, 4) + 0
 
 
 def block_clusters(spark, sf_dir):
-    out = fm.cluster_blocks(_blocks(spark, sf_dir), ["side"], ["block_id"], k_min=2, k_max=3, rounds=2)
+    out = fm.cluster_blocks(_blocks(spark, sf_dir), ["side"], ["block_id"], k_min=2, k_max=3, rounds=2, candidates=64)
     return out.select("side", "block_id", "cluster_label", "n_blocks_in_cluster", "is_medoid", r4("member_cost", "member_cost"), r6("silhouette", "silhouette"))
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -135,49 +136,42 @@ def square_costs(a: Column, b: Column) -> Column:
     )
 
 
-# Rows per group from which start shapes are picked, and rounds after which shapes are taken as settled.
-START_CANDIDATES = 64
-MAX_ROUNDS = 20
-
-
 def _key_order(block: list[str]) -> list[Column]:
     """A fixed order that does not follow time: the hash of the block's key, then the key."""
     return [F.md5(F.concat_ws("|", *[F.col(b).cast("string") for b in block])), *[F.col(b) for b in block]]
 
 
-def _flat_points(points: str) -> list[Column]:
-    return [F.transform(points, lambda p: p["x"].cast("double")).alias("_xs"), F.transform(points, lambda p: p["y"].cast("double")).alias("_ys")]
-
-
 POINTS = "array<struct<x:double,y:double>>"
 
 
-def start_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str = "pts", k_max: int = K_MAX, candidates: int = START_CANDIDATES) -> DataFrame:
+def start_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str = "pts", k_max: int = K_MAX, candidates: int | None = None) -> DataFrame:
     """Up to ``k_max`` start shapes per group: ``c`` from 1 and ``shape``.
 
-    The first ``candidates`` blocks of a group in hash order are walked farthest-first, so the first k shapes are the
-    start for k clusters. A task holds these candidates only.
+    All blocks of a group, or the first ``candidates`` in hash order, are walked farthest-first from the first in hash
+    order, so the first k shapes are the start for k clusters. A start is one pass: every block keeps the cost to its
+    nearest start, and the group's largest cost comes from partial maxima.
     """
-    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*_key_order(block)))
-    first = blocks.where(F.col(points).isNotNull()).select(*by, *block, points).withColumn("_nth", nth).where(F.col("_nth") <= candidates)
-    flat = first.select(*by, "_nth", *_flat_points(points))
-    schema = T.StructType([*[blocks.schema[c] for c in by], T.StructField("c", T.IntegerType()), *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("_xs", "_ys")]])
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_nth")
-        shapes = np.stack([np.stack([x, y], axis=1) for x, y in zip(group["_xs"], group["_ys"])])
-        near, picked = np.full(len(shapes), np.inf), [0]
-        while len(picked) < min(k_max, len(shapes)):
-            delta = shapes[:, :, None, :] - shapes[picked[-1]][None, None, :, :]
-            near = np.minimum(near, best_assignments((delta**2).sum(axis=-1))[0])
-            near[picked] = -1.0
-            picked.append(int(near.argmax()))
-        out = group.iloc[picked][[*by, "_xs", "_ys"]].copy()
-        out["c"] = np.arange(1, len(picked) + 1, dtype=np.int32)
-        return out[[*by, "c", "_xs", "_ys"]]
-
-    walked = flat.groupBy(*by).applyInPandas(walk, schema)
-    return walked.select(*by, "c", F.zip_with("_xs", "_ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("shape"))
+    rows = blocks.where(F.col(points).isNotNull()).select(*by, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_key_order(block))]).alias("_key"), F.col(points).cast(POINTS).alias("_pts"))
+    if candidates is not None:
+        nth = F.row_number().over(Window.partitionBy(*by).orderBy("_key"))
+        rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= candidates).drop("_nth")
+    rows = rows.withColumn("_near", F.lit(float("inf")))
+    rows, found = (stored(rows), []) if k_max > 1 else (rows, [])
+    for c in range(1, k_max + 1):
+        far = rows.where("_near >= 0").groupBy(*by).agg(F.min(F.struct((-F.col("_near")).alias("far"), F.col("_key").alias("key"), F.col("_pts").alias("shape"))).alias("_pick"))
+        far = stored(far.select(*by, F.col("_pick.key").alias("_picked"), F.col("_pick.shape").alias("shape")))
+        if c > 1 and not far.head(1):
+            break
+        found.append(far.select(*by, F.lit(c).alias("c"), "shape"))
+        if c < k_max:
+            # a group all of whose blocks are starts has no further ones
+            met = with_assignment(join_keys(rows, far, by), square_costs(F.col("_pts"), F.col("shape")), "_cost", "_role")
+            near = F.when(F.col("_key") == F.col("_picked"), -1.0).otherwise(F.least("_near", "_cost"))
+            rows = stored(met.withColumn("_near", near).select(*by, "_key", "_pts", "_near"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def shape_costs(blocks: DataFrame, shapes: DataFrame, on: list[str], points: str = "pts") -> DataFrame:
@@ -203,7 +197,7 @@ def label_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str
 
     Members are matched role by role to the group's first block in hash order, then ``rounds - 1`` times to the mean.
     """
-    shapes = start_shapes(blocks, by, block, points, 1, 1).select(*by, "shape")
+    shapes = start_shapes(blocks, by, block, points, 1).select(*by, "shape")
     for _ in range(rounds):
         shapes = stored(mean_shapes(shape_costs(blocks.select(*by, points), shapes, by, points), by, points))
     return shapes
@@ -222,33 +216,36 @@ def cluster_blocks(
     points: str = "pts",
     k_min: int = K_MIN,
     k_max: int = K_MAX,
-    rounds: int = MAX_ROUNDS,
+    rounds: int | None = None,
+    candidates: int | None = None,
 ) -> DataFrame:
     """Cluster the blocks of each group around mean shapes, for every number of clusters from ``k_min`` to ``k_max``.
 
     Each round gives every block its cheapest shape by assignment cost and every shape the mean of its members matched
     role by role, until no block moves. Silhouettes compare the cost of a block's own shape with that of the next one;
     the number of clusters with the best mean wins, the smallest on ties. Groups with fewer blocks than ``k_min`` have
-    one cluster per start shape. Work per round is blocks times shapes at any group size.
+    one cluster per start shape. Work per round is blocks times shapes at any group size. ``rounds`` and ``candidates``
+    cut the rounds and the blocks that may be start shapes; without them there is no bound. The cost of all falls from
+    round to round, so labels that come back differ by ties and rounding alone and end the rounds too.
 
     Gives back one row per block: ``cluster_label`` (numbered by first member), ``n_blocks_in_cluster``, ``is_medoid``
     (the member nearest to its shape), ``member_cost`` (that cost) and ``silhouette``.
     """
     slim = stored(blocks.where(F.col(points).isNotNull()).select(*by, *block, F.col(points).cast(POINTS).alias("pts")))
-    starts = stored(start_shapes(slim, by, block, "pts", k_max))
+    starts = stored(start_shapes(slim, by, block, "pts", k_max, candidates))
     most = starts.groupBy(*by).agg(F.max("c").alias("_most"))
     sized = join_keys(starts, most, by).withColumn("k", F.explode(F.sequence(F.greatest("c", F.lit(k_min)), F.lit(k_max))))
     shapes = stored(sized.where(F.col("k") <= F.greatest("_most", F.lit(k_min))).select(*by, "k", "c", "shape"))
-    seen = None
-    for _ in range(rounds):
+    seen = set()
+    for _ in count() if rounds is None else range(rounds):
         option = F.struct("cost", "c", "role")
         met = shape_costs(slim, shapes, by).groupBy(*by, *block, "k").agg(F.slice(F.array_sort(F.collect_list(option)), 1, 2).alias("_best"), F.first("pts").alias("pts"))
         own, other = F.get("_best", F.lit(0)), F.get("_best", F.lit(1))
         near = stored(met.select(*by, *block, "k", "pts", own["cost"].alias("cost"), own["c"].alias("c"), own["role"].alias("role"), other["cost"].alias("near")))
         now = near.agg(F.sum(F.xxhash64(*by, *block, "k", "c").cast("decimal(38,0)"))).first()[0]
-        if now == seen:
+        if now in seen:
             break
-        seen = now
+        seen.add(now)
         shapes = stored(mean_shapes(near, [*by, "k", "c"]))
     scored = near.withColumn("silhouette", silhouette("cost", "near"))
     means = scored.groupBy(*by, "k").agg(F.round(F.avg("silhouette"), 9).alias("_mean"))
