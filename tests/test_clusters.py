@@ -66,3 +66,10 @@ def test_clusters_equal_the_plain_version(spark):
     df, pts, order = shapes_table(spark)
     got = {r.block_id: r.cluster_label for r in fm.cluster_blocks(df, ["g"], ["block_id"]).collect()}
     assert got == plain_clusters(pts, order, 3, 12)
+
+
+def test_chain_runs_the_whole_range():
+    from touchline.catalog.chain import SETTINGS
+    from touchline.config import K_MAX
+
+    assert SETTINGS.k_max == K_MAX

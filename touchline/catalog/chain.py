@@ -11,7 +11,7 @@ from touchline.plans import analysis as an
 from touchline.session import stored
 
 # Windows in proportion to the short matches of the given tables.
-SETTINGS = an.Settings(fps=5, pad_rows=3, rolling_rows=20, shift_metres=7.0, tiny_rows=5, min_block_seconds=2, min_overlap_frames=10, k_max=4)
+SETTINGS = an.Settings(fps=5, pad_rows=3, rolling_rows=20, shift_metres=7.0, tiny_rows=5, min_block_seconds=2, min_overlap_frames=10)
 
 
 def tracked_frames(spark, sf_dir) -> DataFrame:
