@@ -62,3 +62,7 @@ def test_odd_rows(spark):
     out = {(r.page_id, r.text) for r in htmltext.extract_text(pages).collect()}
     assert out == {(1, ""), (2, ""), (3, "deep"), (None, "a"), (5, "no tags < here > & there"), (6, "a  b")}
     assert htmltext.extract_text(pages.where("page_id < 0")).count() == 0
+
+
+def test_text_of_an_image_map_is_seen():
+    assert htmltext.page_text("a<map name=m><area href=x><a href=y>link</a> b</map>c") == "alink bc"

@@ -25,7 +25,7 @@ from touchline.llm.common import table
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas datalist map meter progress noframes".split())
+UNSEEN = frozenset("head title script style template noscript iframe object audio video canvas datalist meter progress noframes".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section summary table ul".split()
 )
