@@ -1,6 +1,6 @@
 """Registered queries of the subpackage: name -> (DataFrame builder, SQL text or None)."""
 
-from touchline.llm import covertree, curriculum, forest, htmltext, lines, packing, phrases, secrets, simhash, slots, toxicity, vafile
+from touchline.llm import covertree, curriculum, forest, htmltext, lines, packing, phrases, secrets, simhash, slots, toxicity, vafile, vectorfit
 
 QUERIES = {
     "op1_cost_packing": (packing.op1_cost_packing, None),
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_projection_forest": (forest.op8_projection_forest, None),
     "op9_virtual_slots": (slots.op9_virtual_slots, None),
     "op10_assignment_secrets": (secrets.op10_assignment_secrets, None),
+    "op11_vector_best_fit": (vectorfit.op11_vector_best_fit, None),
     "op12_vafile_clusters": (vafile.op12_vafile_clusters, vafile.OP12_SQL),
     "op13_phrase_collocations": (phrases.op13_phrase_collocations, phrases.OP13_SQL),
 }
