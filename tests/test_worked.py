@@ -367,3 +367,21 @@ def test_task_functions_need_no_installed_package(tmp_path):
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code, str(path)], cwd=tmp_path, env=env, check=True)
+
+
+def test_points_on_cell_edges_belong_to_the_higher_cell(spark):
+    """Every edge of the 30 x 20 cells, also after a change of domain and a stretch that put points on edges up to rounding."""
+    from touchline.functions import coords
+    from touchline.operators import panels
+
+    edges = [(1, 105.0 * i / 30, 68.0 * j / 20) for i in range(31) for j in range(21)]
+    df = spark.createDataFrame(edges, "m int, x double, y double")
+    got = {(r.bin_x, r.bin_y): r.n for r in panels.density(df, ["m"]).collect()}
+    assert got == {(i, j): (1 + (i == 29)) * (1 + (j == 19)) for i in range(30) for j in range(20)}
+    # 21 points from end to end of the stretched part: steps of a whole number of cells along x
+    line = spark.createDataFrame([(1, -0.8 + 1.6 * k / 17, -0.5 + k / 17) for k in range(18)], "m int, x double, y double")
+    scaled = coords.auto_scale(line, ["m"], {"x": 105.0, "y": 68.0})
+    bins = sorted((r.bin_x, r.bin_y) for r in panels.density(scaled, ["m"], bins_x=20, bins_y=20).collect())
+    assert bins == [(int(1.5 + k + 1e-6), int(1.5 + k + 1e-6)) for k in range(18)]
+    raw = {r.x: r.n for r in scaled.groupBy("x").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert min(raw) == 105 * 0.075 and abs(max(raw) - 105 * 0.925) < 1e-9

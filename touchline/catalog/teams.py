@@ -69,7 +69,7 @@ def _scale_sql(rows: str, cols=("x", "y", "x2", "y2"), by: str = "team_id") -> s
         for pre, out in (("", "d_"), ("lo_", "a_"), ("hi_", "b_"))
     )
     fin = ", ".join(
-        f"greatest(0, least({size[c]}, CASE WHEN b_{c} > a_{c} THEN (d_{c} - a_{c}) * ({size[c]} - 2 * 0.075 * {size[c]}) / (b_{c} - a_{c}) + 0.075 * {size[c]} ELSE d_{c} END)) AS s_{c}"
+        f"greatest(0, least({size[c]}, CASE WHEN b_{c} > a_{c} THEN (d_{c} - a_{c}) * (({size[c]} - 2 * 0.075::DOUBLE * {size[c]}) / (b_{c} - a_{c})) + 0.075::DOUBLE * {size[c]} ELSE d_{c} END)) AS s_{c}"
         for c in cols
     )
     nulls = ", ".join(f"CASE WHEN d_{c} IS NOT NULL THEN s_{c} END AS {c}" for c in cols)
@@ -172,7 +172,7 @@ def heatmap(spark, sf_dir):
 
 
 HEATMAP_SQL = with_views("fx_passes", """
-SELECT team_id, CAST(least(floor(x / (105.0::DOUBLE / 30)), 29) AS INTEGER) AS bin_x, CAST(least(floor(y / (68.0::DOUBLE / 20)), 19) AS INTEGER) AS bin_y, count(*) AS n
+SELECT team_id, CAST(least(floor(round(x / 105 * 30, 9)), 29) AS INTEGER) AS bin_x, CAST(least(floor(round(y / 68 * 20, 9)), 19) AS INTEGER) AS bin_y, count(*) AS n
 FROM fx_passes WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68 GROUP BY ALL""")
 
 
@@ -186,7 +186,7 @@ def press_heatmap(spark, sf_dir):
 PRESS_SQL = with_views("fx_alive", """
 WITH c AS (SELECT match_id, ball_x AS x, ball_y AS y, team_possession, lag(team_possession) OVER (PARTITION BY match_id, period_id ORDER BY rn) AS prev FROM fx_alive),
 fp AS (SELECT match_id, team_possession AS side, x, y FROM c WHERE team_possession <> prev AND x IS NOT NULL AND y IS NOT NULL),""" + _scale_sql("fp", ("x", "y"), "match_id, side") + """
-SELECT match_id, side, CAST(least(floor(x / (105.0::DOUBLE / 30)), 29) AS INTEGER) AS bin_x, CAST(least(floor(y / (68.0::DOUBLE / 20)), 19) AS INTEGER) AS bin_y, count(*) AS n
+SELECT match_id, side, CAST(least(floor(round(x / 105 * 30, 9)), 29) AS INTEGER) AS bin_x, CAST(least(floor(round(y / 68 * 20, 9)), 19) AS INTEGER) AS bin_y, count(*) AS n
 FROM scaled WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68 GROUP BY ALL""")
 
 

@@ -78,19 +78,18 @@ def auto_scale(
         *[F.min(finite[c]).alias(f"a_{c}") for c in extents],
         *[F.max(finite[c]).alias(f"b_{c}") for c in extents],
     )
-    # Domain change and stretch are linear, so a group needs one factor and one offset per column.
-    linear = []
-    for c, size in extents.items():
-        centred = (F.col(f"lo_{c}") >= -1.01) & (F.col(f"hi_{c}") <= 1.01)
-        factor, offset = F.when(centred, size / 2.0).otherwise(1.0), F.when(centred, size / 2.0).otherwise(0.0)
-        if stretch:
-            a, b = F.col(f"a_{c}") * factor + offset, F.col(f"b_{c}") * factor + offset
-            grow = (size - 2 * margin * size) / (b - a)
-            offset = F.when(b > a, (offset - a) * grow + margin * size).otherwise(offset)
-            factor = F.when(b > a, factor * grow).otherwise(factor)
-        linear += [factor.alias(f"_f_{c}"), offset.alias(f"_o_{c}")]
-    joined = clean.join(stored(ends.select(*by, *linear)), by, "left")
-    moved = {c: F.col(c) * F.col(f"_f_{c}") + F.col(f"_o_{c}") for c in extents}
+    def in_domain(value: Column, c: str) -> Column:
+        return F.when(F.col(f"_in_{c}"), (value + 1.0) / 2.0 * extents[c]).otherwise(value)
+
+    # Per group: whether the domain changes, where the stretch begins, and its factor, null where there is no range.
+    known = ends.withColumns({f"_in_{c}": (F.col(f"lo_{c}") >= -1.01) & (F.col(f"hi_{c}") <= 1.01) for c in extents})
+    known = known.withColumns({f"_{e}_{c}": in_domain(F.col(f"{e}_{c}"), c) for c in extents for e in "ab"})
+    grow = {f"_g_{c}": F.when(F.col(f"_b_{c}") > F.col(f"_a_{c}"), (size - 2 * margin * size) / (F.col(f"_b_{c}") - F.col(f"_a_{c}"))) for c, size in extents.items()}
+    known = known.withColumns(grow).select(*by, *[f"_{e}_{c}" for c in extents for e in ("in", "a", "g")])
+    joined = clean.join(stored(known), by, "left")
+    moved = {c: in_domain(F.col(c), c) for c in extents}
+    if stretch:
+        moved = {c: F.when(F.col(f"_g_{c}").isNotNull(), (moved[c] - F.col(f"_a_{c}")) * F.col(f"_g_{c}") + margin * size).otherwise(moved[c]) for c, size in extents.items()}
     clipped = {
         c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(size)), moved[c]))) for c, size in extents.items()
     }

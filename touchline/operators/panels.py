@@ -52,10 +52,11 @@ def pass_map_counts(passes: DataFrame, by: list[str], length: float = PITCH_LENG
 def density(
     points: DataFrame, by: list[str], bins_x: int = 30, bins_y: int = 20, length: float = PITCH_LENGTH, width: float = PITCH_WIDTH
 ) -> DataFrame:
-    """Points per pitch cell; the far edges belong to the last cells."""
+    """Points per pitch cell; a point on the edge of two cells, up to rounding, belongs to the higher one, the far edges to
+    the last cells."""
 
     def cell(c: str, size: float, bins: int) -> Column:
-        return F.least(F.floor(F.col(c) / (size / bins)), F.lit(bins - 1)).cast("int")
+        return F.least(F.floor(F.round(F.col(c) / size * bins, 9)), F.lit(bins - 1)).cast("int")
 
     inside = points.where(F.col("x").between(0.0, length) & F.col("y").between(0.0, width))
     return inside.groupBy(*by, cell("x", length, bins_x).alias("bin_x"), cell("y", width, bins_y).alias("bin_y")).agg(
