@@ -12,8 +12,9 @@ opened: it adds its sizes to the counts of links. Pairs of single vectors are de
 back as spanning links, so groups of near copies are never expanded, and components are found on these.
 
 Without structure, as between random vectors, no bound helps above single vectors: an exact join then compares all pairs
-of blocks. Defined results: null, zero and non-finite vectors, other dimensions and null ids link with nothing; equal rows
-link with each other; an empty table gives no rows. Labels and extra columns do not take part.
+of blocks. Defined results: null, zero and non-finite vectors and rows without an id link with nothing; vectors of several
+dimensions are compared within each; every row gives one, also where ids repeat, and a sound row of an id does not hide an
+unsound one; equal rows link with each other; an empty table gives no rows. Labels and extra columns do not take part.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from touchline.llm.common import table
 from touchline.llm.components import components, spanning_links
-from touchline.llm.vectors import matrix, unit, usable_vectors
+from touchline.llm.vectors import dimensions, is_usable, matrix, unit, usable_vectors
 from touchline.session import stored
 
 SAMPLE_ROWS = 16_384
@@ -306,16 +307,25 @@ def threshold_links(classes: DataFrame, cosine: float) -> tuple[DataFrame, DataF
 
 
 def near_vectors(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
+    """One row per row of ``rows``: vec_id, n_links, component_id, kept."""
     good = stored(usable_vectors(rows))
     classes = stored(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    counts, links = threshold_links(classes, cosine)
+    # a vector of another dimension may have the same id, so classes have numbers of their own
+    numbered = stored(classes.withColumn("vec_id", F.col("rep")).withColumn("rep", F.monotonically_increasing_id()))
+    counts, links = None, None
+    for n in dimensions(numbered):
+        of_links = threshold_links(numbered.where(F.size("embedding") == n).drop("vec_id"), cosine)
+        counts, links = of_links if counts is None else (counts.unionByName(of_links[0]), links.unionByName(of_links[1]))
+    if counts is None:
+        counts, links = numbered.select("rep", F.lit(0).cast("long").alias("links")), numbered.selectExpr("rep AS a", "rep AS b")
     roots = components(links).withColumnRenamed("node", "rep")
-    of_class = stored(classes.join(counts, "rep", "left").join(roots, "rep", "left").select("embedding", "n", "links", F.coalesce("root", "rep").alias("root")))
+    joined = numbered.join(counts, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    of_class = stored(joined.select("embedding", "vec_id", "n", "links", "root"))
+    smallest = of_class.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    of_class = stored(of_class.join(smallest, "root").select("embedding", "n", "links", "component_id"))
     # a vector is no link of its own; the other copies of its class are
-    linked = good.join(of_class, "embedding").select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("root").alias("component_id"))
-    alone = rows.select("vec_id", "embedding")
-    others = alone.join(good.select("vec_id").distinct(), "vec_id", "left_anti").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = good.join(of_class, "embedding").select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    others = rows.where(~is_usable(rows)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(others).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
@@ -329,7 +339,7 @@ OP3_SQL = """
 WITH RECURSIVE good AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 END),
 reach AS (
   SELECT vec_id AS a, vec_id AS b FROM good
   UNION

@@ -1,14 +1,18 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-The split planes are fitted on a bounded sample (``SAMPLE_ROWS`` vectors, so at most ``TREES`` x 127 planes); every vector
-is then routed to one leaf per tree. A query walks all trees through one priority queue, ordered by how far it lies from
-the planes it would have to cross, and takes leaves until they hold ``SHARE`` of all rows (copies in several trees
-counted) and at least ``LEAST_ROWS``. Leaves meet the queries that probe them: both sides are cut into bounded chunks, a
-task scores one chunk exactly on the original vectors and returns its best rows per query, and these are merged.
-
-The share needed depends on the data: vectors without any structure, as random ones, need most of it. It is the same at
-every table size. Defined results: null, zero and non-finite vectors, vectors of another dimension and null ids take no
-part; ties go to the smaller id; equal rows are one candidate; an empty table gives no rows.
+The split planes are fitted on a bounded sample: trees are as deep as the number of rows asks for, ``LEAF_ROWS`` a leaf, and
+as the sample can fit, ``LEAF_SAMPLE`` a leaf. Every vector is routed to one leaf per tree. A query walks all trees through
+one priority queue, ordered by how far it lies from the planes it would have to cross, and takes leaves until they hold a
+number of rows. That number is measured, not set: ``PROBE_QUERIES`` queries are compared with all rows, and the walk is
+taken so far that it meets a share of ``RECALL`` of their true neighbours. Clustered vectors need a small part of the rows,
+vectors without any structure most of them. Leaves meet the queries that probe them: both sides are cut into bounded chunks,
+vectors move only to the chunks that are asked for, a task scores one chunk exactly on the original vectors and returns its
+best rows per query, and these are merged.
+
+Defined results: null, zero and non-finite vectors and null ids take no part; vectors of several dimensions are compared
+within each; ties go to the smaller id; equal rows are one candidate; rows with one id and different vectors are one
+candidate at their smallest distance, and as queries one query with the nearest rows of both; an empty table gives no rows.
+Extra columns do not take part.
 """
 
 from __future__ import annotations
@@ -18,19 +22,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import table
-from touchline.llm.vectors import matrix, usable_vectors
+from touchline.llm.vectors import dimensions, matrix, usable_vectors
 from touchline.session import stored
 
-SAMPLE_ROWS = 16_384
+SAMPLE_ROWS = 65_536
 TREES = 8
-DEPTH = 7
-LEAF_SAMPLE = 64
-SHARE = 0.8
-LEAST_ROWS = 2_000
+LEAF_ROWS = 256
+LEAF_SAMPLE = 16
+PROBE_QUERIES = 64
+RECALL = 0.95
 CHUNK_ROWS = 4_096
 CHUNK_QUERIES = 2_048
 
@@ -42,10 +46,10 @@ class Forest:
         self.planes, self.offsets, self.depth = planes, offsets, depth
 
 
-def fit_forest(sample: np.ndarray, trees: int = TREES, seed: int = 11) -> Forest:
+def fit_forest(sample: np.ndarray, total: int, trees: int = TREES, seed: int = 11) -> Forest:
     """Random directions, split at the sample's median in the node."""
     rng = np.random.default_rng(seed)
-    depth = max(0, min(DEPTH, int(np.log2(max(len(sample), 1) / LEAF_SAMPLE)) if len(sample) > LEAF_SAMPLE else 0))
+    depth = max(0, int(np.log2(max(min(len(sample) / LEAF_SAMPLE, total / LEAF_ROWS), 1))))
     nodes, dim = (1 << depth) - 1, sample.shape[1] if sample.size else 1
     planes = rng.normal(size=(trees, nodes, dim))
     planes /= np.linalg.norm(planes, axis=2, keepdims=True) if nodes else 1.0
@@ -77,13 +81,13 @@ def leaves_of(forest: Forest, m: np.ndarray) -> np.ndarray:
     return out
 
 
-def probes(forest: Forest, query: np.ndarray, sizes: dict[tuple[int, int], int], wanted: int) -> list[tuple[int, int]]:
-    """(tree, leaf) in the order of the shared queue until the leaves hold ``wanted`` rows."""
+def walk(forest: Forest, query: np.ndarray, sizes: dict[tuple[int, int], int]) -> Iterator[tuple[tuple[int, int], int]]:
+    """((tree, leaf), rows taken with it) in the order of the shared queue."""
     inner = len(forest.offsets[0]) if forest.depth else 0
     margins = forest.planes @ query - forest.offsets
     queue = [(0.0, t, 0) for t in range(len(forest.planes))]
-    out, rows = [], 0
-    while queue and rows < wanted:
+    rows = 0
+    while queue:
         bound, t, k = heapq.heappop(queue)
         while k < inner:
             margin = margins[t, k]
@@ -92,8 +96,17 @@ def probes(forest: Forest, query: np.ndarray, sizes: dict[tuple[int, int], int],
             k = near
         size = sizes.get((t, k - inner), 0)
         if size:
-            out.append((t, k - inner))
             rows += size
+            yield (t, k - inner), rows
+
+
+def probes(forest: Forest, query: np.ndarray, sizes: dict[tuple[int, int], int], wanted: int) -> list[tuple[int, int]]:
+    """Leaves until they hold ``wanted`` rows."""
+    out = []
+    for leaf, rows in walk(forest, query, sizes):
+        out.append(leaf)
+        if rows >= wanted:
+            break
     return out
 
 
@@ -115,7 +128,7 @@ def build_index(vectors: DataFrame) -> tuple[Forest, DataFrame, dict[tuple[int,
     share = min(1.0, SAMPLE_ROWS / max(total, 1))
     chosen = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else vectors
     sample = chosen.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
-    forest = fit_forest(matrix(sample.column(0)))
+    forest = fit_forest(matrix(sample.column(0)), total)
     schema = vectors.select("vec_id", "embedding", F.array(F.lit(0)).alias("leaves")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,10 +142,46 @@ def build_index(vectors: DataFrame) -> tuple[Forest, DataFrame, dict[tuple[int,
     return forest, index, {(r.tree, r.leaf): r["count"] for r in sizes}, total
 
 
-def nearest(index: tuple[Forest, DataFrame, dict[tuple[int, int], int], int], queries: DataFrame, k: int = 10, share: float = SHARE) -> DataFrame:
-    """The ``k`` nearest rows found of every query (``vec_id``, ``embedding``): query_id, rank, vec_id, score."""
+def rows_to_take(index: tuple[Forest, DataFrame, dict[tuple[int, int], int], int], queries: DataFrame, k: int, recall: float = RECALL) -> int:
+    """Rows that a query's leaves must hold for a share ``recall`` of true neighbours, measured on a bounded set of queries
+    against all rows."""
+    forest, rows, sizes, _ = index
+    chosen = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PROBE_QUERIES).select("vec_id", "embedding").toArrow()
+    ids, points = chosen.column(0).to_numpy(), matrix(chosen.column(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, members = batch.column(0).to_numpy(), matrix(batch.column(1))
+            leaves = batch.column(2).to_pylist()
+            out = []
+            for q, (query_id, query) in enumerate(zip(ids, points)):
+                apart = members - query
+                far = np.where(own == query_id, np.inf, np.sqrt((apart * apart).sum(axis=1)))
+                out += [(q, int(own[i]), float(far[i]), leaves[i]) for i in np.argsort(far, kind="stable")[:k] if far[i] < np.inf]
+            kinds = (pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.int32()))
+            columns = list(zip(*out)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["q", "vec_id", "far", "leaves"])
+
+    near = rows.select("vec_id", "embedding", "leaves").mapInArrow(run, "q int, vec_id long, far double, leaves array<int>")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("far", "vec_id"))
+    of: dict[int, list[list[int]]] = {}
+    for r in near.withColumn("rank", rank).where(F.col("rank") <= k).collect():  # k rows a query
+        of.setdefault(r.q, []).append(r.leaves)
+    needed = []
+    for q, found in of.items():
+        taken = dict(walk(forest, points[q], sizes))
+        needed += [min(taken[t, leaf] for t, leaf in enumerate(leaves)) for leaves in found]
+    needed.sort()
+    return needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)] if needed else 1
+
+
+def nearest(index: tuple[Forest, DataFrame, dict[tuple[int, int], int], int], queries: DataFrame, k: int = 10, wanted: "int | None" = None) -> DataFrame:
+    """The ``k`` nearest rows found of every query (``vec_id``, ``embedding``): query_id, rank, vec_id, score.
+
+    ``wanted`` is the number of rows that a query's leaves hold; measured where it isn't given."""
     forest, rows, sizes, total = index
-    wanted = max(int(share * total) + 1, LEAST_ROWS)
+    wanted = rows_to_take(index, queries, k) if wanted is None else wanted
+    width = 1 << forest.depth
     schema = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), F.array(F.struct(F.lit(0).alias("tree"), F.lit(0).alias("leaf"))).alias("probes")).schema
     item = pa.struct([("tree", pa.int32()), ("leaf", pa.int32())])
 
@@ -142,15 +191,15 @@ def nearest(index: tuple[Forest, DataFrame, dict[tuple[int, int], int], int], qu
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(item))], names=schema.names)
 
     blocks = F.lit(max(1, -(-queries.count() // CHUNK_QUERIES)))
-    chunked = F.create_map(*[x for (t, n), size in sizes.items() for x in (F.lit(t * (1 << DEPTH) + n), F.lit(-(-size // CHUNK_ROWS)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    chunks = F.element_at(chunked, F.col("tree") * (1 << DEPTH) + F.col("leaf"))
+    chunked = F.create_map(*[x for (t, n), size in sizes.items() for x in (F.lit(t * width + n), F.lit(-(-size // CHUNK_ROWS)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
+    chunks = F.element_at(chunked, F.col("tree") * width + F.col("leaf"))
     counted = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
     planned = queries.select("vec_id", "embedding").mapInArrow(plan, schema).withColumn("block", F.pmod(F.xxhash64("query_id"), blocks))
     asked = planned.select("query_id", "query", "block", F.explode("probes").alias("p")).select("query_id", "query", "block", "p.tree", "p.leaf")
-    asked = asked.select("*", counted(chunks).alias("chunk"))
-    members = rows.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks.cast("long"))).select("*", counted(blocks).alias("block"))
+    asked = stored(asked.select("*", counted(chunks).alias("chunk")))
     keys = ["tree", "leaf", "chunk", "block"]
+    members = rows.select("vec_id", "embedding", F.posexplode("leaves").alias("tree", "leaf"))
+    members = members.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), chunks.cast("long"))).join(asked.select(*[F.col(c).alias(c) for c in keys]).distinct(), keys[:3])
 
     def score(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
@@ -169,7 +218,17 @@ def nearest(index: tuple[Forest, DataFrame, dict[tuple[int, int], int], int], qu
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def nearest_vectors(vectors: DataFrame, queries: Column, k: int = 10) -> DataFrame:
+    """The ``k`` nearest rows of the vectors that ``queries`` selects, within each dimension."""
+    good, out = stored(usable_vectors(vectors)), None
+    for n in dimensions(good) or [0]:
+        own = good.where(F.size("embedding") == n)
+        found = nearest(build_index(own), own.where(queries), k)
+        out = found if out is None else out.unionByName(found)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def op8_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 10 nearest rows found of every vector whose id is divisible by 100."""
-    vectors = stored(usable_vectors(table(spark, sf_dir, "embeddings")))
-    return nearest(build_index(vectors), vectors.where("vec_id % 100 = 0"))
+    return nearest_vectors(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)

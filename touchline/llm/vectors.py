@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def usable_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """Key and vector of the rows that take part: a key, no null or non-finite component, not all zero, and of the
-    dimension that most rows have (the larger one of equally frequent ones)."""
+def is_usable(rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> Column:
+    """Whether a row takes part: a key, no null or non-finite component, not all zero. Never null."""
     sound = F.forall(column, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(column, lambda x: x != 0)
-    good = rows.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull() & sound)
-    sizes = good.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    usual = sizes.first()
-    return good.where(F.size(column) == (usual.n if usual else 0))
+    return F.coalesce(F.col(key).isNotNull() & F.col(column).isNotNull() & sound, F.lit(False))
+
+
+def usable_vectors(rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """Key and vector of the rows that take part, of any dimension."""
+    return rows.select(key, column).where(is_usable(rows, key, column))
+
+
+def dimensions(vectors: DataFrame, column: str = "embedding") -> list[int]:
+    """The dimensions of the vectors; they are compared within each. Tables of embeddings have one or a few."""
+    return sorted(r.n for r in vectors.select(F.size(column).alias("n")).distinct().collect())
 
 
 def matrix(column: "pa.Array | pa.ChunkedArray") -> np.ndarray:
