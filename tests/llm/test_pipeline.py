@@ -10,7 +10,8 @@ import corpus_pipeline as cp
 from touchline.llm import curriculum, toxicity
 from touchline.session import stored
 from tests.llm.test_curriculum import plain_targets
-from tests.llm.test_simhash import plain_components, simhash_words
+from tests.llm.test_jaccard import plain_roots
+from tests.llm.test_simhash import simhash_words
 
 SF = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.001")
 
@@ -58,14 +59,11 @@ def test_repeated_lines_keep_the_first(results):
 
 
 def test_one_of_each_group_stays(results):
-    from touchline.llm.simhash import shingle_fingerprint
-
+    """Groups over Jaccard similarities of five-word shingle sets of at least 0.8, by brute force."""
     before, after = rows(results[2]), rows(results[3])
-    fp = {i: shingle_fingerprint(r.text or "", 5) for i, r in before.items()}
-    ids = sorted(fp)
-    links = [(a, b) for n, a in enumerate(ids) for b in ids[n + 1 :] if (fp[a] ^ fp[b]).bit_count() <= 3]
-    root = plain_components(ids, links)
-    assert set(after) == {i for i in ids if root[i] == i} and len(after) < len(before)
+    root = plain_roots({i: r.text for i, r in before.items()})
+    assert set(after) == {i for i in before if root[i] == i} and len(after) < len(before)
+    assert all(after[i] == before[i] for i in after)
 
 
 def test_mix_meets_its_targets(results):
