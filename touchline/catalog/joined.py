@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.catalog import views as v
 from touchline.catalog.frames import CFG, XG, r6
 from touchline.catalog.views import with_views
-from touchline.operators import joins, metrics, panels
+from touchline.operators import alignment, joins, metrics, panels
 from touchline.operators.masks import first_per_key
 from touchline.session import stored
 from touchline.sources import layouts
@@ -39,6 +39,14 @@ SELECT match_id, event_id,
 FROM d""")
 
 
+def event_alignment(spark, sf_dir):
+    f = v.frames(spark, sf_dir)
+    ticks = f.select("match_id", "ts", "frame", "ball_x", "ball_y")
+    happenings = f.where("original_event IS NOT NULL").select("match_id", "event_id", (F.col("ts") + F.expr("INTERVAL 90 SECONDS")).alias("ts"))
+    out = alignment.align_events(ticks, happenings, ["match_id"], SYNC_SECONDS)
+    return out.select("match_id", "event_id", F.col("frame").cast("string"), F.col("offset_us").cast("string"))
+
+
 def merge_frames_events(spark, sf_dir):
     f = v.frames(spark, sf_dir)
     left = f.select(
@@ -275,6 +283,7 @@ FROM fx_frames GROUP BY match_id""")
 
 QUERIES = {
     "asof_sync": (asof_sync, ASOF_SQL),
+    "event_alignment": (event_alignment, None),
     "merge_frames_events": (merge_frames_events, MERGE_SQL),
     "update_from_stage": (update_from_stage, UPDATE_SQL),
     "schema_evolve_union": (schema_evolve_union, SCHEMA_SQL),
