@@ -188,7 +188,8 @@ SELECT match_id, period_id, block_id, start_frame, end_frame, frame, ball_status
 WHERE n >= 13 OR frame BETWEEN start_frame AND end_frame""")
 
 
-def _pair_metrics(spark, sf_dir):
+def measured_pairs(spark, sf_dir):
+    """All pairs of blocks with their metrics."""
     facts = stored(metrics.frame_facts(v.alive(spark, sf_dir), XG, CFG).drop("phase_home", "phase_away"))
     pairs = stored(_pair_columns(_pairs(spark, sf_dir)))
     by = [*PAIR_KEYS, "home_block_id", "away_block_id", "pair_start"]
@@ -200,7 +201,7 @@ METRIC_COLUMNS = [f"{s}_{m}" for s in ("home", "away") for m in ("xg", "possessi
 
 
 def pair_metrics(spark, sf_dir):
-    out = _pair_metrics(spark, sf_dir)
+    out = measured_pairs(spark, sf_dir)
     return out.select("match_id", "period_id", "home_block_id", "away_block_id", "n_frames", *[r6(c, c) for c in METRIC_COLUMNS])
 
 
@@ -238,7 +239,7 @@ PAIR_METRICS_SQL = with_views("fx_alive fx_blocks", PAIR_METRICS_CTE + "SELECT m
 
 
 def fvf_from_pairs(spark, sf_dir):
-    pairs = metrics.equal_strength(stored(_pair_metrics(spark, sf_dir)))
+    pairs = metrics.equal_strength(stored(measured_pairs(spark, sf_dir)))
     out = metrics.matchups(pairs, ["provider", "phase_home", "phase_away", "home_form", "away_form"])
     skip = ["provider", "phase_home", "phase_away", "home_form", "away_form", "pairs"]
     return out.select(*skip, *[r6(c, c) for c in out.columns if c not in skip])

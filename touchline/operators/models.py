@@ -4,22 +4,14 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import CountVectorizerModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.config import NEGATIVE_METRICS, POSITIVE_METRICS
 from touchline.functions.threat import shot_angle, shot_distance
-from touchline.operators.metrics import equal_strength, robust_minmax
 from touchline.operators.rasters import CHANNELS, coarse_zones
 
-# The inverse penalties tried for the strength model and its smallest training set.
-PENALTIES = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
-MIN_ROWS = 50
-
 
 def shot_features(shots: DataFrame, x: str = "coordinates_x", y: str = "coordinates_y") -> DataFrame:
     """Add distance and angle of shots in corner-origin metres; shots without a place go."""
@@ -50,39 +42,6 @@ def score_xg(model: PipelineModel, shots: DataFrame) -> DataFrame:
     return scored.withColumn("xg", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
-def ml_strength(pairs: DataFrame, min_rows: int = MIN_ROWS, seed: int = 42, parallelism: int = 4) -> DataFrame:
-    """Add ``home_strength_ml`` and ``away_strength_ml``: probability that home creates more than away.
-
-    Features are differences of scaled metrics; the penalty is chosen by five-fold AUC. Too few rows or one class
-    only fall back to the equal-weight strength. ``pairs`` is read many times, so pass a written table.
-    """
-    names = [m for m in POSITIVE_METRICS + NEGATIVE_METRICS if f"home_{m}" in pairs.columns and f"away_{m}" in pairs.columns]
-    columns = [f"{s}_{m}" for s in ("home", "away") for m in names]
-    scaled = robust_minmax(pairs, columns)
-    sign = {m: 1.0 if m in POSITIVE_METRICS else -1.0 for m in names}
-    diffs = {
-        f"_d_{m}": F.coalesce(sign[m] * (F.col(f"home_{m}_scaled") - F.col(f"away_{m}_scaled")), F.lit(0.0)) for m in names
-    }
-    better = F.coalesce(F.col("home_xg") - F.col("away_xg"), F.lit(0.0)) > 0
-    data = scaled.withColumns(diffs).withColumn("_label", better.cast("double"))
-    row = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_label").alias("k")).first()
-    scratch = [*diffs, "_label", *[f"{c}_scaled" for c in columns]]
-    if row.n < min_rows or row.k < 2:
-        out = equal_strength(pairs)
-        return out.withColumns({"home_strength_ml": F.col("home_strength_eq"), "away_strength_ml": 1.0 - F.col("home_strength_eq")})
-    assembler = VectorAssembler(inputCols=list(diffs), outputCol="_raw")
-    scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)
-    model = LogisticRegression(featuresCol="_features", labelCol="_label", probabilityCol="_prob", predictionCol="_pred", rawPredictionCol="_margin", standardization=False)
-    grid = ParamGridBuilder().addGrid(model.regParam, [1.0 / (c * row.n) for c in PENALTIES]).build()
-    search = CrossValidator(
-        estimator=model, estimatorParamMaps=grid, numFolds=5, seed=seed, parallelism=parallelism,
-        evaluator=BinaryClassificationEvaluator(labelCol="_label", rawPredictionCol="_margin"),
-    )
-    prepared = Pipeline(stages=[assembler, scaler]).fit(data).transform(data)
-    scored = search.fit(prepared).transform(prepared).withColumn("home_strength_ml", vector_to_array("_prob")[1])
-    return scored.withColumn("away_strength_ml", 1.0 - F.col("home_strength_ml")).drop(*scratch, "_raw", "_features", "_prob", "_pred", "_margin")
-
-
 def fit_phase_classifier(rasters: DataFrame, label: str, cells: str = "cells", columns: int = 7, rows: int = 4) -> PipelineModel:
     """Multinomial phase model on occupied cells per coarse pitch zone of each raster."""
     data = zone_features(rasters, cells, columns, rows)

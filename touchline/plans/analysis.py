@@ -30,7 +30,7 @@ from touchline.functions.coords import to_metres
 from touchline.functions.shapes import canonical_outfield, centred, chain_order
 from touchline.operators import blocks as bl
 from touchline.operators import formations as fm
-from touchline.operators import joins, masks, metrics
+from touchline.operators import joins, masks, metrics, strengths
 from touchline.operators.sequences import number_rows
 from touchline.session import stored
 from touchline.sources.layouts import positions
@@ -181,8 +181,8 @@ def pair_metrics(
 
 
 def matchup_table(measured: DataFrame) -> DataFrame:
-    """Formation-versus-formation means over all pairs; NULL formations and phases are groups of their own."""
-    rated = metrics.equal_strength(measured)
+    """Formation-versus-formation means over all pairs, with both strengths; NULL formations and phases are groups."""
+    rated = strengths.ml_strength(stored(metrics.equal_strength(measured)), PAIR)
     return metrics.matchups(rated, ["provider", "phase_home", "phase_away", "home_form", "away_form"])
 
 
