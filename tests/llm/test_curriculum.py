@@ -78,3 +78,30 @@ def test_training_order_follows_the_ramps(spark):
     assert early["a"] == pytest.approx(0.6, abs=0.01) and early["b"] == pytest.approx(0.5, abs=0.01) and early["c"] == pytest.approx(0.4, abs=0.01)
     got = [r.time for r in out.collect()]
     assert got == sorted(got)
+
+
+def test_columns_named_like_its_own(spark):
+    """Scratch names pass through, names of outputs are replaced, and nothing else changes."""
+    rows = [(i, "ab"[i % 2], 5 + i) for i in range(30)]
+    plain = curriculum.positions(stored_frame(spark, rows, "doc_id long, source string, size long"))
+    clash = "rows string, begins string, ramp_from string, target string, source_size string, weight string, taken string, time string, _copies string, `value.x` string"
+    names = [c.split(" ")[0].strip("`") for c in clash.split(", ")]
+    odd = curriculum.positions(stored_frame(spark, [(*r, *["kept"] * len(names)) for r in rows], f"doc_id long, source string, size long, {clash}"))
+    own = ["source_size", "weight", "target", "times", "taken"]
+    assert {r.doc_id: tuple(r[c] for c in own) for r in plain.collect()} == {r.doc_id: tuple(r[c] for c in own) for r in odd.collect()}
+    assert len(odd.columns) == len(set(odd.columns)) and {r["value.x"] for r in odd.collect()} == {r["begins"] for r in odd.collect()} == {"kept"}
+    assert curriculum.in_training_order(odd).count() == sum(r.taken // r["size"] for r in plain.collect())
+
+
+def stored_frame(spark, rows, schema):
+    from touchline.session import stored
+
+    return stored(spark.createDataFrame(rows, schema))
+
+
+def test_bitmap_columns_named_like_its_own(spark):
+    from touchline.llm import lines
+
+    rows = [(i, "same line\nown %d" % i, "x", "y", "z") for i in range(12)]
+    out = lines.with_bitmaps(spark.createDataFrame(rows, "doc_id long, text string, keep string, n_lines string, text_h1 string"), 10)
+    assert len(out.columns) == len(set(out.columns)) and {(r.n_lines, r.n_dropped) for r in out.collect()} == {(2, 1)}

@@ -69,3 +69,87 @@ def test_odd_rows(spark, model):
     one = toxicity.fit(["a", "b"], [0, 0])
     assert toxicity.score_text("anything", one, {}) == pytest.approx(0.25)
     assert toxicity.fit([], []).bias == 0.0
+
+
+def plain_fit(texts, y, steps, seed=7):
+    """The same model with a dense table, one document and one word at a time, and Adam written out."""
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    vectors, softmax, bias = np.zeros((toxicity.BUCKETS, toxicity.DIMENSIONS)), rng.normal(0, 0.5, (toxicity.DIMENSIONS, 2)), np.zeros(2)
+
+    def features(text):
+        """Weight of every bucket in a document's vector."""
+        counts, out, total = toxicity.bag(text), {}, 0.0
+        for word, n in counts.items():
+            for b in toxicity.buckets_of(word):
+                out[b] = out.get(b, 0.0) + math.sqrt(n)
+                total += math.sqrt(n)
+        return {b: toxicity.SCALE * w / max(total, 1.0) for b, w in out.items()}
+
+    def loss_and_gradients(rows, vectors, softmax, bias):
+        gv, gs, gb, loss = np.zeros_like(vectors), np.zeros_like(softmax), np.zeros_like(bias), 0.0
+        for r in rows:
+            x = features(texts[r])
+            mean = sum((w * vectors[b] for b, w in x.items()), np.zeros(toxicity.DIMENSIONS))
+            z = mean @ softmax + bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            loss -= math.log(p[y[r]]) / len(rows)
+            d = (p - np.eye(2)[y[r]]) / len(rows)
+            for b, w in x.items():
+                gv[b] += w * (softmax @ d)
+            gs += np.outer(mean, d)
+            gb += d
+        return loss, (gv, gs, gb)
+
+    state = [vectors, softmax, bias]
+    m, v = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
+    order, at = rng.permutation(len(y)), 0
+    for step in range(1, steps + 1):
+        if at >= len(y):
+            order, at = rng.permutation(len(y)), 0
+        rows, at = order[at : at + toxicity.BATCH], at + toxicity.BATCH
+        _, gradients = loss_and_gradients(rows, *state)
+        for k, g in enumerate(gradients):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.99 * v[k] + 0.01 * g * g
+            state[k] = state[k] - toxicity.RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+    return state, features, loss_and_gradients
+
+
+def test_training_and_scores_equal_a_plain_version(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "STEPS", 7)
+    monkeypatch.setattr(toxicity, "BATCH", 16)
+    monkeypatch.setattr(toxicity, "BUCKETS", 512)
+    monkeypatch.setattr(toxicity, "buckets_of", lambda word, buckets=512, own=toxicity.buckets_of: own(word, 512))
+    rows = made(5, 60) + [(90, "", 1), (91, "river river river", 0)]
+    texts, y = [t for _, t, _ in rows], [k for *_, k in rows]
+    model = toxicity.fit(texts, y)
+    (vectors, softmax, bias), features, loss_and_gradients = plain_fit(texts, y, 7)
+    pull = vectors @ softmax
+    assert np.allclose(model.pull, pull[:, 1] - pull[:, 0], atol=1e-6) and model.bias == pytest.approx(bias[1] - bias[0], abs=1e-6)
+    for text in [*texts[:20], "", None, "numbskulll rivers"]:
+        mean = sum((w * vectors[b] for b, w in features(text or "").items()), np.zeros(toxicity.DIMENSIONS))
+        z = mean @ softmax + bias
+        assert toxicity.score_text(text, model, {}) == pytest.approx(1 / (1 + np.exp(z[0] - z[1])), abs=1e-6)
+    # the gradients of the plain version are those of its loss
+    rnd = np.random.default_rng(1)
+    state = [rnd.normal(0, 0.1, s.shape) for s in (vectors, softmax, bias)]
+    _, gradients = loss_and_gradients(range(12), *state)
+    for k, place in ((0, (next(iter(features(texts[0]))), 3)), (1, (2, 1)), (2, (0,))):
+        ends = []
+        for step in (1e-5, -1e-5):
+            moved = [s.copy() for s in state]
+            moved[k][place] += step
+            ends.append(loss_and_gradients(range(12), *moved)[0])
+        assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(gradients[k][place], rel=1e-4, abs=1e-8)
+
+
+def test_a_column_named_score_is_replaced(spark, model):
+    docs = spark.createDataFrame([(1, "river", 9.0)], "doc_id long, text string, score double")
+    out = toxicity.with_scores(docs, model)
+    assert out.columns == ["doc_id", "text", "score"] and out.first().score == pytest.approx(toxicity.score_text("river", model, {}))

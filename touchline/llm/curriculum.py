@@ -28,6 +28,10 @@ CAP = 3
 RAMPS = ((1.4, 0.6), (1.0, 1.0), (0.6, 1.4))
 
 
+# the columns that ``positions`` and ``in_training_order`` add
+OUTPUTS = ("source_size", "weight", "target", "times", "taken", "time")
+
+
 def word_count(text: "Column | str") -> Column:
     """Number of runs of anything but ASCII white space; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -90,9 +94,14 @@ def stream_places(sized: DataFrame, sources: DataFrame, bucket_rows: int = BUCKE
 def positions(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, ramps: tuple[tuple[float, float], ...] = RAMPS) -> DataFrame:
     """``docs`` (with ``doc_id``, ``source``, ``size``) with target, copies taken and the training time of each copy.
 
+    Other columns pass through whatever their names; those named like an output (``OUTPUTS``) are replaced by it.
+
     A copy is taken if its middle lies before the source's target, so a source misses its target by half a document at
     most, and never more than ``cap`` copies.
     """
+    # other columns travel in one struct, out of the way of the names used here
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "size", *OUTPUTS)]
+    docs = docs.select("doc_id", "source", "size", *([F.struct(*[F.col(f"`{c}`") for c in others]).alias("_others")] if others else []))
     sources = stored(targets(weighted_sources(docs, weights, ramps), cap))
     placed = stream_places(docs, sources)
     middle = F.col("begins") + F.col("size") / 2
@@ -104,7 +113,8 @@ def positions(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHT
         lambda k: F.when(F.col("target") > 0, demand_time(share(k), F.col("ramp_from"), F.col("ramp_to"))).otherwise(0.0),
     )
     out = placed.withColumn("_copies", copies).withColumn("times", time).withColumn("taken", F.col("_copies") * F.col("size"))
-    return out.drop("_copies", "rows", "ramp_from", "ramp_to", "begins")
+    out = out.drop("_copies", "rows", "ramp_from", "ramp_to", "begins")
+    return out.select("doc_id", "source", "size", *(["_others.*"] if others else []), *[c for c in OUTPUTS if c in out.columns])
 
 
 def in_training_order(placed: DataFrame) -> DataFrame:

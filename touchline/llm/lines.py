@@ -4,7 +4,7 @@ Lines become narrow rows (hash, document, position). These are range-partitioned
 the secondary sort key, so a hash that a third of all lines share spreads over as many ranges as it needs. Each range is
 streamed once into the first occurrence and the document count of every hash; only these summaries, one row per hash and
 range, meet by hash. The decision goes back as a compressed keep bitmap per document: 64-line words, of which only those
-that drop a line are kept. Texts never move for it.
+that drop a line are kept. Texts do not move to find them; they are shuffled once, to meet large tables of bitmaps.
 
 Documents are the distinct pairs of id and text: equal rows are one document and share its decision. A null text is
 empty; an empty text is one empty line. Keys shorter than ``min_chars`` are never counted and always stay. Extra columns
@@ -71,7 +71,10 @@ def keep_bitmaps(dropped: DataFrame) -> DataFrame:
 
 
 def with_bitmaps(docs: DataFrame, min_documents: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
-    """``docs`` with ``n_lines``, ``n_dropped`` and the bitmap ``keep`` (null: every line stays)."""
+    """``docs`` with ``n_lines``, ``n_dropped`` and the bitmap ``keep`` (null: every line stays).
+
+    Other columns pass through; those with these names, ``text_h1`` or ``text_h2`` are replaced."""
+    docs = docs.drop("n_lines", "n_dropped", "keep", *IDENTITY[1:])
     lines = stored(line_hashes(docs, min_chars))
     bitmaps = keep_bitmaps(dropped_lines(lines, min_documents, keep)).withColumnsRenamed({c: f"_{c}" for c in IDENTITY})
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY]

@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``; the other columns pass through as Arrow data."""
+    """``docs`` with ``score``; the other columns pass through as Arrow data, one named ``score`` is replaced."""
+    docs = docs.drop("score")
     schema = docs.select("*", F.lit(0.0).alias("score")).schema
     at, names = docs.columns.index("text"), [*docs.columns, "score"]
 
