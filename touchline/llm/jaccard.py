@@ -35,17 +35,18 @@ from touchline.session import compute_partitions, stored
 SHINGLE_WORDS = 5
 # The similarity is a fraction, so sizes are compared in whole numbers.
 SIMILAR = (4, 5)
-BITS_APART = 3
+BITS_APART = 2
 SAMPLE_DOCUMENTS = 20_000
 COMMON = 4
 COMMON_SHINGLES = 200_000
-BUCKET_ROWS = 400_000
+BUCKET_ROWS = 200_000
 PAIRS_IN_BUCKET = 500
 HEAD_PAIRS = 64
-SLICE_BYTES = 16_000_000
-WINDOW_BYTES = 2_000_000
-KEPT_HASHES = 2_000_000
-KEPT_CLASSES = 500_000
+SLICE_BYTES = 2_000_000
+WINDOW_BYTES = 1_000_000
+KEPT_HASHES = 1_000_000
+KEPT_CLASSES = 100_000
+ROWS_AT_ONCE = 1_000
 KINDS = byte_kinds("", WHITE_SPACE)
 
 
@@ -134,7 +135,7 @@ def sketch_distance(x: np.ndarray, y: np.ndarray) -> int:
 def _new_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of classes that a task has not met before, as far as it remembers."""
     met: set[int] = set()
-    for batch in batches:
+    for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
         new = []
         for i, c in enumerate(batch.column(0).to_pylist()):
             if c not in met:
@@ -212,7 +213,7 @@ def _distinct(pairs: list[np.ndarray]) -> np.ndarray:
     return both[np.r_[True, (both[1:] != both[:-1]).any(axis=1)]] if len(both) else both
 
 
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 500_000
 
 
 def close_lists(rows: pa.Table, first: bool, similar: tuple[int, int] = SIMILAR) -> pa.Table:

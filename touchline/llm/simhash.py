@@ -29,7 +29,7 @@ SHINGLE_WORDS = 3
 BITS_APART = 2
 NODE_CLASSES = 32_768
 STEP_BITS = 4
-FRONTIER = 400_000
+FRONTIER = 100_000
 
 
 def shingle_fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
