@@ -24,7 +24,7 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n, (_, sql) in REGISTRY.items() if sql is None} == {"analysis_matchups", "analysis_pairs", "analysis_templates", "block_clusters", "event_alignment", "phase_classifier", "strength_ml"}
+    assert {n for n, (_, sql) in REGISTRY.items() if sql is None} == {"analysis_matchups", "analysis_pairs", "analysis_templates", "event_alignment", "phase_classifier", "strength_ml"}
 
 
 def test_entry(spark):

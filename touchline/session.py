@@ -67,7 +67,19 @@ def stored(df: DataFrame) -> DataFrame:
     ``spark.sql.autoBroadcastJoinThreshold`` and the rows it meets stay where they are; a larger one is joined by
     shuffling both sides.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(shared_table(df))
+    path = shared_table(df)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` gave back, when nothing will read them again."""
+    for df in tables:
+        path, spark = df._stored_at, df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(path)
 
 
 def compute_partitions(spark: SparkSession) -> int:
