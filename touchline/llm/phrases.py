@@ -1,15 +1,15 @@
 """Phrase collocations mined by partitioning: shards first, each completely, then the whole corpus exactly.
 
-Tasks form ``SHARDS`` shards. A phrase with ``min_count`` occurrences among a language's words has at least its share of
+Runs of ``RUN_ROWS`` documents are dealt to ``SHARDS`` shards. A phrase with ``min_count`` occurrences among a language's words has at least its share of
 them, ``min_count * words of the shard / words of the language``, in one shard or more; each shard therefore finds all of
 its phrases with that many occurrences. Phrases grow by length: a longer phrase is counted only where all its words, then
 all its word pairs, were frequent in some shard. The number of shards doesn't grow, as the lowered support would fall under
 one occurrence; a shard is mined by as many tasks as it is large, which meet by hash ranges of its phrases. There, phrases
 are 64-bit hashes in packed arrays. What was frequent somewhere is passed on as a bitmap over hashes of at most
-``MOST_BITS`` bits: bits that others set too cost work, not exactness.
+2^28 bits: bits that others set too cost work, not exactness.
 
-Then a last pass counts the occurrences of all candidates by their text over all documents, which decides, and is scored
-with joins on the phrases' parts. Arithmetic is in decimals of 38 digits.
+Then a pass over all documents counts all candidates, by hash, and a last one counts what is left by its text, which
+decides. Scores come from joins on the phrases' parts. Arithmetic is in decimals of 38 digits.
 
 Defined results: a null text is empty; a null language is ``und``; texts of any length are read in windows that end where
 pieces end; repeated rows count each; an empty table gives no rows. Extra columns do not take part.
@@ -27,164 +27,69 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.llm.common import CAPITALS, table
-from touchline.session import stored
+from touchline.llm.common import table
+from touchline.llm.wordscan import Bitmap, Words, bitmap, byte_kinds, summed, windows
+from touchline.session import discard, stored
 
 MIN_COUNT = 100
 LONGEST = 5
 TOP = 2000
 CONTAINED_PERCENT = 100
 SHARDS = 25
-WINDOW_BYTES = 2_000_000
-KEPT_ENTRIES = 3_000_000
-KEPT_PHRASES = 400_000
+SHARD_BITS = 3
+RUN_ROWS = 1024
+WINDOW_BYTES = 1_000_000
+KEPT_ENTRIES = 1_500_000
+KEPT_PHRASES = 150_000
 GROUP_BYTES = 32_000_000
-LEAST_BITS, MOST_BITS = 16, 28
 
 # The characters that end a piece, and those that end a word inside it.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
 BLANKS = " \t"
 
-KIND = np.zeros(256, np.uint8)
-KIND[[ord(c) for c in BLANKS]] = 1
-KIND[[ord(c) for c in PIECE_ENDS]] = 2
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[[ord(c) for c in CAPITALS]] += 32
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Spread the bits of 64-bit numbers."""
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
-
-
-class Words:
-    """Lower-cased words of one window: where they begin and end, their pieces, and hashes of the words."""
-
-    # two independent hashes: factors that have an inverse, and a number per byte
-    FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, hashes: int = 1):
-        self.low = LOWER[data]
-        kind = KIND[data]
-        word = kind == 0
-        starts = starts[starts < len(data)]
-        first, last = word.copy(), word.copy()
-        first[1:] &= ~word[:-1]
-        last[:-1] &= ~word[1:]
-        first[starts] = word[starts]
-        last[starts[starts > 0] - 1] = word[starts[starts > 0] - 1]
-        self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        breaks = (kind == 2).astype(np.int64)
-        breaks[starts] += 1
-        self.piece = np.cumsum(breaks)[self.begin]
-        self.hashes = [self._hash(f) for f in self.FACTORS[:hashes]]
-
-    def _hash(self, factor: int) -> np.ndarray:
-        value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor))
-        powers = np.full(len(self.low), factor, np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[self.low] * np.cumprod(powers))])
-        back = np.cumprod(np.full(len(self.low), pow(factor, -1, 1 << 64), np.uint64))
-        return mix((total[self.end] - total[self.begin]) * back[self.begin])
-
-    def grams(self, longest: int, seed: int, which: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per length: a hash at every word that has a next one so far on, and whether the phrase lies in one piece."""
-        word = self.hashes[which]
-        h = mix(word + np.uint64(seed))
-        inside = np.ones(len(word), bool)
-        for k in range(1, longest + 1):
-            if k > 1:
-                if len(word) < k:
-                    return
-                h = mix(h[:-1] * np.uint64(self.FACTORS[1]) + word[k - 1 :])
-                inside = self.piece[k - 1 :] == self.piece[: len(word) - k + 1]
-            yield k, h, inside
+KIND = byte_kinds(BLANKS, PIECE_ENDS)
 
 
 def seed_of(lang: str) -> int:
     return int.from_bytes(hashlib.sha256(lang.encode()).digest()[:8], "little")
 
 
-def _windows(texts: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Bytes and starts of texts, in windows of about ``most`` bytes that end where a piece ends."""
-    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
-    at, end = int(offsets[0]), int(offsets[-1])
-    while at < end:
-        stop = end
-        if end - at > most:
-            stop = int(offsets[np.searchsorted(offsets, at + most, "right") - 1])
-            if stop <= at:  # one text is longer than a window
-                own = int(offsets[np.searchsorted(offsets, at, "right")])
-                stop, size = own, most
-                while at + size < own:
-                    ends = np.flatnonzero(KIND[data[at : at + size]] == 2)
-                    if len(ends):
-                        stop = at + int(ends[-1]) + 1
-                        break
-                    size *= 2
-        inner = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, stop)]
-        yield data[at:stop], np.unique(np.r_[0, inner - at])
-        at = stop
-
-
-def windows_by_language(batch: pa.RecordBatch, most: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Windows of a batch with the columns text and lang, both without nulls."""
-    import pyarrow.compute as pc
-
-    text, lang = batch.column(0), batch.column(1)
-    for name in pc.unique(lang).to_pylist():
-        own = text.filter(pc.equal(lang, name))
-        for data, starts in _windows(own, most):
-            yield name, data, starts
-
-
-def summed(hashes: "list[np.ndarray]", counts: "list[np.ndarray]") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes with their summed counts."""
-    h, n = np.concatenate(hashes), np.concatenate(counts)
-    order = np.argsort(h)
-    h = h[order]
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-    return h[first], np.add.reduceat(n[order], first) if len(h) else n
-
-
-class Bitmap:
-    """Which hashes may belong to a set, by their leading bits."""
+def windows_by_language(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """Windows of the columns text and lang, both without nulls, after the number of the run of rows that they belong to.
 
-    def __init__(self, bits: int, pages: "list[tuple[int, bytes]]"):
-        self.shift, self.bits = np.uint64(64 - bits), np.zeros(1 << max(bits - 3, 0), np.uint8)
-        for page, body in pages:
-            self.bits[page * len(body) : (page + 1) * len(body)] = np.frombuffer(body, np.uint8)
-
-    def __contains__(self, _):
-        raise TypeError("ask for arrays with has()")
+    ``part`` is the task, so runs of different tasks begin at different numbers."""
+    import pyarrow.compute as pc
 
-    def has(self, h: np.ndarray) -> np.ndarray:
-        at = h >> self.shift
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    number = None
+    for batch in batches:
+        for at in range(0, batch.num_rows, RUN_ROWS):
+            rows = batch.slice(at, RUN_ROWS)
+            number = rows.column(2)[0].as_py() if number is None else number + 1
+            text, lang = rows.column(0), rows.column(1)
+            for name in pc.unique(lang).to_pylist():
+                for _, data, starts in windows(text.filter(pc.equal(lang, name)), most, KIND):
+                    yield number, name, data, starts
 
 
-PAGE_BITS = 16
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.spark_partition_id().alias("part"))
 
 
-def bitmap(hashes: DataFrame) -> Bitmap:
-    """The bitmap of a stored column ``hash``: 16 bits and more per hash up to ``MOST_BITS`` in all, which bounds it."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (16 * hashes.count()).bit_length()))
+def packed(h: np.ndarray) -> bytes:
+    """The leading 48 bits of hashes, 6 bytes each: enough to keep phrases apart, but for a few that cost work only."""
+    return np.ascontiguousarray((h >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-    def page(rows: pa.Table) -> pa.Table:
-        at = rows.column("hash").to_numpy().astype(np.uint64) >> np.uint64(64 - bits)
-        set_ = np.zeros(1 << PAGE_BITS, bool)
-        set_[(at & np.uint64((1 << PAGE_BITS) - 1)).astype(np.int64)] = True
-        return pa.table({"page": [int(at[0]) >> PAGE_BITS], "body": pa.array([np.packbits(set_, bitorder="little").tobytes()], pa.binary())})
 
-    key = F.shiftrightunsigned("hash", 64 - bits + PAGE_BITS) if bits > PAGE_BITS else F.lit(0).cast("long")
-    pages = hashes.select("hash", key.alias("page")).groupBy("page").applyInArrow(page, "page long, body binary")
-    return Bitmap(bits, [(r.page, bytes(r.body)) for r in pages.collect()])  # 8 kB each, 32 MB in all
+def unpacked(body: bytes) -> np.ndarray:
+    out = np.zeros((len(body) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), (F.spark_partition_id() % SHARDS).alias("shard"))
+def merged(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of packed rows and their summed counts."""
+    counts = [np.frombuffer(b, np.uint32).astype(np.int64) for b in rows.column("counts").to_pylist()]
+    return summed([unpacked(b) for b in rows.column("hashes").to_pylist()], counts)
 
 
 def local_counts(docs: DataFrame, lengths: range, words: "Bitmap | None", pairs: "Bitmap | None", part_bits: int) -> DataFrame:
@@ -193,48 +98,46 @@ def local_counts(docs: DataFrame, lengths: range, words: "Bitmap | None", pairs:
     words, pairs = (spark.sparkContext.broadcast(b) if b is not None else None for b in (words, pairs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, read, shard = defaultdict(lambda: ([], [])), defaultdict(int), 0
+        kept, read = defaultdict(lambda: ([], [])), defaultdict(int)
+
+        def entries() -> int:
+            return sum(len(h) for hs, _ in kept.values() for h in hs)
 
         def emitted() -> pa.RecordBatch:
             rows = []
-            for lang in read:
-                h, n = summed(*kept[lang]) if kept[lang][0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                cuts = np.searchsorted(h, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)) if part_bits else []
-                for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(h)])):
+            for lang, shard in read:
+                h, n = summed(*kept[lang, shard]) if kept[lang, shard][0] else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                for p, a, b in cut_by_range(h, part_bits):
                     if b > a or not p:
-                        rows.append((lang, shard, p, read[lang] if not p else 0, h[a:b].tobytes(), n[a:b].astype("<u4").tobytes()))
+                        rows.append((lang, shard, p, read[lang, shard] if not p else 0, packed(h[a:b]), n[a:b].astype("<u4").tobytes()))
             kept.clear(), read.clear()
             kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["lang", "shard", "part", "words", "hashes", "counts"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shard = batch.column(2)[0].as_py()
-            for lang, data, starts in windows_by_language(batch, WINDOW_BYTES):
-                found = Words(data, starts)
-                read[lang] += len(found.begin)
-                known = single = None
-                for k, h, inside in found.grams(lengths[-1], seed_of(lang)):
-                    if k == 1 and words is not None:
-                        single = words.value.has(h)
-                    if k == 2:
-                        known = inside & single[1:] & single[:-1] if single is not None else inside
-                        known = known & pairs.value.has(h) if pairs is not None else known
-                    if k in lengths:
-                        ok = inside
-                        if k > 1:
-                            ok = ok.copy()
-                            for j in range(k - 1):
-                                ok &= known[j : len(known) - k + 2 + j]
-                        one, n = np.unique(h[ok], return_counts=True)
-                        kept[lang][0].append(one)
-                        kept[lang][1].append(n)
-            if sum(len(h) for hs, _ in kept.values() for h in hs) > KEPT_ENTRIES:
-                for lang in kept:
-                    h, n = summed(*kept[lang])
-                    kept[lang] = ([h], [n])
-                if sum(len(h) for hs, _ in kept.values() for h in hs) > KEPT_ENTRIES // 2:
+        for number, lang, data, starts in windows_by_language(batches, WINDOW_BYTES):
+            found, key = Words(data, starts, KIND), (lang, number % SHARDS)
+            read[key] += len(found.begin)
+            known = single = None
+            for k, h, inside in found.grams(lengths[-1], seed_of(lang)):
+                if k == 1 and words is not None:
+                    single = words.value.has(h)
+                if k == 2:
+                    known = inside & single[1:] & single[:-1] if single is not None else inside
+                    known = known & pairs.value.has(h) if pairs is not None else known
+                if k in lengths:
+                    ok = inside
+                    if k > 1:
+                        ok = ok.copy()
+                        for j in range(k - 1):
+                            ok &= known[j : len(known) - k + 2 + j]
+                    one, n = np.unique(h[ok], return_counts=True)
+                    kept[key][0].append(one)
+                    kept[key][1].append(n)
+            if entries() > KEPT_ENTRIES:
+                for name in kept:
+                    h, n = summed(*kept[name])
+                    kept[name] = ([h], [n])
+                if entries() > KEPT_ENTRIES // 2:
                     yield emitted()
         if read:
             yield emitted()
@@ -249,8 +152,7 @@ def locally_frequent(blocks: DataFrame, min_count: int) -> DataFrame:
     support = stored(words.join(total, "lang"))
 
     def merge(rows: pa.Table) -> pa.Table:
-        h, n = ([np.frombuffer(b, kind) for b in rows.column(c).to_pylist()] for c, kind in (("hashes", np.uint64), ("counts", np.uint32)))
-        h, n = summed(h, [x.astype(np.int64) for x in n])
+        h, n = merged(rows)
         least = -(-min_count * rows.column("shard_words")[0].as_py() // max(rows.column("lang_words")[0].as_py(), 1))
         return pa.table({"hash": h[n >= least].astype(np.int64)})
 
@@ -258,10 +160,50 @@ def locally_frequent(blocks: DataFrame, min_count: int) -> DataFrame:
     return found.distinct()
 
 
-def exact_counts(docs: DataFrame, candidates: Bitmap, longest: int) -> DataFrame:
-    """Occurrences of every phrase whose hash may be a candidate's: ``lang``, ``phrase``, ``n``."""
+def cut_by_range(h: np.ndarray, part_bits: int) -> "list[tuple[int, int, int]]":
+    """(part, begin, end) of every range of leading bits that sorted hashes have."""
+    cuts = np.searchsorted(h, np.arange(1, 1 << part_bits, dtype=np.uint64) << np.uint64(64 - part_bits)).tolist() if part_bits else []
+    return [(p, a, b) for p, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(h)]))]
+
+
+def globally_frequent(docs: DataFrame, candidates: Bitmap, longest: int, min_count: int, part_bits: int) -> DataFrame:
+    """``hash`` of the candidates with ``min_count`` occurrences in all documents."""
     held = docs.sparkSession.sparkContext.broadcast(candidates)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = [], []
+
+        def emitted() -> pa.RecordBatch:
+            rows = [(p, packed(hashes[0][a:b]), counts[0][a:b].astype("<u4").tobytes()) for p, a, b in cut_by_range(hashes[0], part_bits) if b > a]
+            hashes.clear(), counts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 3, (pa.int32(), pa.binary(), pa.binary()))], names=["part", "hashes", "counts"])
+
+        def merge() -> int:
+            h, n = summed(hashes, counts)
+            hashes[:], counts[:] = [h], [n]
+            return len(h)
+
+        for _, lang, data, starts in windows_by_language(batches, WINDOW_BYTES):
+            for _, h, inside in Words(data, starts, KIND).grams(longest, seed_of(lang)):
+                one, n = np.unique(h[inside & held.value.has(h)], return_counts=True)
+                hashes.append(one)
+                counts.append(n)
+            if sum(map(len, hashes)) > KEPT_ENTRIES and merge() > KEPT_ENTRIES // 2:
+                yield emitted()
+        if hashes and merge():
+            yield emitted()
+
+    def frequent(rows: pa.Table) -> pa.Table:
+        h, n = merged(rows)
+        return pa.table({"hash": h[n >= min_count].astype(np.int64)})
+
+    return _texts(docs).mapInArrow(run, "part int, hashes binary, counts binary").groupBy("part").applyInArrow(frequent, "hash long")
+
+
+def exact_counts(docs: DataFrame, frequent: Bitmap, longest: int) -> DataFrame:
+    """Occurrences of every phrase whose hash may be a frequent one's: ``lang``, ``phrase``, ``n``."""
+    held = docs.sparkSession.sparkContext.broadcast(frequent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, dict[bytes, int]] = defaultdict(dict)
 
@@ -271,23 +213,22 @@ def exact_counts(docs: DataFrame, candidates: Bitmap, longest: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), phrases, pa.array(list(counts.values()), pa.int64())], names=["lang", "phrase", "n"])
             kept.clear()
 
-        for batch in batches:
-            for lang, data, starts in windows_by_language(batch, WINDOW_BYTES):
-                found, counts = Words(data, starts, 2), kept[lang]
-                low, spaced = found.low.tobytes(), found.begin[1:] - found.end[:-1] == 1
-                spaced &= found.low[found.end[:-1]] == 32 if len(spaced) else True
-                for (k, h, inside), (_, other, _) in zip(found.grams(longest, seed_of(lang)), found.grams(longest, seed_of(lang), 1)):
-                    at = np.flatnonzero(inside & held.value.has(h))
-                    at = at[np.lexsort((other[at], h[at]))]
-                    new = np.flatnonzero(np.r_[True, (h[at][1:] != h[at][:-1]) | (other[at][1:] != other[at][:-1])]) if len(at) else at
-                    n = np.diff(np.r_[new, len(at)]).tolist()
-                    one = at[new]
-                    plain = np.ones(len(one), bool)
-                    for j in range(k - 1):
-                        plain &= spaced[one + j]
-                    for i, b, e, straight, m in zip(one.tolist(), found.begin[one].tolist(), found.end[one + k - 1].tolist(), plain.tolist(), n):
-                        phrase = low[b:e] if straight else b" ".join([low[found.begin[i + j] : found.end[i + j]] for j in range(k)])
-                        counts[phrase] = counts.get(phrase, 0) + m
+        for _, lang, data, starts in windows_by_language(batches, WINDOW_BYTES):
+            found, counts = Words(data, starts, KIND, 2), kept[lang]
+            low, spaced = found.low.tobytes(), found.begin[1:] - found.end[:-1] == 1
+            spaced &= found.low[found.end[:-1]] == 32 if len(spaced) else True
+            for (k, h, inside), (_, other, _) in zip(found.grams(longest, seed_of(lang)), found.grams(longest, seed_of(lang), 1)):
+                at = np.flatnonzero(inside & held.value.has(h))
+                at = at[np.lexsort((other[at], h[at]))]
+                new = np.flatnonzero(np.r_[True, (h[at][1:] != h[at][:-1]) | (other[at][1:] != other[at][:-1])]) if len(at) else at
+                n = np.diff(np.r_[new, len(at)]).tolist()
+                one = at[new]
+                plain = np.ones(len(one), bool)
+                for j in range(k - 1):
+                    plain &= spaced[one + j]
+                for i, b, e, straight, m in zip(one.tolist(), found.begin[one].tolist(), found.end[one + k - 1].tolist(), plain.tolist(), n):
+                    phrase = low[b:e] if straight else b" ".join([low[found.begin[i + j] : found.end[i + j]] for j in range(k)])
+                    counts[phrase] = counts.get(phrase, 0) + m
             if sum(map(len, kept.values())) > KEPT_PHRASES:
                 yield from emitted()
         yield from emitted()
@@ -326,14 +267,20 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     part_bits = max(0, (6 * size // (SHARDS * GROUP_BYTES)).bit_length())
     blocks = stored(local_counts(docs, range(1, 2), None, None, part_bits))
     words = stored(blocks.groupBy("lang").agg(F.sum("words").alias("n")))
-    singles = stored(locally_frequent(blocks, min_count))
+
+    def frequent_of(blocks: DataFrame) -> DataFrame:
+        out = stored(locally_frequent(blocks, min_count))
+        discard(blocks)
+        return out
+
+    singles = frequent_of(blocks)
     frequent_words = bitmap(singles)
-    pairs = stored(locally_frequent(stored(local_counts(docs, range(2, 3), frequent_words, None, part_bits)), min_count))
+    pairs = frequent_of(stored(local_counts(docs, range(2, 3), frequent_words, None, part_bits)))
     found = singles.unionByName(pairs)
     if longest > 2:
-        longer = local_counts(docs, range(3, longest + 1), frequent_words, bitmap(pairs), part_bits)
-        found = found.unionByName(stored(locally_frequent(stored(longer), min_count)))
-    counted = exact_counts(docs, bitmap(found), longest).where(F.col("n") >= min_count)
+        found = found.unionByName(frequent_of(stored(local_counts(docs, range(3, longest + 1), frequent_words, bitmap(pairs), part_bits))))
+    counted = stored(globally_frequent(docs, bitmap(found), longest, min_count, part_bits + SHARD_BITS))
+    counted = exact_counts(docs, bitmap(counted), longest).where(F.col("n") >= min_count)
     frequent = stored(counted.withColumn("k", F.size(F.split("phrase", " "))))
     return scored(frequent, words, top, contained_percent)
 

@@ -5,6 +5,7 @@ Also sets of such hashes: summed counts, and a bitmap of bounded size that says
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+@functools.lru_cache(maxsize=4)
+def _powers(factor: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a factor and of its inverse."""
+    return tuple(np.cumprod(np.full(n, f % (1 << 64), np.uint64)) for f in (factor, pow(factor, -1, 1 << 64)))
+
+
 class Words:
     """Lower-cased words of one window: where they begin and end, their pieces, and hashes of the words."""
 
@@ -52,16 +59,16 @@ class Words:
         first[starts] = word[starts]
         last[starts[starts > 0] - 1] = word[starts[starts > 0] - 1]
         self.begin, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        breaks = (kind == 2).astype(np.int64)
+        breaks = (kind == 2).astype(np.int32)
         breaks[starts] += 1
-        self.piece = np.cumsum(breaks)[self.begin]
+        self.piece = np.cumsum(breaks, dtype=np.int32)[self.begin]
         self.hashes = [self._hash(f) for f in self.FACTORS[:hashes]]
 
     def _hash(self, factor: int) -> np.ndarray:
         value = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(factor))
-        powers = np.full(len(self.low), factor, np.uint64)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[self.low] * np.cumprod(powers))])
-        back = np.cumprod(np.full(len(self.low), pow(factor, -1, 1 << 64), np.uint64))
+        powers, back = _powers(factor, 1 << max(len(self.low) - 1, 0).bit_length())
+        total = np.zeros(len(self.low) + 1, np.uint64)
+        np.cumsum(value[self.low] * powers[: len(self.low)], out=total[1:])
         return mix((total[self.end] - total[self.begin]) * back[self.begin])
 
     def grams(self, longest: int, seed: int, which: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
