@@ -30,7 +30,7 @@ CAPACITY = 4096
 GROUP_SEQUENCES = 256
 END_TOKEN = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-KEPT_WORDS = 400_000
+KEPT_WORDS = 150_000
 LONGEST_KEPT = 40
 
 
