@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,45 @@ def worker_memo(name: str, make):
     return kept[name]
 
 
+def let_go() -> None:
+    """Drop what operators keep in this Python worker, and give the memory it has freed back to the system."""
+    sys.modules.pop("_worker_memo", None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def lean(run):
+    """``run`` over the batches of a task, before and after which the worker lets go of memory it does not use.
+
+    Workers live on from stage to stage, several beside one executor, and what each still holds adds up.
+    """
+
+    @functools.wraps(run)
+    def over(batches):
+        let_go()
+        try:
+            yield from run(batches)
+        finally:
+            let_go()
+
+    return over
+
+
+def lean_group(run):
+    """``run`` over one group, after which the worker lets go of memory it does not use."""
+
+    @functools.wraps(run)
+    def over(rows):
+        try:
+            return run(rows)
+        finally:
+            let_go()
+
+    return over
+
+
 def hash128(*cols: "Column | str") -> list[Column]:
     """Two independent 64-bit hashes of the same columns."""
     return [F.xxhash64(*cols), F.xxhash64(F.lit(1), *cols)]

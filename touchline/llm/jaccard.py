@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import WHITE_SPACE
+from touchline.llm.common import WHITE_SPACE, lean, lean_group
 from touchline.llm.components import components
 from touchline.llm.simhash import class_links, cut_trie, fingerprints
 from touchline.llm.wordscan import Bitmap, Words, bitmap, byte_kinds, mix, summed, windows
@@ -100,7 +100,7 @@ def common_shingles(docs: DataFrame, words: int = SHINGLE_WORDS) -> tuple[np.nda
 
     one_in = -(-docs.count() // SAMPLE_DOCUMENTS) or 1
     sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= COMMON)
+    counts = sample.mapInArrow(lean(run), "h long").groupBy("h").count().where(F.col("count") >= COMMON)
     top = counts.orderBy(F.desc("count"), "h").limit(COMMON_SHINGLES).toArrow()
     h, n = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(h)
@@ -175,7 +175,7 @@ def repeated_shingles(texts: DataFrame, common: tuple[np.ndarray, np.ndarray], w
         h, n = summed(h, [x.astype(np.int64) for x in n])
         return pa.table({"hash": h[n > 1].view(np.int64)})
 
-    return texts.mapInArrow(run, "part int, hashes binary, counts binary").groupBy("part").applyInArrow(merge, "hash long")
+    return texts.mapInArrow(lean(run), "part int, hashes binary, counts binary").groupBy("part").applyInArrow(lean_group(merge), "hash long")
 
 
 def listed_classes(texts: DataFrame, repeated: Bitmap, common: tuple[np.ndarray, np.ndarray], words: int, similar: tuple[int, int]) -> DataFrame:
@@ -196,7 +196,7 @@ def listed_classes(texts: DataFrame, repeated: Bitmap, common: tuple[np.ndarray,
                 kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["cls", "n", "sketch", "at", "h"])
 
-    return texts.mapInArrow(run, "cls long, n int, sketch binary, at array<int>, h array<long>")
+    return texts.mapInArrow(lean(run), "cls long, n int, sketch binary, at array<int>, h array<long>")
 
 
 def _pairs(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ def list_pairs(listed: DataFrame, roots: DataFrame, first: bool, buckets: int, s
     rooted = listed.select("cls", "n", "at", "h").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     rows = rooted.select("cls", "n", "root", F.explode(F.arrays_zip("at", "h")).alias("x")).select("cls", "n", "root", "x.at", "x.h")
     met = rows.withColumn("bucket", F.pmod("h", F.lit(buckets))).groupBy("bucket")
-    return met.applyInArrow(lambda rows: close_lists(rows, first, similar), "a long, b long").distinct()
+    return met.applyInArrow(lean_group(lambda rows: close_lists(rows, first, similar)), "a long, b long").distinct()
 
 
 def may_be_similar(pairs: DataFrame, listed: DataFrame, similar: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -286,7 +286,7 @@ def may_be_similar(pairs: DataFrame, listed: DataFrame, similar: tuple[int, int]
             take = pa.array(kept, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take)], names=["a", "b"])
 
-    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(lean(run), "a long, b long")
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int] = SIMILAR, words: int = SHINGLE_WORDS) -> DataFrame:
@@ -300,7 +300,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int] =
     def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _new_classes(b.filter(pa.array(held.value.has(b.column(0).to_numpy().view(np.uint64)))) for b in batches)
 
-    found = texts.mapInArrow(wanted, "cls long, text string").groupBy("cls").agg(F.first("text").alias("text"))
+    found = texts.mapInArrow(lean(wanted), "cls long, text string").groupBy("cls").agg(F.first("text").alias("text"))
     buckets = max(1, -(-pairs.count() // PAIRS_IN_BUCKET))
     sized = pairs.join(pairs.groupBy("a").count(), "a")
     spread = F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), 1 + F.floor(F.col("count") / HEAD_PAIRS))), F.lit(buckets))
@@ -321,7 +321,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, similar: tuple[int, int] =
                     out.append((head, c))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    return found.join(asks, "cls").groupBy("bucket").applyInArrow(decide, "a long, b long")
+    return found.join(asks, "cls").groupBy("bucket").applyInArrow(lean_group(decide), "a long, b long")
 
 
 def print_pairs(texts: DataFrame, words: int = SHINGLE_WORDS, bits: int = BITS_APART) -> DataFrame:
