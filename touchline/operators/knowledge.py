@@ -98,28 +98,51 @@ def normalised(value: Column, window: Window) -> Column:
     return F.when(total <= 1e-12, 1.0 / F.count(F.lit(1)).over(window)).otherwise(positive / total)
 
 
+# What a list of counters is for: the phase and provider, the phase, the provider, or neither. Lists without a provider of
+# their own hold rows of no provider (PLAIN) or of any provider (NAMED).
+PHASE_PROVIDER, PHASE_PLAIN, PHASE_NAMED, PROVIDER, PLAIN, NAMED = range(6)
+LIST_KEYS = ["opponent_form", "_list", "_list_phase", "_list_provider"]
+
+
+def counter_lists(counters: DataFrame, limit: int = 12) -> DataFrame:
+    """The ``limit`` best counters per opponent form and list, by support, then name; rows are cut on the map side first.
+
+    A row is in one list per key it has, four at most, so a form that many rows counter has short lists all the same.
+    """
+    phase, provider = F.replace("edge_phase", F.lit(" "), F.lit("-")), F.col("edge_provider")
+    key = lambda kind, p, q: F.struct(F.lit(kind).alias("_list"), p.alias("_list_phase"), q.alias("_list_provider"))
+    any_ = F.lit("")
+    named = [key(PHASE_PROVIDER, phase, provider), key(PHASE_NAMED, phase, any_), key(PROVIDER, any_, provider), key(NAMED, any_, any_)]
+    plain = [key(PHASE_PLAIN, phase, any_), key(PLAIN, any_, any_)]
+    rows = counters.select(
+        F.col("opponent").alias("opponent_form"), "candidate", F.col("phase").alias("edge_phase"), F.col("provider").alias("edge_provider"), "support"
+    )
+    listed = rows.select("*", F.inline(F.when(provider.isNull(), F.array(*plain)).otherwise(F.array(*named)))).where("_list_phase IS NOT NULL")
+    order = Window.partitionBy(*LIST_KEYS).orderBy(F.col("support").desc(), "candidate", "edge_provider", "edge_phase")
+    return listed.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= limit).drop("_nth")
+
+
 def counter_options(contexts: DataFrame, counters: DataFrame, context: list[str], limit: int = 12, any_phase: bool = True) -> DataFrame:
     """COUNTERS rows that apply to each context, with fallback, ranked and cut to ``limit``.
 
     Contexts need ``provider`` (NULL for any), ``opponent_form`` and ``opponent_phase``. Tiers: same phase and
     provider, same phase, then (``any_phase``) same provider, then anything. A context uses its lowest tier that has
-    rows. One equality join on the opponent's formation serves all contexts at once.
+    rows, so it reads six lists of ``limit`` rows at most, whatever the number of counters of its opponent's form.
     """
-    c = contexts.withColumn("_phase", clean_phase("opponent_phase", underscores=True))
-    k = counters.select(
-        F.col("candidate"), F.col("opponent").alias("opponent_form"), F.col("phase").alias("edge_phase"), F.col("provider").alias("edge_provider"), "support"
-    )
-    same_phase = F.coalesce(F.replace("edge_phase", F.lit(" "), F.lit("-")) == F.col("_phase"), F.lit(False))
-    same_provider = F.col("provider").isNull() | F.col("edge_provider").isNull() | (F.col("edge_provider") == F.col("provider"))
-    tier = F.when(same_phase & same_provider, 1).when(same_phase, 2).when(same_provider, 3).otherwise(4)
-    joined = c.join(k, "opponent_form").withColumn("tier", tier)
-    if not any_phase:
-        joined = joined.where("tier <= 2")
+    phase, provider = clean_phase("opponent_phase", underscores=True), F.col("provider")
+    ask = lambda kind, tier, p, q: F.struct(F.lit(kind).alias("_list"), p.alias("_list_phase"), q.alias("_list_provider"), F.lit(tier).alias("tier"))
+    any_ = F.lit("")
+    own = [ask(PHASE_PROVIDER, 1, phase, provider), ask(PHASE_PLAIN, 1, phase, any_), ask(PHASE_NAMED, 2, phase, any_)]
+    own += [ask(PROVIDER, 3, any_, provider), ask(PLAIN, 3, any_, any_), ask(NAMED, 4, any_, any_)] * any_phase
+    free = [ask(PHASE_PLAIN, 1, phase, any_), ask(PHASE_NAMED, 1, phase, any_)]
+    free += [ask(PLAIN, 3, any_, any_), ask(NAMED, 3, any_, any_)] * any_phase
+    asked = contexts.select("*", F.inline(F.when(provider.isNull(), F.array(*free)).otherwise(F.array(*own))))
+    joined = asked.join(counter_lists(counters, limit), LIST_KEYS).drop("_list", "_list_phase", "_list_provider")
     rank = F.when(F.col("edge_provider") == F.col("provider"), 0).when(F.col("edge_provider").isNull(), 1).otherwise(2)
     w = Window.partitionBy(*context)
     ordered = w.orderBy("_rank", F.col("support").desc(), "candidate", "edge_provider", "edge_phase")
     best = joined.withColumn("_rank", rank).withColumn("_lowest", F.min("tier").over(w)).where("tier = _lowest")
-    return best.withColumn("position", F.row_number().over(ordered)).where(F.col("position") <= limit).drop("_rank", "_lowest", "_phase")
+    return best.withColumn("position", F.row_number().over(ordered)).where(F.col("position") <= limit).drop("_rank", "_lowest")
 
 
 def kg_prior(contexts: DataFrame, counters: DataFrame, context: list[str], limit: int = 12) -> DataFrame:
