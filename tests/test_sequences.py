@@ -150,6 +150,25 @@ def test_recovery_points(small_chunks, rows, df):
     assert got == want
 
 
+def test_recoveries_by_tag_or_team_id(small_chunks, spark, rows, df):
+    """Match ``b`` holds team ids, all others side tags; both are found without being told."""
+    ids = {"home": "T1", "away": "T2"}
+    known = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    poss = F.when(F.col("match_id") == "b", known[F.col("team_possession")]).otherwise(F.upper("team_possession"))
+    f = df.withColumns({"ball_x": F.lit(1.0), "ball_y": F.lit(1.0), "side": F.lit("clash"), "team_possession": poss})
+    teams = [(m, s, i) for m in ("a", "b") for s, i in ids.items()] + [("b", "home", "t1"), ("b", None, "T2"), ("b", "away", None)]
+    out = masks.recoveries(f, spark.createDataFrame(teams, "match_id string, side string, team_id string")).collect()
+    want = sorted((m, b[2], b[3]) for m, v in by_match(rows).items() for a, b in zip(v, v[1:]) if None not in (a[3], b[3]) and b[3] in ids and a[3] != b[3])
+    assert sorted((r.match_id, r.frame, r.side) for r in out) == want and any(m == "b" for m, *_ in want)
+
+
+def test_recoveries_of_nothing(spark, df):
+    f = df.withColumns({"ball_x": F.lit(1.0), "ball_y": F.lit(1.0)})
+    teams = spark.createDataFrame([], "match_id string, side string, team_id string")
+    assert masks.recoveries(f.where("false"), teams).collect() == []
+    assert masks.recoveries(f.withColumn("team_possession", F.lit(None).cast("string")), teams).collect() == []
+
+
 def test_running_max_and_next_order(small_chunks, spark):
     df = spark.createDataFrame([("k", i) for i in (0, 3, 4, 50, 51, 300)], "k string, o long")
     out = next_order(df, ["k"], "o", "n").orderBy("o").collect()

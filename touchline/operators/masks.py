@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from touchline.config import PAD_ROWS, PROVIDERS, WINDOW_FRAMES, ProviderConfig
 from touchline.functions.events import is_set_piece
+from touchline.functions.keys import join_keys
 from touchline.operators.sequences import core_rows, halo_window, running_max, with_halo
+from touchline.session import stored
 
 SEQUENCE = ["match_id", "period_id"]
 
@@ -141,6 +143,28 @@ def recovery_points(df: DataFrame, side: str, keys: list[str] = SEQUENCE, rn: st
     return core_rows(halo.where("_arrives").drop("_arrives")).where("ball_x IS NOT NULL AND ball_y IS NOT NULL")
 
 
+def recoveries(df: DataFrame, teams: DataFrame, match: str = "match_id", keys: list[str] = SEQUENCE, rn: str = "rn") -> DataFrame:
+    """Ball position at the rows where possession arrives at a side, with ``side``; ``teams`` has a match's ``side``, ``team_id``.
+
+    A match in which any row has the possession ``home`` or ``away`` is read by side tags, any other one by team ids, so the
+    caller need not know. All rows of a match decide, by one aggregate per match; tags and ids are compared in lower case.
+    Matches without a row in ``teams`` are read by tags only; a NULL side or id names nobody, and repeated rows of ``teams``
+    count once. The first row of a sequence and the first known value after an unknown one do not count. A column ``side``
+    of ``df`` is replaced.
+    """
+    tag = F.lower(F.col("team_possession").cast("string"))
+    tagged = df.groupBy(match).agg(F.coalesce(F.max(tag.isin("home", "away")), F.lit(False)).alias("_tagged"))
+    named = teams.select(match, F.lower("side").alias("side"), F.lower(F.col("team_id").cast("string")).alias("_name")).where("side IS NOT NULL AND _name IS NOT NULL")
+    by_id = join_keys(tagged.where("NOT _tagged"), named.distinct(), [match]).select(match, "side", "_name")
+    tags = F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(s).alias("_name")) for s in ("home", "away")]))
+    wanted = stored(by_id.unionByName(tagged.where("_tagged").select(match, tags)))
+    w = halo_window(keys, rn)
+    halo = with_halo(df.drop("side"), keys, rn, before=1)
+    halo = halo.withColumn("_moved", F.coalesce(F.col("team_possession") != F.lag("team_possession").over(w), F.lit(False)))
+    moved = core_rows(halo.where("_moved").drop("_moved")).where("ball_x IS NOT NULL AND ball_y IS NOT NULL")
+    return join_keys(moved.withColumn("_name", tag), wanted, [match, "_name"]).drop("_name")
+
+
 def first_per_key(df: DataFrame, key: list[str], order: list[str | Column]) -> DataFrame:
     """Keep the first row of each key; rows are cut to one per key on the map side before the shuffle."""
     w = Window.partitionBy(*key).orderBy(*order)
