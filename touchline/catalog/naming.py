@@ -136,39 +136,10 @@ SELECT side, label, CAST(role AS INTEGER) AS role, n_members, round(mu_x, 4) + 0
 
 
 def block_clusters(spark, sf_dir):
-    out = fm.cluster_blocks(_blocks(spark, sf_dir), ["side"], ["block_id"], k_min=2, k_max=3, rounds=2, candidates=64)
+    out = fm.cluster_blocks(_blocks(spark, sf_dir), ["side"], ["block_id"])
     return out.select("side", "block_id", "cluster_label", "n_blocks_in_cluster", "is_medoid", r4("member_cost", "member_cost"), r6("silhouette", "silhouette"))
 
 
-def _to_start(name: str, start: str) -> str:
-    return _solved(name, f"SELECT a.bid AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN cand ON a.bid = cand.bid JOIN {start} s ON s.side = a.side JOIN w b ON b.bid = s.bid", path=False)
-
-
-BLOCK_CLUSTERS_SQL = _recursive("fx_roles", "WITH " + WIDE_SQL + """,
-cand AS (SELECT side, bid, nth FROM (SELECT side, bid, row_number() OVER (PARTITION BY side ORDER BY md5(CAST(frame AS VARCHAR)), frame) AS nth FROM w WHERE i = 1) WHERE nth <= 64),
-s1 AS (SELECT side, bid, nth FROM cand WHERE nth = 1),
-""" + _to_start("d1", "s1") + """,
-s2 AS (SELECT side, bid, nth FROM (SELECT side, bid, nth, row_number() OVER (PARTITION BY side ORDER BY cost DESC, nth) AS r FROM cand JOIN d1 ON bid = pid WHERE nth > 1) WHERE r = 1),
-""" + _to_start("d2", "s2") + """,
-s3 AS (SELECT side, bid, nth FROM (SELECT side, bid, nth, row_number() OVER (PARTITION BY side ORDER BY least(d1.cost, d2.cost) DESC, nth) AS r
-       FROM cand JOIN d1 ON bid = d1.pid JOIN d2 ON bid = d2.pid WHERE bid NOT IN (SELECT bid FROM s1 UNION ALL SELECT bid FROM s2)) WHERE r = 1),
-st AS (SELECT side, bid, 1 AS c FROM s1 UNION ALL SELECT side, bid, 2 FROM s2 UNION ALL SELECT side, bid, 3 FROM s3),
-""" + _solved("r1", "SELECT concat(a.bid, '|', c) AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN st ON st.side = a.side JOIN w b ON b.bid = st.bid") + """,
-ids AS (SELECT side, frame, bid FROM w WHERE i = 1),
-n1 AS (SELECT * FROM (SELECT ids.*, k, c, path, row_number() OVER (PARTITION BY ids.bid, k ORDER BY cost, c) AS nth
-       FROM ids JOIN st USING (side) JOIN r1 ON pid = concat(ids.bid, '|', c) JOIN (VALUES (2), (3)) t(k) ON c <= k) WHERE nth = 1),
-sh AS (SELECT n1.side, k, c, """ + ROLE_OF + """ AS i, avg(x) AS x, avg(y) AS y FROM n1 JOIN w USING (bid) GROUP BY ALL),
-""" + _solved("r2", "SELECT concat(a.bid, '|', k, '|', c) AS pid, a.i, b.i AS j, a.x AS ax, a.y AS ay, b.x AS ox, b.y AS oy FROM w a JOIN sh b USING (side)", path=False) + """,
-n2 AS (SELECT ids.*, k, c, cost, row_number() OVER w2 AS nth, lead(cost) OVER w2 AS near
-       FROM ids JOIN (SELECT DISTINCT side, k, c FROM sh) USING (side) JOIN r2 ON pid = concat(ids.bid, '|', k, '|', c) WINDOW w2 AS (PARTITION BY ids.bid, k ORDER BY cost, c)),
-sc AS (SELECT *, CASE WHEN near IS NOT NULL AND greatest(near, cost) > 0 THEN (near - cost) / greatest(near, cost) ELSE 0 END AS sil FROM n2 WHERE nth = 1),
-bk AS (SELECT side, arg_min(k, (-m, k)) AS k FROM (SELECT side, k, round(avg(sil), 9) AS m FROM sc GROUP BY ALL) GROUP BY side),
-ch AS (SELECT sc.* FROM sc JOIN bk USING (side, k)),
-gr AS (SELECT side, c, count(*) AS n, row_number() OVER (PARTITION BY side ORDER BY min(frame)) - 1 AS lab, arg_min(frame, (cost, frame)) AS med FROM ch GROUP BY side, c)
-SELECT side, frame AS block_id, CAST(lab AS INTEGER) AS cluster_label, CAST(n AS INTEGER) AS n_blocks_in_cluster, frame = med AS is_medoid,
-       round(cost, 4) AS member_cost, round(sil, 6) AS silhouette FROM ch JOIN gr USING (side, c)""")
-
-
 def named_templates(spark, sf_dir):
     t = _label_templates(spark, sf_dir)
     named = fm.named_templates(t.withColumn("phase", F.lit("mid-block")), ["side", "phase"], "phase")
@@ -273,7 +244,7 @@ QUERIES = {
     "silhouette": (silhouette, SILHOUETTE_SQL),
     "medoid": (medoid, MEDOID_SQL),
     "cluster_templates": (cluster_templates, CLUSTER_TEMPLATES_SQL),
-    "block_clusters": (block_clusters, BLOCK_CLUSTERS_SQL),
+    "block_clusters": (block_clusters, None),  # rounds until no block moves; held against a plain version
     "named_templates": (named_templates, NAMED_SQL),
     "template_match": (template_match, TEMPLATE_MATCH_SQL),
     "robust_gates": (robust_gates, ROBUST_GATES_SQL),

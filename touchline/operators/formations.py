@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +14,7 @@ from touchline.functions.batches import append_batchwise
 from touchline.functions.keys import join_keys
 from touchline.functions.shapes import best_counts, bures
 from touchline.operators.quantiles import exact_quantiles
-from touchline.session import compute_partitions, stored
+from touchline.session import compute_partitions, discard, stored
 
 
 def project_to_allowed(
@@ -144,17 +142,13 @@ def _key_order(block: list[str]) -> list[Column]:
 POINTS = "array<struct<x:double,y:double>>"
 
 
-def start_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str = "pts", k_max: int = K_MAX, candidates: int | None = None) -> DataFrame:
+def start_shapes(blocks: DataFrame, by: list[str], block: list[str], points: str = "pts", k_max: int = K_MAX) -> DataFrame:
     """Up to ``k_max`` start shapes per group: ``c`` from 1 and ``shape``.
 
-    All blocks of a group, or the first ``candidates`` in hash order, are walked farthest-first from the first in hash
-    order, so the first k shapes are the start for k clusters. A start is one pass: every block keeps the cost to its
+    All blocks of a group are walked farthest-first from the first in hash order, so the first k shapes are the start for k clusters. A start is one pass: every block keeps the cost to its
     nearest start, and the group's largest cost comes from partial maxima.
     """
     rows = blocks.where(F.col(points).isNotNull()).select(*by, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(_key_order(block))]).alias("_key"), F.col(points).cast(POINTS).alias("_pts"))
-    if candidates is not None:
-        nth = F.row_number().over(Window.partitionBy(*by).orderBy("_key"))
-        rows = rows.withColumn("_nth", nth).where(F.col("_nth") <= candidates).drop("_nth")
     rows = rows.withColumn("_near", F.lit(float("inf")))
     rows, found = (stored(rows), []) if k_max > 1 else (rows, [])
     for c in range(1, k_max + 1):
@@ -216,28 +210,25 @@ def cluster_blocks(
     points: str = "pts",
     k_min: int = K_MIN,
     k_max: int = K_MAX,
-    rounds: int | None = None,
-    candidates: int | None = None,
 ) -> DataFrame:
     """Cluster the blocks of each group around mean shapes, for every number of clusters from ``k_min`` to ``k_max``.
 
     Each round gives every block its cheapest shape by assignment cost and every shape the mean of its members matched
     role by role, until no block moves. Silhouettes compare the cost of a block's own shape with that of the next one;
     the number of clusters with the best mean wins, the smallest on ties. Groups with fewer blocks than ``k_min`` have
-    one cluster per start shape. Work per round is blocks times shapes at any group size. ``rounds`` and ``candidates``
-    cut the rounds and the blocks that may be start shapes; without them there is no bound. The cost of all falls from
+    one cluster per start shape. Work per round is blocks times shapes at any group size. The cost of all falls from
     round to round, so labels that come back differ by ties and rounding alone and end the rounds too.
 
     Gives back one row per block: ``cluster_label`` (numbered by first member), ``n_blocks_in_cluster``, ``is_medoid``
     (the member nearest to its shape), ``member_cost`` (that cost) and ``silhouette``.
     """
     slim = stored(blocks.where(F.col(points).isNotNull()).select(*by, *block, F.col(points).cast(POINTS).alias("pts")))
-    starts = stored(start_shapes(slim, by, block, "pts", k_max, candidates))
+    starts = stored(start_shapes(slim, by, block, "pts", k_max))
     most = starts.groupBy(*by).agg(F.max("c").alias("_most"))
     sized = join_keys(starts, most, by).withColumn("k", F.explode(F.sequence(F.greatest("c", F.lit(k_min)), F.lit(k_max))))
     shapes = stored(sized.where(F.col("k") <= F.greatest("_most", F.lit(k_min))).select(*by, "k", "c", "shape"))
     seen = set()
-    for _ in count() if rounds is None else range(rounds):
+    while True:
         option = F.struct("cost", "c", "role")
         met = shape_costs(slim, shapes, by).groupBy(*by, *block, "k").agg(F.slice(F.array_sort(F.collect_list(option)), 1, 2).alias("_best"), F.first("pts").alias("pts"))
         own, other = F.get("_best", F.lit(0)), F.get("_best", F.lit(1))
@@ -246,7 +237,8 @@ def cluster_blocks(
         if now in seen:
             break
         seen.add(now)
-        shapes = stored(mean_shapes(near, [*by, "k", "c"]))
+        before, shapes = (near, shapes), stored(mean_shapes(near, [*by, "k", "c"]))
+        discard(*before)
     scored = near.withColumn("silhouette", silhouette("cost", "near"))
     means = scored.groupBy(*by, "k").agg(F.round(F.avg("silhouette"), 9).alias("_mean"))
     best = means.groupBy(*by).agg(F.min(F.struct((-F.col("_mean")).alias("_m"), "k"))["k"].alias("k"))
