@@ -78,6 +78,15 @@ def test_lexed_syntaxes():
         assert not said(clean), (clean, said(clean))
 
 
+def test_sums_of_any_number_of_parts():
+    pieces = [f"{i % 10}{'aZqK'[i % 4]}" for i in range(150)]
+    assert said("db_pwd = " + " + ".join(f"'{p}'" for p in pieces)) == set(pieces)
+    chain = "".join(f"v{i} = v{i + 1} + '{p}'\n" for i, p in enumerate(pieces)) + "v150 = 'Zx'\ndb_pwd = v0"
+    assert said(chain) == {*pieces, "Zx"}
+    many = "".join(f"part = '{p}'\n" for p in pieces) + "db_pwd = part\napi_token = part + 'y7'"
+    assert said(many) == {*pieces, "y7"}
+
+
 def test_lexing_takes_linear_time():
     import time
 

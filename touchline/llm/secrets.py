@@ -20,7 +20,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +46,8 @@ HARMLESS = {"count", "max", "min", "limit", "length", "len", "size", "type", "na
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|change_?me|example.*|your[_-].*|todo|redacted|<.*>|\$\{.*\}|%\(.*\)s|\{\{.*\}\})$")
 STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "bearer", "auth", "signature")
 THRESHOLD = 0.5
-SUM_PARTS = 64
+# literals kept of names already followed; more are followed again
+KEPT_LITERALS = 1_000_000
 
 NAME_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _NAME = r"[A-Za-z_$][\w$]*(?:(?:\.|->|::|-)[A-Za-z_$][\w$]*)*"
@@ -253,11 +254,65 @@ def assignments(text: str) -> Iterator[tuple[list[str], list[Part]]]:
             yield [m["item"] or m["name"], *([m["word"]] if m["word"] else [])], parts
 
 
+Step = str | tuple[int, int, str]
+
+
+def sums(given: dict[str, list[list[Part]]]) -> "Callable[[list[Part]], dict[tuple[int, int], str]]":
+    """A function from the parts of a value to all its literals in order, constants followed, each name once.
+
+    What a name reaches is kept while it is little, so that names used often are followed once."""
+    steps: dict[str, list[Step]] = {}
+    kept: dict[str, dict[tuple[int, int], str]] = {}
+
+    def of(parts: list[Part]) -> Iterator[Step]:
+        for start, end, value, is_name in parts:
+            if is_name and value in given:
+                yield value
+            elif not is_name or len(parts) == 1:
+                yield start, end, value
+
+    def followed(name: str) -> list[Step]:
+        if name not in steps:
+            steps[name] = list(dict.fromkeys(step for parts in given[name] for step in of(parts)))
+        return steps[name]
+
+    def reached(name: str) -> dict[tuple[int, int], str]:
+        if name not in kept:
+            whole, seen, rest = {}, {name}, followed(name)[::-1]
+            while rest:
+                step = rest.pop()
+                if isinstance(step, str):
+                    if step not in seen:
+                        seen.add(step)
+                        rest += followed(step)[::-1]
+                else:
+                    whole[step[:2]] = step[2]
+            if sum(map(len, kept.values())) > KEPT_LITERALS:
+                kept.clear()
+            kept[name] = whole
+        return kept[name]
+
+    def literals(parts: list[Part]) -> dict[tuple[int, int], str]:
+        each = list(dict.fromkeys(of(parts)))
+        if len(each) == 1 and isinstance(each[0], str):
+            return reached(each[0])
+        whole: dict[tuple[int, int], str] = {}
+        for step in each:
+            if isinstance(step, str):
+                for place, value in reached(step).items():
+                    whole.setdefault(place, value)
+            else:
+                whole.setdefault(step[:2], step[2])
+        return whole
+
+    return literals
+
+
 def lexed_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name directly, through constants or in a sum.
 
     Sensitivity flows from names to the names they take from until nothing rises, and each literal is judged by its
-    name's; so the work is linear. A value of up to ``SUM_PARTS`` parts, constants followed, is judged as one sum too.
+    name's. A value of any number of parts, constants followed, is judged as one sum too.
     """
     lowered = text.lower()
     if not any(s in lowered for s in STEMS):
@@ -267,7 +322,8 @@ def lexed_spans(text: str) -> list[Span]:
     for names, parts in found_pairs:
         for name in names:
             given.setdefault(name, []).append(parts)
-    weights = {name: name_weight(name) for name in given}
+    own = {name: name_weight(name) for name in given}
+    weights = dict(own)
     todo = [name for name, weight in weights.items() if weight]
     while todo:
         name = todo.pop()
@@ -276,7 +332,8 @@ def lexed_spans(text: str) -> list[Span]:
                 if is_name and weights.get(value, 9.0) < weights[name]:
                     weights[value] = weights[name]
                     todo.append(value)
-    found = set()
+    found, literals = set(), sums(given)
+    judged: dict[str, float] = {}
     for names, parts in found_pairs:
         weight = max(weights[n] for n in names)
         if not weight:
@@ -284,18 +341,18 @@ def lexed_spans(text: str) -> list[Span]:
         for start, end, value, is_name in parts:
             if (not is_name or (len(parts) == 1 and value not in given)) and weight * literal_strength(value) >= THRESHOLD:
                 found.add((start, end))
-        weight = max(map(name_weight, names))
-        rest, whole, followed = [(p, len(parts) == 1) for p in reversed(parts)], {}, set()
-        while weight and rest and len(rest) + len(whole) <= SUM_PARTS:
-            (start, end, value, is_name), alone = rest.pop()
-            if is_name and value in given:
-                if value not in followed:
-                    followed.add(value)
-                    rest += [(p, len(ps) == 1) for ps in reversed(given[value][: SUM_PARTS + 1]) for p in reversed(ps)]
-            elif not is_name or alone:
-                whole[start, end] = value
-        if weight and not rest and weight * max([literal_strength("".join(whole.values())), *map(literal_strength, whole.values())]) >= THRESHOLD:
-            found |= {(s, e) for s, e in whole if e > s}
+        weight = max(own[n] for n in names)
+        if not weight:
+            continue
+        # a value that is one name is judged once for all its uses
+        alone = parts[0][2] if len(parts) == 1 and parts[0][3] and parts[0][2] in given else None
+        if alone is not None and judged.get(alone, 0.0) >= weight:
+            continue
+        if alone is not None:
+            judged[alone] = weight
+        whole = literals(parts)
+        if whole and weight * max([literal_strength("".join(whole.values())), *map(literal_strength, whole.values())]) >= THRESHOLD:
+            found.update(whole)
     return [(s, e, "lexed") for s, e in sorted(found) if e > s]
 
 
