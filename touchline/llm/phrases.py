@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from touchline.llm.common import table
+from touchline.llm.common import lean, lean_group, table
 from touchline.llm.wordscan import Bitmap, Words, bitmap, byte_kinds, summed, windows
 from touchline.session import discard, stored
 
@@ -39,9 +39,9 @@ SHARDS = 25
 SHARD_BITS = 3
 RUN_ROWS = 1024
 WINDOW_BYTES = 1_000_000
-KEPT_ENTRIES = 1_500_000
+KEPT_ENTRIES = 1_000_000
 KEPT_PHRASES = 150_000
-GROUP_BYTES = 32_000_000
+GROUP_BYTES = 16_000_000
 
 # The characters that end a piece, and those that end a word inside it.
 PIECE_ENDS = ".,;:!?\n\x0b\x0c\r"
@@ -142,7 +142,7 @@ def local_counts(docs: DataFrame, lengths: range, words: "Bitmap | None", pairs:
         if read:
             yield emitted()
 
-    return _texts(docs).mapInArrow(run, "lang string, shard int, part int, words long, hashes binary, counts binary")
+    return _texts(docs).mapInArrow(lean(run), "lang string, shard int, part int, words long, hashes binary, counts binary")
 
 
 def locally_frequent(blocks: DataFrame, min_count: int) -> DataFrame:
@@ -156,7 +156,7 @@ def locally_frequent(blocks: DataFrame, min_count: int) -> DataFrame:
         least = -(-min_count * rows.column("shard_words")[0].as_py() // max(rows.column("lang_words")[0].as_py(), 1))
         return pa.table({"hash": h[n >= least].astype(np.int64)})
 
-    found = blocks.join(support, ["lang", "shard"]).groupBy("lang", "shard", "part").applyInArrow(merge, "hash long")
+    found = blocks.join(support, ["lang", "shard"]).groupBy("lang", "shard", "part").applyInArrow(lean_group(merge), "hash long")
     return found.distinct()
 
 
@@ -197,7 +197,7 @@ def globally_frequent(docs: DataFrame, candidates: Bitmap, longest: int, min_cou
         h, n = merged(rows)
         return pa.table({"hash": h[n >= min_count].astype(np.int64)})
 
-    return _texts(docs).mapInArrow(run, "part int, hashes binary, counts binary").groupBy("part").applyInArrow(frequent, "hash long")
+    return _texts(docs).mapInArrow(lean(run), "part int, hashes binary, counts binary").groupBy("part").applyInArrow(lean_group(frequent), "hash long")
 
 
 def exact_counts(docs: DataFrame, frequent: Bitmap, longest: int) -> DataFrame:
@@ -233,7 +233,7 @@ def exact_counts(docs: DataFrame, frequent: Bitmap, longest: int) -> DataFrame:
                 yield from emitted()
         yield from emitted()
 
-    counted = _texts(docs).mapInArrow(run, "lang string, phrase string, n long")
+    counted = _texts(docs).mapInArrow(lean(run), "lang string, phrase string, n long")
     return counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
