@@ -3,6 +3,7 @@
 import itertools
 import math
 import os
+import random
 import subprocess
 import sys
 
@@ -16,6 +17,7 @@ from touchline.operators import formations as fm
 from touchline.operators import joins, knowledge, masks, metrics, models, passgraph, rasters, recommend
 from touchline.operators.quantiles import exact_quantiles
 from touchline.operators.sequences import number_rows
+from touchline.session import stored
 
 KEYS = ["match_id", "period_id"]
 
@@ -385,3 +387,36 @@ def test_points_on_cell_edges_belong_to_the_higher_cell(spark):
     assert bins == [(int(1.5 + k + 1e-6), int(1.5 + k + 1e-6)) for k in range(18)]
     raw = {r.x: r.n for r in scaled.groupBy("x").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
     assert min(raw) == 105 * 0.075 and abs(max(raw) - 105 * 0.925) < 1e-9
+
+
+def test_quantiles_read_their_input_until_it_is_narrowed(spark):
+    """The last pass reads the few values inside the ranges; atoms, two zeros and skew are settled by counts."""
+    rng = random.Random(8)
+    values = {"even": [rng.random() for _ in range(4000)], "atoms": [float(rng.choice([0, 0, 0, 7])) for _ in range(3000)]}
+    values |= {"zeros": [-0.0, 0.0] * 300, "skew": [10.0 ** rng.randint(-3, 3) * rng.random() for _ in range(3000)]}
+    df = stored(spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "g string, v double"))
+    out = exact_quantiles(df, ["g"], "v", {"lo": 0.05, "hi": 0.95}, bins=64, ranked_rows=200)
+    assert not set(df.inputFiles()) & set(out.select("lo").where("lo < hi").inputFiles())
+    got = {r.g: r for r in out.collect()}
+    for g, vs in values.items():
+        vs = sorted(vs)
+        for name, p in (("lo", 0.05), ("hi", 0.95)):
+            at = (len(vs) - 1) * p
+            a, b = vs[int(at)], vs[min(int(at) + 1, len(vs) - 1)]
+            want = a if a == b else a + (b - a) * (at - int(at))
+            assert abs(got[g][name] - want) <= 1e-12 * max(1.0, abs(want)), (g, name)
+    assert str(got["zeros"].lo) == "0.0"
+
+
+def test_equal_strength_is_plain_arithmetic(spark):
+    """Missing metrics count as their column's mean; nothing is gathered in arrays row by row."""
+    rows = [(0.0, 10.0, None), (1.0, None, None), (2.0, 30.0, None), (None, 20.0, None)]
+    df = spark.createDataFrame(rows, "home_xg double, home_ppda double, home_xt double")
+    for s in ("xg", "ppda"):
+        df = df.withColumn(f"away_{s}", F.col(f"home_{s}"))
+    out = metrics.equal_strength(stored(df))
+    assert "lambda" not in out._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    got = [r.home_strength_eq for r in out.orderBy(F.col("home_xg").asc_nulls_last()).collect()]
+    # scaled between 0.1 and 1.9 and between 11 and 29; both means are a half; the column without values is left out
+    want = [(0 + 1) / 2, (0.5 + 0.5) / 2, (1 + 0) / 2, (0.5 + 0.5) / 2]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want)), got
