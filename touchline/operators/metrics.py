@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -278,10 +276,9 @@ def interval_metrics(
     return _from_parts(_merge(covered.unionByName(single), by, list(parts)), by, F.col(start))
 
 
-def robust_scale(value: Column, low: Column, high: Column) -> Column:
-    """Min-max between two quantiles, clipped to [0, 1]; equal bounds are one apart."""
-    top = F.when(high == low, low + 1.0).otherwise(high)
-    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (top - low))))
+def robust_scale(value: Column, low: Column, width: Column) -> Column:
+    """Min-max over a range of ``width`` from ``low``, clipped to [0, 1]."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / width)))
 
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -291,18 +288,20 @@ def _long(df: DataFrame, columns: list[str]) -> DataFrame:
 def robust_minmax(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
     """Add every column scaled between its 5 % and 95 % quantile over the whole table.
 
-    The bounds of all columns come from one exact quantile job and reach the rows as one scalar row.
+    The bounds of all columns come from one exact quantile job and reach the rows as one scalar row; equal bounds are one
+    apart. What is the same for all rows is in that row, so that the code of a row stays short enough to be compiled.
     """
     bounds = exact_quantiles(_long(df, columns), ["metric"], "value", {"lo": 0.05, "hi": 0.95})
-    one = bounds.agg(
+    top = F.when(F.col("hi") == F.col("lo"), F.col("lo") + 1.0).otherwise(F.col("hi"))
+    one = bounds.withColumn("width", top - F.col("lo")).agg(
         F.struct(
             *[F.max(F.when(F.col("metric") == c, F.col("lo"))).alias(f"lo_{c}") for c in columns],
-            *[F.max(F.when(F.col("metric") == c, F.col("hi"))).alias(f"hi_{c}") for c in columns],
+            *[F.max(F.when(F.col("metric") == c, F.col("width"))).alias(f"width_{c}") for c in columns],
         ).alias("b")
     )
     with_bounds = df.withColumn("_b", one.scalar())
     return with_bounds.withColumns(
-        {f"{c}{suffix}": robust_scale(F.col(c), F.col("_b")[f"lo_{c}"], F.col("_b")[f"hi_{c}"]) for c in columns}
+        {f"{c}{suffix}": robust_scale(F.col(c), F.col("_b")[f"lo_{c}"], F.col("_b")[f"width_{c}"]) for c in columns}
     ).drop("_b")
 
 
@@ -316,18 +315,21 @@ def equal_strength(df: DataFrame) -> DataFrame:
     scaled = robust_minmax(df, columns)
     good = {c: (F.col(f"{c}_scaled") if c.split("_", 1)[1] in POSITIVE_METRICS else 1.0 - F.col(f"{c}_scaled")) for c in columns}
     scaled = scaled.withColumns({f"_g_{c}": good[c] for c in columns})
-    means = scaled.agg(F.struct(*[F.avg(f"_g_{c}").alias(c) for c in columns]).alias("m"))
+    # A column without any value is left out of its side's mean.
+    present = {side: sum((F.when(F.count(f"_g_{c}") > 0, 1).otherwise(0) for c in metrics[side]), F.lit(0)) for side in SIDES}
+    means = scaled.agg(
+        F.struct(
+            *[F.coalesce(F.avg(f"_g_{c}"), F.lit(0.0)).alias(c) for c in columns],
+            *[F.nullif(n, F.lit(0)).alias(f"_n_{side}") for side, n in present.items()],
+        ).alias("m")
+    )
     filled = scaled.withColumn("_m", means.scalar())
-    filled = filled.withColumns({f"_f_{c}": F.coalesce(F.col(f"_g_{c}"), F.col("_m")[c]) for c in columns})
 
     def strength(side: str) -> Column:
-        parts = [F.col(f"_f_{c}") for c in metrics[side]]
-        total = reduce(lambda a, v: a + F.coalesce(v, F.lit(0.0)), parts, F.lit(0.0))
-        known = reduce(lambda a, v: a + v.isNotNull().cast("int"), parts, F.lit(0))
-        return total / F.nullif(known, F.lit(0))
+        return sum((F.coalesce(F.col(f"_g_{c}"), F.col("_m")[c]) for c in metrics[side]), F.lit(0.0)) / F.col("_m")[f"_n_{side}"]
 
     return filled.withColumns({f"{s}_strength_eq": strength(s) for s in SIDES}).drop(
-        "_m", *[f"_g_{c}" for c in columns], *[f"_f_{c}" for c in columns], *[f"{c}_scaled" for c in columns]
+        "_m", *[f"_g_{c}" for c in columns], *[f"{c}_scaled" for c in columns]
     )
 
 
